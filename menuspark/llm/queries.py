@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import line_dedup
+from . import line_dedup, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,3 +38,11 @@ FROM marked GROUP BY doc_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_line_dedup": op1_line_dedup}
 ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL}
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.near_duplicates(docs).withColumnRenamed("id", "doc_id")
+
+
+QUERIES["op6_simhash"] = op6_simhash
