@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import line_dedup, simhash
+from . import line_dedup, quality, simhash
+from .common import crc_fold
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,3 +47,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_simhash"] = op6_simhash
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
+    scored = quality.score(docs, quality.fit(docs, labels, label_col="quality"), to="score")
+    return scored.select("doc_id", (crc_fold(F.col("doc_id"), quality.FOLDS) == 0).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+QUERIES["op9_quality"] = op9_quality
