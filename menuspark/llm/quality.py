@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import as_bytes, crc_fold
 
 WIDTH, CHUNK, EMBED, FILTERS = 6, 256, 8, 32
-SAMPLE_DOCS, SAMPLE_CHUNKS, EPOCHS, FOLDS, THRESHOLD = 2000, 12, 14, 5, 0.3
+SAMPLE_DOCS, SAMPLE_CHUNKS, EPOCHS, BATCH, STEPS, FOLDS, THRESHOLD = 2000, 12, 14, 64, 600, 5, 0.3
 _LOW = np.float32(-1e9)
 
 
@@ -104,7 +104,7 @@ def train(samples: list[tuple[bytes, list[int], int]], share: float, *, epochs:
     labels = np.array([s[2] for s in samples], np.float64)
     ones = labels.mean() if len(labels) else 0.5
     prior = np.log(share / (1 - share)) if 0 < share < 1 else np.sign(share - 0.5) * 20.0
-    if not 0 < ones < 1:  # one class, or nothing, to learn from: the share alone decides
+    if not len(labels) or not 0 < ones < 1:  # one class, or nothing, to learn from: the share alone decides
         net.out[:] = 0
         net.shift = float(prior)
         return net
@@ -115,10 +115,11 @@ def train(samples: list[tuple[bytes, list[int], int]], share: float, *, epochs:
     valid = np.concatenate([s[1] for s in samples]).astype(np.int64)
     params = [net.embed, net.taps, net.bias, net.out, np.zeros(1)]
     m, v, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
+    epochs = max(epochs, -(-STEPS // -(-len(samples) // BATCH)))  # a small sample is seen more often
     for epoch in range(epochs):
         order = rng.permutation(len(samples))
-        for at in range(0, len(order), 64):
-            docs = order[at : at + 64]
+        for at in range(0, len(order), BATCH):
+            docs = order[at : at + BATCH]
             n = counts[docs]
             rows = np.concatenate([np.arange(first[d], first[d] + counts[d]) for d in docs])
             doc = np.repeat(np.arange(len(docs)), n)
