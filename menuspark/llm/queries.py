@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import line_dedup, quality, simhash
+from . import line_dedup, quality, simhash, toxicity
 from .common import crc_fold
 
 
@@ -56,3 +56,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_quality"] = op9_quality
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
+    scored = toxicity.score(docs, toxicity.fit(docs, labels, label_col="toxic"))
+    return scored.select("doc_id", (crc_fold(F.col("doc_id"), toxicity.FOLDS) == 0).alias("held_out"), F.col("toxicity.score").alias("score"), (F.col("toxicity.score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), F.size("toxicity.passages").alias("n_passages"))
+
+
+QUERIES["op4_toxicity"] = op4_toxicity
