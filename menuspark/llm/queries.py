@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import line_dedup, quality, simhash, toxicity
+from . import decontaminate, line_dedup, quality, simhash, toxicity
 from .common import crc_fold
 
 
@@ -65,3 +65,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_toxicity"] = op4_toxicity
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark")
+    return decontaminate.contaminated(docs, items).withColumnRenamed("id", "doc_id")
+
+
+QUERIES["op3_decontamination"] = op3_decontamination
