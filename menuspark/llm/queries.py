@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, line_dedup, quality, simhash, toxicity
+from . import decontaminate, line_dedup, quality, sentencepieces, simhash, toxicity
 from .common import crc_fold
 
 
@@ -73,3 +73,12 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_decontamination"] = op3_decontamination
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = sentencepieces.digests(docs, sentencepieces.load())
+    return out.select("doc_id", "pieces.n_pieces", "pieces.n_byte_pieces", "pieces.ids_sha256", "pieces.decoded_sha256")
+
+
+QUERIES["op2_sentencepiece"] = op2_sentencepiece
