@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import staged
+
 Q, WINDOW, STRIDE, EDIT_SHARE, STEP = 10, 100, 50, 0.08, 16
 BLOCK_BYTES, BATCH_BYTES, BITMAP = 2 << 20, 1 << 20, 21
 _U64 = np.uint64
@@ -227,6 +229,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **more) -> DataFrame:
-    """``docs`` without the rows whose id holds a benchmark window. Rows with a null id stay."""
-    ids = contaminated(docs, benchmark, id_col=id_col, **more).select(F.col("id").alias("__leaked_id")).distinct()
+    """``docs`` without the rows whose id holds a benchmark window. Rows with a null id stay. The ids are staged first: then
+    Spark knows their size and shuffles the texts only if there are too many to broadcast."""
+    ids = staged(contaminated(docs, benchmark, id_col=id_col, **more).select(F.col("id").alias("__leaked_id")).distinct(), "leaks")
     return docs.join(ids, docs[id_col] == ids["__leaked_id"], "left_anti")
