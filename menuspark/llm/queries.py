@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, line_dedup, quality, sentencepieces, simhash, toxicity
-from .common import crc_fold
+from . import decontaminate, line_dedup, media, quality, sentencepieces, simhash, toxicity
+from .common import crc_fold, staged
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,3 +82,11 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op2_sentencepiece"] = op2_sentencepiece
+
+
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return media.read_texts(staged(media.store_texts(docs), "media")).withColumnRenamed("id", "doc_id")
+
+
+QUERIES["op5_media"] = op5_media
