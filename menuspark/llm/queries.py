@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, line_dedup, media, quality, sentencepieces, simhash, toxicity
-from .common import crc_fold, staged
+from . import decontaminate, line_dedup, media, quality, sentencepieces, simhash, toxicity, warc
+from .common import crc_fold, parts, staged
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,3 +90,29 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_media"] = op5_media
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_archives(warc.plan(_table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+    found = warc.read_archives(manifest, tasks=parts(spark)).filter("kind = 'record'")
+    return found.select("page_id", "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), "refers_to")
+
+
+OP7_SQL = """
+WITH own AS (
+  SELECT page_id, coalesce(html, '') AS payload FROM pages
+), grouped AS (
+  SELECT page_id, payload, max(page_id) OVER (PARTITION BY payload) AS winner,
+         array_to_string([right(bin(strpos('0123456789abcdef', x) - 1 + 16), 4) for x in string_split(sha1(payload), '')], '') AS bits
+  FROM own
+)
+SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + 16 * CAST(substr(bits, 5 * i + 1, 1) AS INTEGER) + 8 * CAST(substr(bits, 5 * i + 2, 1) AS INTEGER) + 4 * CAST(substr(bits, 5 * i + 3, 1) AS INTEGER)
+           + 2 * CAST(substr(bits, 5 * i + 4, 1) AS INTEGER) + CAST(substr(bits, 5 * i + 5, 1) AS INTEGER), 1) for i in range(0, 32)], '') AS payload_digest,
+       CASE WHEN page_id = winner THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = winner THEN NULL ELSE winner END AS refers_to
+FROM grouped
+"""
+QUERIES["op7_warc"] = op7_warc
+ORACLES["op7_warc"] = OP7_SQL

@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import as_bytes, parts, staged
+from .common import as_bytes, join_counted, parts, staged
 from .components import connected_components
 
 SEED, BITS, MAX_DISTANCE = 42, 64, 4
@@ -183,8 +183,5 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     member = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = member.groupBy("root").agg(F.min("least").alias("component_id"))
     label = staged(member.join(least, "root").select("fp", "n", "component_id"), "labels")
-    # Fingerprints with over 1/hot_share of the rows are fewer than hot_share: those alone are broadcast.
-    floor = (fps.agg(F.sum("n")).first()[0] or 0) // hot_share
-    many = F.broadcast(label.filter(F.col("n") > floor).select("fp", "component_id"))
-    out = own.join(many, "fp").unionByName(own.join(many, "fp", "left_anti").join(label.filter(F.col("n") <= floor).select("fp", "component_id"), "fp"))
+    out = join_counted(own, label, "fp", fps.agg(F.sum("n")).first()[0] or 0, hot_share)
     return out.select("id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
