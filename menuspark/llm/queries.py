@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, line_dedup, media, quality, sentencepieces, simhash, toxicity, warc
+from . import decontaminate, line_dedup, media, pii, quality, sentencepieces, simhash, toxicity, warc
 from .common import crc_fold, parts, staged
 
 
@@ -116,3 +116,17 @@ FROM grouped
 """
 QUERIES["op7_warc"] = op7_warc
 ORACLES["op7_warc"] = OP7_SQL
+
+
+#: Whoever uses the pseudonyms in earnest sets a secret of their own in this configuration key.
+PII_KEY_CONF, PII_EXAMPLE_KEY = "menuspark.pii.key", "an example key that is no secret"
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    key = spark.conf.get(PII_KEY_CONF, PII_EXAMPLE_KEY).encode()
+    out = pii.pseudonymise(docs, key).filter(F.size("pii.values") > 0)
+    return out.select("doc_id", F.size("pii.values").alias("n_values"), F.array_sort(F.array_distinct("pii.values.kind")).alias("kinds"), F.col("pii.values.pseudonym").alias("pseudonyms"), F.col("pii.text").alias("text"))
+
+
+QUERIES["op8_pii"] = op8_pii
