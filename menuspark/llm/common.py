@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
@@ -58,6 +60,11 @@ def join_counted(left: DataFrame, right: DataFrame, key: str, total: int, share:
     return left.join(hot, key).unionByName(left.join(hot, key, "left_anti").join(right.filter(F.col("n") <= floor).drop("n"), key))
 
 
+def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
+    """For tasks that write or read files of their own: the file system of a URI, and the path in it."""
+    return pafs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", uri if ":" in uri.split("/")[0] else "file://" + uri))
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

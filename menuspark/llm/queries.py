@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, line_dedup, media, pii, quality, sentencepieces, simhash, toxicity, warc
+from . import decontaminate, line_dedup, media, pii, quality, sentencepieces, simhash, token_count, toxicity, warc
 from .common import crc_fold, parts, staged
 
 
@@ -130,3 +130,13 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_pii"] = op8_pii
+
+
+def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    order = token_count.write_token_files(docs, token_count.Tokenizer.load())
+    counted = token_count.count_tokens(order, tasks=parts(spark)).filter("complete")
+    return order.join(counted, ["path", "ordinal"]).select(F.col("id").alias("doc_id"), "n_tokens")
+
+
+QUERIES["op10_token_count"] = op10_token_count

@@ -20,10 +20,9 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import as_bytes, join_counted, new_folder, staged
+from .common import as_bytes, filesystem, join_counted, new_folder, staged
 
 ARCHIVE_BYTES, MOST_BYTES, LEVEL, DATE = 16 << 20, 1 << 30, 1, "1970-01-01T00:00:00Z"
 _START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
@@ -173,10 +172,6 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
 
 
-def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", uri if ":" in uri.split("/")[0] else "file://" + uri))
-
-
 def _read(with_payload: bool, content: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,7 +180,7 @@ def _read(with_payload: bool, content: bool):
                 if content:
                     data = batch.column(1)[i].as_py() or b""
                 else:
-                    system, place = _filesystem(path)
+                    system, place = filesystem(path)
                     with system.open_input_file(place) as f:
                         data = f.read()
                 rows: list[tuple] = []
@@ -228,7 +223,7 @@ def plan(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", pay
 
 def _write(folder: str, archive_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, place = _filesystem(folder)
+        system, place = filesystem(folder)
         out, count, listed = io.BytesIO(), 0, []
 
         def close():
