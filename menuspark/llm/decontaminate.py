@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import staged
+from .common import slices, staged
 
 Q, WINDOW, STRIDE, EDIT_SHARE, STEP = 10, 100, 50, 0.08, 16
 BLOCK_BYTES, BATCH_BYTES, BITMAP = 2 << 20, 1 << 20, 21
@@ -192,7 +192,7 @@ def find(index: Index, texts: list[bytes]) -> list[tuple[int, int, int, int]]:
 def _search(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
-        for batch in batches:
+        for batch in slices(batches, 2048):
             ids, texts, at = batch.column(0).to_pylist(), batch.column(1).to_pylist(), 0
             out: dict[tuple[int, int], tuple[int, set[int]]] = {}
             while at < len(texts):

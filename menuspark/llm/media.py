@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import as_bytes
+from .common import as_bytes, slices
 
 PAYLOAD_UNIT, SIDE = 576, 24
 HASH_WIDTH, HASH_HEIGHT, TILE = 8, 8, 16
@@ -167,7 +167,7 @@ def tile(image: np.ndarray, width: int = TILE, height: int = TILE) -> bytes:
 
 def _describe(names: list[str], width: int, height: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2048):
             rows = []
             for raw in batch.column(0).to_pylist():
                 try:
@@ -203,11 +203,9 @@ def text_image(raw: bytes) -> np.ndarray:
 
 
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, 512):
         texts = as_bytes(batch.column(1))
-        for at in range(0, len(texts), 512):
-            own = texts[at : at + 512]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 512), pa.array([len(x) for x in own], pa.int64()), pa.array([encode_pgm(text_image(x)) for x in own], pa.binary())], ["id", "n_bytes", "media"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in texts], pa.int64()), pa.array([encode_pgm(text_image(x)) for x in texts], pa.binary())], ["id", "n_bytes", "media"])
 
 
 def store_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -217,7 +215,7 @@ def store_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    for batch in batches:
+    for batch in slices(batches, 2048):
         rows = []
         for raw in as_bytes(batch.column(2)):
             image = decode(raw)

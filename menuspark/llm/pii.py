@@ -21,6 +21,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .common import slices
+
 ROUNDS = 10
 _FIRST, _LAST = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
 PATTERN = re.compile(
@@ -202,7 +204,7 @@ def _map(key: bytes, back: bool, names: list[str]):
     values = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("pseudonym", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2048):
             texts, found = [], []
             for text in batch.column(0).to_pylist():
                 new, own = (None, []) if text is None else replace(text, key, back)

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import as_bytes, crc_fold
+from .common import as_bytes, crc_fold, slices
 
 WIDTH, CHUNK, EMBED, FILTERS = 6, 256, 8, 32
 SAMPLE_DOCS, SAMPLE_CHUNKS, EPOCHS, BATCH, STEPS, FOLDS, THRESHOLD = 2000, 12, 14, 64, 600, 5, 0.3
@@ -159,7 +159,7 @@ def train(samples: list[tuple[bytes, list[int], int]], share: float, *, epochs:
 
 def _sample(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2048):
             own = [spread_chunks(x, most) for x in as_bytes(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in own], pa.binary()), pa.array([x[1] for x in own], pa.list_(pa.int32())), batch.column(1), batch.column(2)], ["data", "valid", "label", "id"])
 
@@ -182,7 +182,7 @@ def _score(shared, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
         tables = net.tables
-        for batch in batches:
+        for batch in slices(batches, 2048):
             texts, found, at = as_bytes(batch.column(0)), [], 0
             while at < len(texts):  # as many texts at once as make about a megabyte
                 end, size = at, 0

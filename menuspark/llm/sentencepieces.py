@@ -21,11 +21,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import as_bytes
+from .common import as_bytes, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁".encode()
-LONG, UNKNOWN_COST, CACHE_WORDS, BATCH_BYTES = 64, 10.0, 300_000, 2 << 20
+LONG, UNKNOWN_COST, CACHE_WORDS, BATCH_BYTES = 64, 10.0, 200_000, 2 << 20
 
 
 class DoubleArray:
@@ -261,7 +261,7 @@ def _encode(shared, names: list[str], ids_too: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         first = int(model.byte_ids.min()), int(model.byte_ids.max())
-        for batch in batches:
+        for batch in slices(batches, 2048):
             texts = as_bytes(batch.column(0))
             for part in _groups(texts):
                 found = model.encode(texts[part])
@@ -302,7 +302,7 @@ def _with(docs: DataFrame, model: Pieces, text_col: str, to: str, own: dict[str,
 def _decode(shared, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in slices(batches, 2048):
             texts = [None if x is None else model.decode([i for i in x if i is not None]).decode("utf-8", "replace") for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(texts, pa.string())], names)
 

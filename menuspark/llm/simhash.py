@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import as_bytes, join_counted, parts, staged
+from .common import as_bytes, join_counted, parts, slices, staged
 from .components import connected_components
 
 SEED, BITS, MAX_DISTANCE = 42, 64, 4
@@ -53,7 +53,7 @@ def fingerprint(raw: bytes, shingle_words: int = 4) -> int:
 
 def _fingerprints(shingle_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2048):
             found = np.array([fingerprint(x, shingle_words) for x in as_bytes(batch.column(1))], _U64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["id", "fp"])
 

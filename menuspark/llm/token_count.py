@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import filesystem, new_folder, staged
+from .common import filesystem, new_folder, slices, staged
 
 RANKS, END, WIDTH = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken", 50_256, 2
 #: The published splitting pattern of these vocabularies.
@@ -53,7 +53,7 @@ def _write(shared, folder: str, file_bytes: int):
         system, place = filesystem(folder)
         out, name, size, ordinal = None, "", 0, 0
         try:
-            for batch in batches:
+            for batch in slices(batches, 2048):
                 names, ordinals = [], []
                 for text in batch.column(1).to_pylist():
                     if out is None or size >= file_bytes:

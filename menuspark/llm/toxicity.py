@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import crc_fold
+from .common import crc_fold, slices
 
 LEAST, FOLDS, SAMPLE_DOCS, LEAST_Z, LEAST_DELTA, PRIOR = 4, 5, 6000, 4.0, 2.5, 0.05
 MOST_FEATURES, MOST_EXPECTED, THRESHOLD = 200_000, 0.05, 0.5
@@ -117,7 +117,7 @@ def probability(model: Model, e: float) -> float:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(feature, occurrences in texts of label 1, of label 0, whether it is a whole word, number of texts)."""
-    for batch in batches:
+    for batch in slices(batches, 2048):
         words: tuple[Counter, Counter] = (Counter(), Counter())
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             words[label].update(WORD.findall((text or "").lower()))
@@ -144,7 +144,7 @@ def log_odds(counts: DataFrame, n1: int, n0: int, *, prior: float = PRIOR) -> Da
 def _observe(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in slices(batches, 2048):
             labels, tokens, scores, listed = batch.column(1).to_pylist(), [], [], []
             for text in batch.column(0).to_pylist():
                 hits, n = model.hits(text or "")
@@ -221,7 +221,7 @@ def _score(shared, names: list[str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in slices(batches, 2048):
             scores, passages = [], []
             for text in batch.column(0).to_pylist():
                 text = text or ""
