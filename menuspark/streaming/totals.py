@@ -44,7 +44,7 @@ def _update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
 def live_lines(events: DataFrame, *, watermark: str = "1 day") -> DataFrame:
     """All lines of each session that a batch touched, after it; ``events`` stream: session_id, menu_id, item_id, variant_id, ts,
     event_id, op, qty."""
-    own = events.select(F.col("session_id").cast("bigint").alias("session_id"), F.col("menu_id").cast("bigint").alias("menu_id"), "item_id", "variant_id", "ts", "event_id", "op", F.col("qty").cast("double").alias("qty"))
+    own = events.select(F.col("session_id").cast("bigint").alias("session_id"), F.col("menu_id").cast("bigint").alias("menu_id"), "item_id", "variant_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "op", F.col("qty").cast("double").alias("qty"))
     return own.withWatermark("ts", watermark).groupBy("session_id").applyInPandasWithState(_update, LINES, "lines string", "update", GroupStateTimeout.NoTimeout)
 
 
