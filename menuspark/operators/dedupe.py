@@ -79,6 +79,7 @@ def _scored(pairs: DataFrame, threshold: float) -> DataFrame:
 
 def leaders(pairs: DataFrame, *, fold_pairs: int = FOLD_PAIRS) -> DataFrame:
     """Those of the pairs that stand when items are taken in order: each item is consumed once, by its earliest leader."""
+    pairs = staged(pairs, "pairs")  # they are read several times, and cost more to find than to keep
     size = pairs.groupBy("menu_id").agg(F.count("*").alias("n"))
     small = size.filter(F.col("n") <= fold_pairs).select("menu_id")
     large = size.filter(F.col("n") > fold_pairs).select("menu_id")

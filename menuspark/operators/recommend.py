@@ -49,6 +49,9 @@ def pool(sessions: DataFrame, candidates: DataFrame, per_category: DataFrame, ru
     price = F.col("price_agorot")
     out = out.filter((price > 0) & (price >= rules.min_price_agorot) & (price <= F.col("remaining_food_budget_agorot")))
     out = out.join(per_category.select("session_id", "category_id", "units"), ["session_id", "category_id"], "left").withColumn("units", F.coalesce("units", F.lit(0)).cast("bigint"))
+    # What follows is heavy for its few bytes, so its partitions mustn't be coalesced by size. A number of their own keeps
+    # the exchange: one by the same key and number as the join's would be taken away as needless.
+    out = out.repartition(4 * int(out.sparkSession.conf.get("spark.sql.shuffle.partitions")), "session_id")
     order = Window.partitionBy("session_id").orderBy(F.desc("price_agorot"), "item_pos", "variant_pos")
     return out.withColumn("idx", F.row_number().over(order) - 1)
 
@@ -107,52 +110,61 @@ def search(prices: np.ndarray, category: np.ndarray, names: np.ndarray, units: n
     path's prefixes all come before it, so no node within the budget is lost.
     """
     n, q = len(prices), rules.max_qty_per_item
+    prices, category, names, units = prices.astype(np.int64), category.astype(np.int32), names.astype(np.int32), units.astype(np.int32)
 
-    def grow(codes: np.ndarray, spent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        last = codes[:, -1] // q + 1 if codes.shape[1] else np.zeros(1, np.int64)
+    def grow(codes: np.ndarray, spent: np.ndarray, seen: np.ndarray, again: np.ndarray) -> tuple[np.ndarray, ...]:
+        last = codes[:, -1] // q + 1 if codes.shape[1] else np.zeros(1, np.int32)
         size = (n - last) * q
-        row = np.repeat(np.arange(len(codes)), size)
-        code = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + last[row] * q
+        row = np.repeat(np.arange(len(codes), dtype=np.int32), size)
+        code = np.arange(len(row), dtype=np.int32) - np.repeat(np.cumsum(size) - size - last * q, size).astype(np.int32)
+        cost = spent[row] + (prices[:, None] * np.arange(1, q + 1)).ravel()[code]
+        ok = cost <= budget
+        row, code, cost = row[ok], code[ok], cost[ok]
         idx, qty = code // q, code % q + 1
-        used = units[category[idx]].astype(np.int64)
+        used, new = units[category[idx]] + qty, np.ones(len(row), bool)
         for k in range(codes.shape[1]):
-            before = codes[row, k]
-            used += np.where(category[before // q] == category[idx], before % q + 1, 0)
-        cost = spent[row] + prices[idx] * qty
-        ok = (used + qty <= rules.max_per_category) & (cost <= budget)
-        return np.concatenate([codes[row[ok]], code[ok, None].astype(np.int32)], axis=1), cost[ok]
-
-    levels: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros((1, 0), np.int32), np.zeros(1, np.int64))]
+            before = codes[:, k][row]
+            at = before // q
+            used += np.where(category[at] == category[idx], before % q + 1, 0).astype(np.int32)
+            new &= names[at] != names[idx]
+        ok = used <= rules.max_per_category
+        row, code = row[ok], code[ok]
+        return np.concatenate([codes[row], code[:, None]], axis=1), cost[ok], seen[row] + new[ok], again[row] + qty[ok] - 1
+
+    none = np.zeros(1, np.int64)
+    levels: list[tuple[np.ndarray, ...]] = [(np.zeros((1, 0), np.int32), none, none, none)]
     step = max(1, 500_000 // max(n * q, 1))
     for _ in range(rules.max_distinct_items):
-        codes, spent = levels[-1]
         parts, count = [], 0
-        for at in range(0, len(codes), step):
-            parts.append(grow(codes[at : at + step], spent[at : at + step]))
+        for at in range(0, len(levels[-1][0]), step):
+            parts.append(grow(*(x[at : at + step] for x in levels[-1])))
             count += len(parts[-1][0])
             if count >= rules.node_budget:
                 break
         if not count:
             break
-        levels.append(tuple(np.concatenate([p[i] for p in parts])[: rules.node_budget] for i in (0, 1)))
+        levels.append(tuple(np.concatenate([p[i] for p in parts])[: rules.node_budget] for i in range(4)))
     del levels[0]
-    if not levels:
-        return []
+    if sum(len(level[0]) for level in levels) >= rules.node_budget:
+        levels = [_first_nodes(levels, rules.node_budget - 1)]
+    best: list[tuple] = []
+    for codes, spent, seen, again in levels:
+        value = spent / budget + seen * rules.diversity_bonus - again * rules.duplicate_penalty
+        value[(subtotal + spent) * (10_000 + tip_bp) > total * 10_000] = -np.inf
+        k = min(rules.max_suggestions, len(value))
+        least = np.partition(value, len(value) - k)[len(value) - k] if k else np.inf
+        for i in np.flatnonzero((value >= least) & (value > -np.inf)):
+            path = [int(x) for x in codes[i] if x >= 0]
+            best.append((-float(value[i]), len(path), path, int(spent[i])))
+    return [(-v, spent, [(x // q, x % q + 1) for x in path]) for v, _, path, spent in sorted(best)[: rules.max_suggestions]]
+
+
+def _first_nodes(levels: list[tuple[np.ndarray, ...]], most: int) -> tuple[np.ndarray, ...]:
+    """The first paths of all levels in depth-first order; shorter ones are filled up with -1, which comes before any step."""
     width = levels[-1][0].shape[1]
-    path = np.concatenate([np.pad(c, ((0, 0), (0, width - c.shape[1])), constant_values=-1) for c, _ in levels])
-    cost = np.concatenate([s for _, s in levels])
-    order = np.lexsort(path.T[::-1])[: max(rules.node_budget - 1, 0)]
-    path, cost = path[order], cost[order]
-    fits = (subtotal + cost) * (10_000 + tip_bp) <= total * 10_000
-    path, cost = path[fits], cost[fits]
-    there = path >= 0
-    label = np.where(there, names[np.maximum(path, 0) // q], -1)
-    label.sort(axis=1)
-    distinct = (np.diff(label, axis=1, prepend=-1) != 0).sum(axis=1)
-    repeats = np.where(there, path % q, 0).sum(axis=1)
-    value = cost / budget + distinct * rules.diversity_bonus - repeats * rules.duplicate_penalty
-    best = np.lexsort((np.arange(len(path)), there.sum(axis=1), -value))[: rules.max_suggestions]
-    return [(float(value[i]), int(cost[i]), [(int(x) // q, int(x) % q + 1) for x in path[i] if x >= 0]) for i in best]
+    codes = np.concatenate([np.pad(c, ((0, 0), (0, width - c.shape[1])), constant_values=-1) for c, *_ in levels])
+    order = np.lexsort(codes.T[::-1])[: max(most, 0)]
+    return codes[order], *(np.concatenate([level[i] for level in levels])[order] for i in (1, 2, 3))
 
 
 _LINE = "struct<item_id:string,variant_id:string,name:string,variant_label:string,category_name:string,price_agorot:bigint,qty:int>"

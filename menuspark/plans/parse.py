@@ -16,6 +16,7 @@ from ..functions.columns import computed
 from ..functions.lexicon import NO_NAME, REASONS, UNCATEGORIZED
 from ..operators import lines as L
 from ..operators.menu import attach_categories, category_id, make_variant
+from ..sources.staging import staged
 
 PAGE, LINE = L.PAGE, L.LINE
 
@@ -121,8 +122,9 @@ def parse_stats(classified: DataFrame, items: DataFrame, pages: DataFrame) -> Da
 
 
 def parse_pages(lines: DataFrame, hints: DataFrame, pages: DataFrame, options: ParseOptions = ParseOptions()) -> Parsed:
-    """All pages of all menus. Items are numbered (item_pos) by page_seq and line in their menu."""
-    classified = classify_lines(lines.repartition(*PAGE), hints, options)
+    """All pages of all menus. Items are numbered (item_pos) by page_seq and line in their menu. The classified lines are staged, as
+    items, categories and statistics all come from them."""
+    classified = staged(classify_lines(lines.repartition(*PAGE), hints, options), "lines")
     items = page_items(classified, options)
     categories = page_categories(classified, pages)
     numbered = items.join(pages.select(*PAGE, "page_seq"), PAGE)

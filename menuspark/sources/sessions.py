@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.columns import computed
 from ..functions.money import is_valid_agorot
 from ..operators.menu import PRICE_KINDS
 
@@ -82,9 +83,9 @@ def _defaults(s: Column) -> Column:
 
 def load_sessions(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(session_id, json) rows to (session_id, session) of good ones and (session_id, reasons) of rejected ones."""
-    read = raw.select("session_id", F.from_json("json", SESSION, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("s"))
+    read = computed(raw.select("session_id", "json"), s=F.from_json("json", SESSION, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})).drop("json")
     broken = F.array_compact(F.array(*[F.when(~ok, name) for name, ok in rules().items()]))
-    checked = read.withColumn("reasons", broken)
+    checked = computed(read, reasons=broken)
     good = checked.filter(F.size("reasons") == 0).select("session_id", _defaults(F.col("s")).alias("session"))
     return good, checked.filter(F.size("reasons") > 0).select("session_id", "reasons")
 
