@@ -264,7 +264,8 @@ def quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
 def live_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream to its end; each session's last summary."""
     table = V.table(spark, sf_dir, "events")
-    stream = spark.readStream.schema(table.schema).parquet(f"{sf_dir}/events.parquet")
+    # The table may be one file. Spark takes a plain path of a stream for a folder, but not what matches a pattern.
+    stream = spark.readStream.schema(table.schema).parquet(f"{sf_dir}/events.parque[t]")
     own, out = V.live_sessions(spark, sf_dir), f"{shared_dir(spark)}/live-{uuid.uuid4().hex}"
     sink = lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{out}/batch={n}")
     totals.start_live_totals(V.as_qty_events(stream), own, V.items(spark, sf_dir), sink, f"{out}-checkpoint").awaitTermination()
@@ -316,9 +317,47 @@ def median_height(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.median_height(V.lines(spark, sf_dir)).drop("page_id")
 
 
-@query("a15_price_side")
+@query("a15_price_side", _with("texts") + """, base AS (SELECT *, 13 * (length(p_name) - 1) + 20 AS x, greatest(18, 13 * length(CAST(p_size AS VARCHAR))) AS w FROM parsed WHERE price_kind = 'fixed'),
+    numerals AS (SELECT menu_id, x + 13.0 AS centre FROM base WHERE NOT two AND NOT weighed UNION ALL SELECT menu_id, x + w / 2.0 FROM base WHERE weighed UNION ALL SELECT menu_id, x + w + 51.0 FROM base WHERE weighed
+      UNION ALL SELECT menu_id, x + 163.0 FROM base WHERE two UNION ALL SELECT menu_id, x + 199.0 FROM base WHERE two),
+    votes AS (SELECT m.menu_id, count(*) FILTER (WHERE centre <= 54) AS l, count(*) FILTER (WHERE centre >= 246) AS r FROM (SELECT DISTINCT menu_id FROM parsed) m LEFT JOIN numerals USING (menu_id) GROUP BY m.menu_id)
+    SELECT menu_id, CASE WHEN l + r > 0 THEN CASE WHEN l >= r THEN 'left' ELSE 'right' END END AS side FROM votes""")
 def price_side(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.detect_price_side(V.lines(spark, sf_dir), V.pages(spark, sf_dir).withColumn("page_width", F.lit(300.0)))
+    return L.detect_price_side(V.lines(spark, sf_dir), V.pages(spark, sf_dir).withColumn("page_width", F.lit(300.0))).drop("page_id")
+
+
+@query("n7_price_hints", """SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN CAST((3 + p_size) * 100 AS VARCHAR) || ',' ELSE '' END || CAST((40 + p_size) * 100 + 50 AS VARCHAR) AS hint, CASE WHEN p_size % 3 = 0 THEN 820.0 ELSE 0.0 END + 30 AS x0, (p_partkey * 2 - 40) / 2.0 AS y0 FROM part""")
+def price_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A strip line for each part: a number, or one too small for a price, and one with decimals."""
+    c = F.col
+    first = F.when(c("p_size") % 2 == 0, (3 + c("p_size")).cast("string")).otherwise("1")
+    y = (c("p_partkey") * 2).cast("double")
+    box = F.struct(F.lit(100.0).alias("x0"), y.alias("y0"), F.lit(180.0).alias("x1"), (y + 48).alias("y1"))
+    strip = V.table(spark, sf_dir, "part").select(F.lit("m").alias("menu_id"), F.lit("p").alias("page_id"), c("p_partkey").alias("line_no"), F.concat(first, F.lit("  x"), (40 + c("p_size")).cast("string"), F.lit(",5")).alias("text"), box.alias("bbox"), F.lit(1000.0).alias("page_width"), F.when(c("p_size") % 3 == 0, "right").otherwise("left").alias("side"))
+    return L.to_price_hints(strip).select(c("hint_no").alias("p_partkey"), F.array_join(F.transform("values", lambda v: v.cast("string")), ",").alias("hint"), "bbox.x0", "bbox.y0")
+
+
+@query("m6_prefer_reading", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN length(CAST(CAST(l_quantity AS BIGINT) * 100 AS VARCHAR)) > length(CAST(l_partkey AS VARCHAR)) THEN CAST(l_quantity AS BIGINT) * 100 ELSE l_partkey END AS value FROM lineitem")
+def prefer_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", L.prefer_reading(F.col("l_quantity").cast("bigint") * 100, F.col("l_partkey")).alias("value"))
+
+
+@query("x9_normalize_name", "SELECT p_partkey, lower(p_name) || ' ' || lower(p_brand) AS normal FROM part")
+def normalize_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat(F.lit("*"), F.upper("p_name"), F.lit(" \u2013 ("), "p_brand", F.lit(")! "))
+    return V.table(spark, sf_dir, "part").select("p_partkey", T.normalize_name(name, is_nfkc=False).alias("normal"))
+
+
+@query("x14_ocr_errors", "SELECT p_partkey, CASE WHEN p_type IN ('ECONOMY', 'SMALL') THEN 'network' WHEN p_type = 'MEDIUM' THEN 'memory' ELSE 'other' END AS kind FROM part")
+def ocr_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    message = F.when(F.col("p_type") == "ECONOMY", "TypeError: Failed to load x").when(F.col("p_type") == "SMALL", "net::ERR_FAILED").when(F.col("p_type") == "MEDIUM", "Array buffer ALLOCATION failed").otherwise("no text")
+    return V.table(spark, sf_dir, "part").select("p_partkey", T.classify_ocr_error(message)["kind"].alias("kind"))
+
+
+@query("p9_confirmed_only", _with("items") + "SELECT item_id FROM items WHERE menu_id % 2 = 0")
+def confirmed_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = V.items(spark, sf_dir)
+    return menu.confirmed_only(own, own.select("menu_id", (F.col("menu_id") % 2 == 0).alias("confirmed")).distinct()).select("item_id")
 
 
 @query("x5_x8_line_rules", _with("texts") + """SELECT p_partkey, CASE WHEN two AND p_name LIKE 'large%' OR p_name LIKE 'large%' AND p_name LIKE '%small%' THEN 'גדול,קטן' WHEN two OR p_name LIKE 'small%' AND p_name LIKE '%large%' THEN 'קטן,גדול' WHEN p_name LIKE '%small%' THEN 'קטן' WHEN p_name LIKE '%large%' THEN 'גדול' ELSE '' END AS labels,
@@ -458,3 +497,13 @@ def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT session_id, CAST(rank AS INTEGER) AS rank, CAST(spent AS BIGINT) AS added_subtotal_agorot, score FROM ranked WHERE rank <= 5""")
 def recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.recommend(_pool(spark, sf_dir)).select("session_id", "rank", "added_subtotal_agorot", "score")
+
+
+@query("j7_combinations", _POOL + """, one AS (SELECT session_id, idx, category_id, units, budget, price, q, price * q AS spent FROM pool, (VALUES (1), (2)) t(q) WHERE units + q <= 3 AND price * q <= budget),
+    nodes AS (SELECT session_id, spent FROM one UNION ALL SELECT a.session_id, a.spent + b.spent FROM one a JOIN one b ON a.session_id = b.session_id AND b.idx > a.idx
+      WHERE a.spent + b.spent <= a.budget AND b.units + b.q + CASE WHEN a.category_id = b.category_id THEN a.q ELSE 0 END <= 3)
+    SELECT session_id, count(*) AS nodes, CAST(max(spent) AS BIGINT) AS most FROM nodes GROUP BY session_id""")
+def combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All combinations of at most two dishes."""
+    nodes = R.expand_combinations(_pool(spark, sf_dir), R.RuleSet(max_distinct_items=2))
+    return nodes.groupBy("session_id").agg(F.count("*").alias("nodes"), F.max("spent").alias("most"))
