@@ -246,8 +246,8 @@ def _by_join(row: DataFrame, found: DataFrame, first: bool) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     keyed = row.select(me, F.explode(F.array_distinct(F.transform(F.split(text, "\n"), line_key))).alias("k"))
     keyed = keyed.select("me", F.col("k").cast("binary").alias("key")).join(found, "key")
-    mine = keyed.groupBy("me").agg(F.collect_set(F.struct(F.col("key").cast("string").alias("key"), "first_doc", "first_line")).alias("drops"))
-    got = row.withColumn("me", me).join(mine, F.col("me").eqNullSafe(mine["me"]), "left").select("row", "id", text.alias("text"), "drops")
+    mine = keyed.groupBy(F.col("me").alias("whose")).agg(F.collect_set(F.struct(F.col("key").cast("string").alias("key"), "first_doc", "first_line")).alias("drops"))
+    got = row.withColumn("me", me).join(mine, F.col("me").eqNullSafe(F.col("whose")), "left").select("row", "id", text.alias("text"), "drops")
     lines = F.split("text", "\n")
     hit = lambda x, i: F.exists("drops", lambda d: (d["key"] == line_key(x)) & (~(d["first_doc"].eqNullSafe(F.col("id")) & (d["first_line"] == i)) if first else F.lit(True)))
     kept = F.when(F.col("drops").isNull(), lines).otherwise(F.filter(lines, lambda x, i: ~hit(x, i)))
