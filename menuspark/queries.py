@@ -460,9 +460,12 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Recommendations.
 
 
-def _pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own, chosen = V.recommending(spark, sf_dir)
-    items = V.items(spark, sf_dir).withColumn("variants", F.slice("variants", 1, 1))
+def _pool(spark: SparkSession, sf_dir: str, *, sampled: bool = False) -> DataFrame:
+    """All orders and all usable variants; ``sampled`` is what the SQL twins state: each hundredth order, first variants only."""
+    own, chosen = V.recommending(spark, sf_dir, every=100 if sampled else 1)
+    items = V.items(spark, sf_dir)
+    if sampled:
+        items = items.withColumn("variants", F.slice("variants", 1, 1))
     resolved = menu.resolve_selections(chosen, items)
     summary = budget.compute_budget(own, resolved).join(own.select("session_id", "menu_id", "tip_bp"), "session_id")
     dishes = menu.select_candidates(items, V.categories(spark, sf_dir))
@@ -483,7 +486,7 @@ _POOL = _with("items", "variants", "categories", "selections") + """, chosen AS
 
 @query("p8_t1_pool", _POOL + " SELECT session_id, variant_id, idx, units, CAST(budget AS BIGINT) AS budget FROM pool")
 def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pool(spark, sf_dir).select("session_id", "variant_id", "idx", "units", F.col("remaining_food_budget_agorot").alias("budget"))
+    return _pool(spark, sf_dir, sampled=True).select("session_id", "variant_id", "idx", "units", F.col("remaining_food_budget_agorot").alias("budget"))
 
 
 @query("z4_recommend", _POOL.replace("WITH ", "WITH RECURSIVE ", 1) + """, nodes AS (
@@ -496,7 +499,7 @@ def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, depth, path) AS rank FROM scored)
     SELECT session_id, CAST(rank AS INTEGER) AS rank, CAST(spent AS BIGINT) AS added_subtotal_agorot, score FROM ranked WHERE rank <= 5""")
 def recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.recommend(_pool(spark, sf_dir)).select("session_id", "rank", "added_subtotal_agorot", "score")
+    return R.recommend(_pool(spark, sf_dir, sampled=True)).select("session_id", "rank", "added_subtotal_agorot", "score")
 
 
 @query("j7_combinations", _POOL + """, one AS (SELECT session_id, idx, category_id, units, budget, price, q, price * q AS spent FROM pool, (VALUES (1), (2)) t(q) WHERE units + q <= 3 AND price * q <= budget),
@@ -505,5 +508,24 @@ def recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT session_id, count(*) AS nodes, CAST(max(spent) AS BIGINT) AS most FROM nodes GROUP BY session_id""")
 def combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All combinations of at most two dishes."""
-    nodes = R.expand_combinations(_pool(spark, sf_dir), R.RuleSet(max_distinct_items=2))
+    nodes = R.expand_combinations(_pool(spark, sf_dir, sampled=True), R.RuleSet(max_distinct_items=2))
+    return nodes.groupBy("session_id").agg(F.count("*").alias("nodes"), F.max("spent").alias("most"))
+
+
+# The same over all orders and variants by the full rules. Recursive SQL is too slow for these; the tests hold them against brute force.
+
+
+@query("p8_t1_pool_all")
+def pool_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pool(spark, sf_dir).select("session_id", "variant_id", "idx", "units", F.col("remaining_food_budget_agorot").alias("budget"))
+
+
+@query("z4_recommend_all")
+def recommend_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.recommend(_pool(spark, sf_dir)).select("session_id", "rank", "added_subtotal_agorot", "score")
+
+
+@query("j7_combinations_all")
+def combinations_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = R.expand_combinations(_pool(spark, sf_dir))
     return nodes.groupBy("session_id").agg(F.count("*").alias("nodes"), F.max("spent").alias("most"))
