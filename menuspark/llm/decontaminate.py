@@ -141,9 +141,14 @@ def find(index: Index, texts: list[bytes]) -> list[tuple[int, int, int, int]]:
     where, at = maybe[hit], at[hit]
     which, post = _ranges(index.first[at], index.first[at + 1] - index.first[at])
     where, item, place = where[which], index.item[post], index.place[post]
+    # Places count from the beginning of the hit's own text, so what is found doesn't depend on the batch. The shift is the
+    # longest item's length and more, so diagonals are never negative.
+    text = np.searchsorted(begin, where, side="right") - 1
+    shift = WINDOW + max(map(len, index.texts))
+    diagonal = where - begin[text] - place + shift
+    bands = (max(map(len, texts)) + shift) // STEP + 2
     # A band without enough hits of its item can't have enough of a window.
-    diagonal = where - place + WINDOW + len(data)
-    coarse = item * (4 * len(data) // STEP) + diagonal // STEP
+    coarse = (text * len(index.texts) + item) * bands + diagonal // STEP
     for _ in range(2):
         near, count = np.unique(coarse, return_counts=True)
         total = count.copy()
@@ -154,7 +159,7 @@ def find(index: Index, texts: list[bytes]) -> list[tuple[int, int, int, int]]:
         keep = (total >= least)[np.searchsorted(near, coarse)]
         if keep.all():
             break
-        item, place, diagonal, coarse = item[keep], place[keep], diagonal[keep], coarse[keep]
+        text, item, place, diagonal, coarse = text[keep], item[keep], place[keep], diagonal[keep], coarse[keep]
     if not len(item):
         return []
     # Each hit counts for the windows of its item that hold its q-gram, in the band of its diagonal and the one before.
@@ -163,17 +168,16 @@ def find(index: Index, texts: list[bytes]) -> list[tuple[int, int, int, int]]:
     which, window = which[inside], window[inside]
     band = diagonal[which] // STEP
     also = diagonal[which] - (band - 1) * STEP <= STEP + index.edits[window]
-    bands = int(diagonal.max()) // STEP + 2
-    key, count = np.unique(np.concatenate([window * bands + band, (window * bands + band - 1)[also]]), return_counts=True)
-    window, band = key // bands, key % bands
+    at = (text[which] * len(index.start) + window) * bands + band
+    key, count = np.unique(np.concatenate([at, (at - 1)[also]]), return_counts=True)
+    owner, window, band = key // bands // len(index.start), key // bands % len(index.start), key % bands
     keep = count >= index.least[window]
-    window, band = window[keep], band[keep]
+    owner, window, band = owner[keep], window[keep], band[keep]
     if not len(window):
         return []
     most = int(index.edits.max())
     width = STEP + 3 * most + 1
-    low = band * STEP - WINDOW - len(data) + index.start[window] - most  # where the region begins
-    owner = np.searchsorted(begin, np.clip(low + most + index.edits[window] + index.size[window] // 2, 0, len(data) - 1), side="right") - 1
+    low = begin[owner] + band * STEP - shift + index.start[window] - most  # where the region begins
     found = []
     for s in range(0, len(window), 256):
         w, lo, own = window[s : s + 256], low[s : s + 256], owner[s : s + 256]

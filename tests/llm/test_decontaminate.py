@@ -87,3 +87,20 @@ def test_odd_rows(spark):
     kept = d.drop_contaminated(docs, items)
     assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["2", "3", "None"]
     assert d.contaminated(docs.limit(0), items).count() == 0 and d.contaminated(docs, items.limit(0)).count() == 0
+
+
+def test_long_items_and_batches_of_one_short_document():
+    rng = random.Random(11)
+    items = [(0, prose(rng, 400)), (1, prose(rng, 14)), (2, prose(rng, 160))]
+    index = d.build(items)
+    long, texts = index.texts[0], [b"a b"]
+    for a in range(0, len(long) - 200, 150):
+        texts += [long[a : a + 200], b"x " + long[a + 20 : a + 190] + b" y", index.texts[1]]
+    together = d.find(index, texts)
+    for n, t in enumerate(texts):
+        alone = {(j, s, e) for _, j, s, e in d.find(index, [t])}
+        want = {(j, s, 0) for j, item in enumerate(index.texts) for s, m in d.windows(len(item)) if item[s : s + m] in t}
+        assert want <= alone and alone == {(j, s, e) for k, j, s, e in together if k == n}
+        for j, s, e in alone - want:
+            assert plain_edits(index.texts[j][s : s + d.WINDOW], t) == e
+    assert len({s for _, j, s, _ in together if j == 0}) > 40
