@@ -3,12 +3,13 @@
 A passage that aligns with a benchmark window of m bytes within e edits shares at least m + 1 - q - q*e of its q-grams with
 it, on diagonals (place in the document less place in the item) that lie within e of each other. So:
 
-1. the benchmark's items are cut into overlapping windows; an index has all q-grams of the items with their places;
+1. a window starts at each byte of the benchmark's items; an index has all q-grams of the items with their places;
 2. every q-gram of a whole document is looked up; hits are counted by item, window and diagonal band. Bands start every
    ``STEP`` diagonals and are e wider, so all hits of one passage are in one band;
 3. bands that reach the bound are verified by a banded alignment of the window against that region of the document.
 
-The lookup loses nothing within the edit budget. Documents are only mapped: no shuffle but of the verified hits.
+The lookup loses nothing within the edit budget: every passage of ``WINDOW`` (100) bytes or more of an item is found, wherever
+it begins, and items of ``Q`` to ``WINDOW`` bytes are found whole. Shorter passages of longer items are no leaks. Documents are only mapped: no shuffle but of the verified hits.
 The index is broadcast; a benchmark of more than ``block_bytes`` goes over the documents in blocks of items.
 """
 
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import slices, staged
 
-Q, WINDOW, STRIDE, EDIT_SHARE, STEP = 10, 100, 50, 0.08, 16
+Q, WINDOW, EDIT_SHARE, STEP = 10, 100, 0.08, 16
 BLOCK_BYTES, BATCH_BYTES, BITMAP = 2 << 20, 1 << 20, 21
 _U64 = np.uint64
 _SPACED = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
@@ -40,13 +41,13 @@ def budget(m: int) -> int:
 
 
 def windows(size: int) -> list[tuple[int, int]]:
-    """(start, length) of an item's windows: every ``STRIDE`` bytes, and one that ends with the item. A passage of
-    WINDOW + STRIDE bytes of an item always holds one. An item shorter than a window is one; under Q bytes, none."""
+    """(start, length) of an item's windows: one at each byte that has WINDOW bytes from it. So every passage of WINDOW bytes is
+    one. An item shorter than a window is one; under Q bytes, none."""
     if size < Q:
         return []
     if size <= WINDOW:
         return [(0, size)]
-    return [(s, WINDOW) for s in sorted({*range(0, size - WINDOW + 1, STRIDE), size - WINDOW})]
+    return [(s, WINDOW) for s in range(size - WINDOW + 1)]
 
 
 def grams(data: np.ndarray) -> np.ndarray:
@@ -63,9 +64,7 @@ def grams(data: np.ndarray) -> np.ndarray:
 class Index:
     ids: list  # of items
     texts: list[bytes]
-    owner: np.ndarray  # of windows: item's number
-    start: np.ndarray
-    size: np.ndarray
+    size: np.ndarray  # of each item: its windows' length, edits allowed and q-grams needed
     edits: np.ndarray
     least: np.ndarray
     keys: np.ndarray  # distinct q-gram hashes, sorted
@@ -78,9 +77,7 @@ class Index:
 
 def build(items: list[tuple[object, str | None]]) -> Index:
     ids, texts = [i for i, _ in items], [normal(t) for _, t in items]
-    cut = [windows(len(t)) for t in texts]
-    owner = np.repeat(np.arange(len(texts)), [len(w) for w in cut])
-    start, size = (np.array([w[k] for own in cut for w in own], np.int64) for k in (0, 1))
+    size = np.array([min(len(t), WINDOW) for t in texts], np.int64)
     edits = np.array([budget(int(m)) for m in size], np.int64)
     hashes, item, place = [np.zeros(0, _U64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for j, t in enumerate(texts):
@@ -95,8 +92,8 @@ def build(items: list[tuple[object, str | None]]) -> Index:
     keys, first = np.unique(h, return_index=True)
     bitmap = np.zeros(1 << BITMAP, bool)
     bitmap[(keys >> _U64(64 - BITMAP)).astype(np.int64)] = True
-    window_at = np.searchsorted(owner, np.arange(len(texts) + 1))
-    return Index(ids, texts, owner, start, size, edits, size + 1 - Q - Q * edits, keys, np.append(first, len(h)), j, p, window_at, bitmap)
+    window_at = np.cumsum([0, *(0 if len(t) < Q else max(1, len(t) - WINDOW + 1) for t in texts)])
+    return Index(ids, texts, size, edits, size + 1 - Q - Q * edits, keys, np.append(first, len(h)), j, p, window_at, bitmap)
 
 
 def _ranges(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,23 +103,31 @@ def _ranges(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return which, np.repeat(first, count) + inner
 
 
-def align(pattern: list[bytes], region: list[bytes], width: int) -> np.ndarray:
+def align(pattern: list[bytes], region: list[bytes], width: int, most: np.ndarray) -> np.ndarray:
     """The fewest edits between each whole pattern and any part of its region, over ``width`` diagonals: pattern byte i
-    meets region byte i + k, 0 <= k < width. All pairs go through the rows together."""
+    meets region byte i + k, 0 <= k < width. All pairs go through the rows together; a pair leaves once all its edits are
+    over its ``most``, as they never fall, and gets more than that."""
     sizes = np.array([len(p) for p in pattern])
     rows = int(sizes.max(initial=0))
     p = np.frombuffer(b"".join([x.ljust(rows, b"\0") for x in pattern]), np.uint8).reshape(len(pattern), rows)
     t = np.frombuffer(b"".join([x[: rows + width].ljust(rows + width, b"\1") for x in region]), np.uint8).reshape(len(pattern), rows + width)
-    k = np.arange(width, dtype=np.int32)
-    now = np.zeros((len(pattern), width), np.int32)
+    k = np.arange(width, dtype=np.int16)
+    now = np.zeros((len(pattern), width), np.int16)
     best = np.where(sizes == 0, 0, rows + 1)
+    pair = np.arange(len(pattern))
     for i in range(rows):
         change = now + (t[:, i : i + width] != p[:, i : i + 1])
         change[:, :-1] = np.minimum(change[:, :-1], now[:, 1:] + 1)
         now = np.minimum.accumulate(change - k, axis=1) + k
-        done = sizes == i + 1
+        done = sizes[pair] == i + 1
         if done.any():
-            best[done] = now[done].min(axis=1)
+            best[pair[done]] = now[done].min(axis=1)
+        if i % 4 == 3:
+            stay = (now.min(axis=1) <= most[pair]) & (sizes[pair] > i + 1)
+            if stay.sum() < 0.8 * len(pair):
+                p, t, now, pair = p[stay], t[stay], now[stay], pair[stay]
+                if not len(pair):
+                    break
     return best
 
 
@@ -155,42 +160,54 @@ def find(index: Index, texts: list[bytes]) -> list[tuple[int, int, int, int]]:
         for d in (-1, 1):
             pos = np.minimum(np.searchsorted(near, near + d), len(near) - 1)
             total += np.where(near[pos] == near + d, count[pos], 0)
-        least = index.least.min()
-        keep = (total >= least)[np.searchsorted(near, coarse)]
+        keep = total[np.searchsorted(near, coarse)] >= index.least[item]
         if keep.all():
             break
         text, item, place, diagonal, coarse = text[keep], item[keep], place[keep], diagonal[keep], coarse[keep]
     if not len(item):
         return []
-    # Each hit counts for the windows of its item that hold its q-gram, in the band of its diagonal and the one before.
-    which, window = _ranges(index.window_at[item], index.window_at[item + 1] - index.window_at[item])
-    inside = (place[which] >= index.start[window]) & (place[which] + Q <= index.start[window] + index.size[window])
-    which, window = which[inside], window[inside]
-    band = diagonal[which] // STEP
-    also = diagonal[which] - (band - 1) * STEP <= STEP + index.edits[window]
-    at = (text[which] * len(index.start) + window) * bands + band
-    key, count = np.unique(np.concatenate([at, (at - 1)[also]]), return_counts=True)
-    owner, window, band = key // bands // len(index.start), key // bands % len(index.start), key % bands
-    keep = count >= index.least[window]
-    owner, window, band = owner[keep], window[keep], band[keep]
-    if not len(window):
+    # Each hit counts for the windows of its item that hold its q-gram, in the band of its diagonal and the one before. These
+    # windows are a range; so counts change at the ranges' ends only, and are added up along the windows.
+    begins = index.window_at[item] + np.maximum(place - (index.size[item] - Q), 0)
+    ends = np.minimum(index.window_at[item] + place + 1, index.window_at[item + 1])
+    band, windows_all = diagonal // STEP, int(index.window_at[-1]) + 1
+    also = diagonal - (band - 1) * STEP <= STEP + index.edits[item]
+    row, place = (text * bands + band), place + np.cumsum([0, *map(len, index.texts)])[item]
+    row, begins, ends, place = (np.concatenate([x, x[also] - less]) for x, less in ((row, 1), (begins, 0), (ends, 0), (place, 0)))
+    # The lemma speaks of the window's q-grams: one that meets several in the document counts once in a band.
+    once = np.unique(row * sum(map(len, index.texts)) + place, return_index=True)[1]
+    row, begins, ends = row[once] * windows_all, begins[once], ends[once]
+    key, back = np.unique(np.concatenate([row + begins, row + ends]), return_inverse=True)
+    count = np.cumsum(np.bincount(back[: len(row)], minlength=len(key)) - np.bincount(back[len(row) :], minlength=len(key)))
+    held = np.flatnonzero(count > 0)
+    item = np.searchsorted(index.window_at, key[held] % windows_all, side="right") - 1
+    enough = count[held] >= index.least[item]
+    held, item = held[enough], item[enough]
+    which, key = _ranges(key[held], key[held + 1] - key[held])
+    item, owner, band = item[which], key // windows_all // bands, key // windows_all % bands
+    start = key % windows_all - index.window_at[item]
+    if not len(item):
         return []
     most = int(index.edits.max())
     width = STEP + 3 * most + 1
-    low = begin[owner] + band * STEP - shift + index.start[window] - most  # where the region begins
-    found = []
-    for s in range(0, len(window), 256):
-        w, lo, own = window[s : s + 256], low[s : s + 256], owner[s : s + 256]
-        pattern = [index.texts[index.owner[x]][index.start[x] : index.start[x] + index.size[x]] for x in w]
-        region = []
-        for a, o, x in zip(lo, own, w):
-            end = begin[o] + len(texts[o])
-            a, b = int(a), int(a + index.size[x] + width)
-            own_text = data[max(a, begin[o]) : max(min(b, end), begin[o])].tobytes()
-            region.append(b"\1" * max(0, min(begin[o] - a, b - a)) + own_text)
-        edits = align(pattern, region, width)
-        found += [(int(o), int(index.owner[x]), int(index.start[x]), int(e)) for o, x, e in zip(own, w, edits) if e <= index.edits[x]]
-    return found
+    low = begin[owner] + band * STEP - shift + start - most  # where the region begins
+    found = {}
+    for at in range(0, len(item), 1024):
+        pattern, region, pairs = [], [], []
+        for o, j, s, a in zip(*(x[at : at + 1024].tolist() for x in (owner, item, start, low))):
+            own = index.texts[j][s : s + int(index.size[j])]
+            first, b = int(begin[o]), a + len(own) + width
+            part = texts[o][max(a - first, 0) : max(b - first, 0)]
+            if own in part:
+                found[o, j, s] = 0
+            elif found.get((o, j, s)) != 0:
+                pattern.append(own)
+                region.append(b"\1" * max(0, min(first - a, b - a)) + part)
+                pairs.append((o, j, s))
+        for pair, e in zip(pairs, align(pattern, region, width, index.edits[[j for _, j, _ in pairs]]).tolist() if pairs else ()):
+            if e <= index.edits[pair[1]]:
+                found[pair] = min(e, found.get(pair, e))
+    return [(*pair, e) for pair, e in found.items()]
 
 
 def _search(shared):

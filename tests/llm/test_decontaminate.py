@@ -104,3 +104,18 @@ def test_long_items_and_batches_of_one_short_document():
         for j, s, e in alone - want:
             assert plain_edits(index.texts[j][s : s + d.WINDOW], t) == e
     assert len({s for _, j, s, _ in together if j == 0}) > 40
+
+
+def test_every_passage_of_a_window_is_found():
+    rng = random.Random(12)
+    index = d.build([(0, prose(rng, 31)), (1, prose(rng, 60))])
+    item = index.texts[0]
+    for a in range(0, len(item) - d.WINDOW + 1, 7):
+        for n in (100, 117, 149):
+            piece = item[a : a + n]
+            spoilt = b"zq " + piece[:30] + b"#" + piece[31:70] + piece[72:100] + b" qz"
+            if len(piece) == n:
+                assert any(j == 0 and e == 0 for _, j, _, e in d.find(index, [b"zq " + piece + b" qz"])), (a, n)
+                assert (0, 0, a) in {x[:3] for x in d.find(index, [spoilt])}, (a, n)
+    got = {x[:3]: x[3] for x in d.find(index, [b"zq " + item[20:136] + b" qz"])}
+    assert {s for _, j, s in got if not got[0, j, s]} == set(range(20, 37))
