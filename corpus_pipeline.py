@@ -4,7 +4,7 @@
 2. lines: lines whose key is in ten documents or more go from every document;
 3. near_duplicates: of each group of linked fingerprints the document with the smallest doc_id stays;
 4. decontamination: documents that hold a benchmark window go;
-5. pieces: every text is encoded, and decoded again, as SentencePiece ids.
+5. pieces: every text is encoded as SentencePiece ids, and the ids are decoded again to a text beside them.
 
 All but the last return the columns of documents. A stage works on all rows its predecessor kept. Rows with a null doc_id
 are never dropped as duplicates or leaks.
@@ -48,7 +48,8 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = sentencepieces.load()
     out = sentencepieces.encode(docs, model)
-    return out.select("doc_id", "lang", "source", "pieces.ids", "pieces.n_pieces", "pieces.n_byte_pieces")
+    out = out.select("doc_id", "lang", "source", "pieces.ids", "pieces.n_pieces", "pieces.n_byte_pieces")
+    return sentencepieces.decode(out, model)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -38,3 +38,10 @@ def test_stages_equal_brute_force(spark, sf_dir):
         seen.append(len(after))
         docs = out
     assert corpus_pipeline.run(spark, sf_dir).count() == seen[-1]
+
+
+def test_pieces_are_decoded_in_the_stage(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    out = corpus_pipeline.encode_pieces(spark, docs, sf_dir)
+    want = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    assert {r["doc_id"]: r["decoded"] for r in out.collect()} == want and out.count() == docs.count()
