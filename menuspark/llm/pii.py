@@ -2,7 +2,9 @@
 
 Values are found by pattern and then validated: payment cards by the Luhn sum, IBANs by the remainder mod 97, dates by the
 calendar, IPv4 addresses by their octets, telephone and social security numbers by their shape and ranges, e-mail addresses by
-shape. What doesn't pass is left alone.
+shape. A pattern may take the next word or number along: so an IBAN is first tried at its country's length, a telephone number
+that is too long is tried at its shorter ends, and after a candidate that doesn't pass the search goes on one token after its start.
+What doesn't pass is left alone.
 
 A keyed Feistel network permutes each value's digits and letters within its format: length, separators, letter case, country
 code, mail domain, widths of day and month all stay, and check digits are made anew, so a pseudonym is valid where its value
@@ -34,6 +36,17 @@ PATTERN = re.compile(
     r"|(?P<phone>(?<![\w+])\+\d{1,3}(?:[ .\-]?\(\d{1,4}\)|[ .\-]?\d{1,4}){2,5}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d\-])\d{3}-\d{3}-\d{4}(?![\d\-]))"
     r"|(?P<card>(?<!\d)(?:\d{4}([ \-])\d{4}\8\d{4}\8\d{1,7}|\d{4}([ \-])\d{6}\9\d{5}|\d{13,19})(?!\d))"
 )
+#: Lengths of IBANs by country, from the registry.
+IBAN_LENGTHS = {
+    c: n
+    for n, own in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL FK NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in own.split()
+}
+_TOKEN = re.compile(r"[^\W_]+|.", re.DOTALL)
 _WORTH = re.compile(r"[\d@]")
 
 
@@ -182,18 +195,49 @@ def _email(key: bytes, text: str, back: bool) -> str | None:
 KINDS: dict[str, Callable[[bytes, str, bool], str | None]] = {"email": _email, "iban": _iban, "date": _date, "ip": _ip, "ssn": _ssn, "phone": _phone, "card": _card}
 
 
+def _ends(m: re.Match) -> list[int]:
+    """Where the match may end, in order of trial. A shorter end is one at a separator."""
+    text, start, end = m.string, m.start(), m.end()
+    if m.lastgroup == "iban":
+        count, at = IBAN_LENGTHS.get(text[start : start + 2], 0), start
+        while count and at < end:
+            count, at = count - (text[at] != " "), at + 1
+        return [at, end] if not count and at < end and text[at] == " " else [end]
+    if m.lastgroup == "phone" and text[start] == "+":
+        return [end, *(i for i in range(end - 1, start + 1, -1) if text[i] in " .-(" and (text[i - 1].isdigit() or text[i - 1] == ")"))]
+    return [end]
+
+
 def replace(text: str, key: bytes, back: bool = False) -> tuple[str, list[tuple[int, int, str, str]]]:
     """The text with pseudonyms, and (start, end, kind, pseudonym) of each value; places are in the given text and, as lengths
-    may differ only for IP addresses, in order."""
+    may differ only for IP addresses, in order.
+
+    A candidate that was refused may overlap a value that is found after it. If the pseudonym made it valid, the way back would
+    read it instead; so the permutation is walked on until it is refused as before."""
     if not _WORTH.search(text):
         return text, []
-    out, found, at = [], [], 0
-    for m in PATTERN.finditer(text):
-        new = KINDS[m.lastgroup](key, m[0], back)
-        if new is not None:
-            out += [text[at : m.start()], new]
-            found.append((m.start(), m.end(), m.lastgroup, new))
-            at = m.end()
+    out, found, at, place = [], [], 0, 0
+    refused: list[tuple[int, int, str, str]] = []  # (start, end, kind, its characters, with the pseudonyms so far)
+    while m := PATTERN.search(text, place):
+        kind, start, place = m.lastgroup, m.start(), _TOKEN.match(text, m.start()).end()
+        refused = [r for r in refused if r[1] > start]
+        for end in _ends(m):
+            new = KINDS[kind](key, text[start:end], back)
+            if new is None:
+                refused.append((start, end, kind, text[start:end]))
+                continue
+
+            def put(r: tuple[int, int, str, str], value: str) -> str:
+                return r[3][: start - r[0]] + value[: max(0, r[1] - start)] + r[3][end - r[0] :]
+
+            over = [r for r in refused if r[0] <= start]
+            while any(KINDS[k](key, put(r, new), back) is not None for r in over for k in (r[2],)):
+                new = KINDS[kind](key, new, back)
+            refused = [(*r[:3], put(r, new)) for r in refused if r[1] > end]
+            out += [text[at:start], new]
+            found.append((start, end, kind, new))
+            at = place = end
+            break
     return ("".join([*out, text[at:]]), found) if found else (text, [])
 
 

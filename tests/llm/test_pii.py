@@ -79,3 +79,27 @@ def test_odd_rows(spark):
     out = pii.pseudonymise(docs, KEY).collect()
     assert [r["pii"]["text"] for r in out][:2] == [None, ""] and out[2] == out[3] and out[2]["values"] == "x" and len(out[2]["pii"]["values"]) == 1
     assert pii.pseudonymise(docs.limit(0), KEY).count() == 0
+
+
+@pytest.mark.parametrize("value", ["BE68 5390 0754 7034", "+49 170 1234567", "AT61 1904 3002 3457 3201", "4111 1111 1111 1111", "NO93 8601 1117 947"])
+@pytest.mark.parametrize("before,after", [("to ", " AND more"), ("", " 12"), ("", " 2024"), ("1234 ", ""), ("AB13 ", " x"), ("", " AB"), ("x ", ".")])
+def test_the_next_word_does_not_hide_a_value(value, before, after):
+    if value[0] == "+" and after == " 12":
+        after = " 12345"  # 14 digits may be one number
+    text = before + value + after
+    new, found = pii.replace(text, KEY)
+    assert [text[a:b] for a, b, *_ in found] == [value] and value not in new and new.startswith(before) and new.endswith(after)
+    assert pii.replace(new, KEY, True)[0] == text
+    if before not in ("1234 ", "AB13 "):
+        assert found[0][3] == pii.replace(value, KEY)[1][0][3]
+
+
+def test_overlapping_candidates_go_back():
+    rng = random.Random(9)
+    for _ in range(2_000):
+        digits = "".join(rng.choice("0123456789") for _ in range(15))
+        card = digits + pii.luhn_digit(digits)
+        grouped = " ".join(card[i : i + 4] for i in range(0, 16, 4))
+        text = f"{rng.choice(['AB12', 'DE44', '7', '1234', '55'])} {rng.randrange(1000, 9999)} {grouped} {rng.randrange(10_000)} AND"
+        new, found = pii.replace(text, KEY)
+        assert found and pii.replace(new, KEY, True)[0] == text
