@@ -6,7 +6,8 @@ known from the manifest that the job returns, so a repeated task leaves at most
 
 The reader checks each record: the member's CRC, version line, header, length and block digest. Where a check fails it
 searches for the next gzip member or version line that passes all of them, recovers the records from there, and logs the bytes
-between as a quarantined gap.
+between as a quarantined gap. The same goes for the plain bytes of a gzip member: it is unpacked in steps, and one that breaks
+gives the records before its damage. Gaps inside a member name its plain bytes.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
+import itertools
 import re
 import uuid
 import zlib
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import as_bytes, filesystem, join_counted, new_folder, staged
 
-ARCHIVE_BYTES, MOST_BYTES, LEVEL, DATE = 16 << 20, 1 << 30, 1, "1970-01-01T00:00:00Z"
+ARCHIVE_BYTES, STEP_BYTES, KEPT_BYTES, LEVEL, DATE = 16 << 20, 1 << 20, 64 << 20, 1, "1970-01-01T00:00:00Z"
 _START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -54,16 +56,20 @@ def member(data: bytes) -> bytes:
 
 
 class Broken(ValueError):
-    """A record or member that fails a check."""
+    """A record or member that fails a check. ``needs``: with so many bytes from its start it could be told."""
+
+    def __init__(self, reason: str, needs: int = 0):
+        super().__init__(reason)
+        self.needs = needs
 
 
 def _open_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     """Headers, block and end of the record at a place, all checks passed."""
     if not _VERSION.match(data, at):
-        raise Broken("no version line")
+        raise Broken("no version line", 10 if len(data) - at < 10 else 0)
     end = data.find(b"\r\n\r\n", at)
     if end < 0:
-        raise Broken("header without an end")
+        raise Broken("header without an end", len(data) - at + 1)
     head: dict[str, str] = {}
     for line in data[at:end].split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
@@ -79,40 +85,124 @@ def _open_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     block = data[end + 4 : end + 4 + int(size)]
     stop = end + 4 + int(size)
     if len(block) < int(size) or data[stop : stop + 4] != b"\r\n\r\n":
-        raise Broken("wrong length")
+        raise Broken("wrong length", stop + 4 - at if stop + 4 > len(data) else 0)
     digest = head.get("warc-block-digest", "")
     if digest.lower().startswith("sha1:") and digest[5:].upper() != sha1_base32(block):
         raise Broken("wrong block digest")
     return head, block, stop + 4
 
 
-def _open_member(data: bytes, at: int) -> tuple[list[tuple[dict[str, str], bytes]], int]:
-    """The records of the gzip member at a place, and its end."""
-    unpacker = zlib.decompressobj(31)
+def _last_bytes(unpacker, piece: bytes) -> tuple[bytes, int]:
+    """What a step that fails gives before it fails, and how many bytes it reads for that."""
+    out, used = [], 0
+    for size in (4096, 1):
+        for i in range(0, len(piece), size):
+            saved = unpacker.copy()
+            try:
+                out.append(unpacker.decompress(piece[i : i + size]))
+            except zlib.error:
+                unpacker, piece, used = saved, piece[i : i + size], used + i
+                break
     try:
-        plain = unpacker.decompress(memoryview(data)[at:], MOST_BYTES)
-    except zlib.error as e:
-        raise Broken("broken gzip member") from e
-    if not unpacker.eof:
-        raise Broken("gzip member without an end")
-    found, inner = [], 0
-    while inner < len(plain):
-        head, block, inner = _open_record(plain, inner)
-        found.append((head, block))
-    if not found:
-        raise Broken("empty gzip member")
-    return found, len(data) - len(unpacker.unused_data)
+        while True:
+            out.append(unpacker.decompress(piece, 1))
+            piece = unpacker.unconsumed_tail
+            if not out[-1] and not piece:
+                break
+    except zlib.error:
+        pass
+    return b"".join(out), used + 1
+
+
+def _unpack(data: bytes, at: int) -> Iterator[tuple[bytes, int, str | None]]:
+    """(plain bytes, place, None) of the gzip member at a place, in steps; the last has the member's end and what broke it, or ""."""
+    view, unpacker, place = memoryview(data), zlib.decompressobj(31), at
+    while True:
+        piece = view[place : place + STEP_BYTES]
+        saved = unpacker.copy() if place > at else zlib.decompressobj(31)
+        try:
+            plain = unpacker.decompress(piece, STEP_BYTES)
+        except zlib.error:
+            plain, used = _last_bytes(saved, bytes(piece))
+            yield plain, place + used, "broken gzip member"
+            return
+        place += len(piece) - len(unpacker.unconsumed_tail) - len(unpacker.unused_data)
+        if unpacker.eof or not (plain or piece):
+            yield plain, place, "" if unpacker.eof else "gzip member without an end"
+            return
+        yield plain, place, None
+
+
+def _inner(steps: Iterator[bytes], total: int) -> Iterator[tuple[dict[str, str] | str, bytes | None]]:
+    """(headers, block) of the records in a member's ``total`` plain bytes, and (reason, None) of the gaps between."""
+    data, base, at, gap, reason = bytearray(), 0, 0, None, ""
+
+    def more(least: int) -> bool:
+        """Reads on until ``least`` bytes from the place are there, if the member has so many."""
+        nonlocal data, base, at
+        if base + at + least > total or base + len(data) >= total:
+            return False
+        data, base, at = data[at:], base + at, 0
+        wanted = max(least, 2 * len(data))
+        while len(data) < wanted and (step := next(steps, None)) is not None:
+            data += step
+        return True
+
+    while base + at < total:
+        try:
+            head, block, end = _open_record(data, at)
+        except Broken as e:
+            if e.needs and more(e.needs):
+                continue
+            if gap is None:
+                if data[at : at + 1] in (b"\r", b"\n"):
+                    at += 1
+                    continue
+                gap, reason = base + at, str(e)
+            m = _VERSION.search(data, at + 1)
+            at = m.start() if m else max(at + 1, len(data) - 9)
+            if at >= len(data):
+                more(1)
+            continue
+        if gap is not None:
+            yield f"{reason}: plain bytes {gap} to {base + at}", None
+            gap = None
+        yield head, bytes(block)
+        at = end
+    if gap is not None:
+        yield f"{reason}: plain bytes {gap} to {total}", None
+
+
+def _open_member(data: bytes, at: int) -> tuple[Iterator[tuple[dict[str, str] | str, bytes | None]], int, str]:
+    """The records and gaps of the gzip member at a place, its end, and what broke it, or "". A member of more than
+    ``KEPT_BYTES`` is unpacked again for its records, step by step."""
+    kept, total = [], 0
+    for plain, end, broken in _unpack(data, at):
+        total += len(plain)
+        if total <= KEPT_BYTES:
+            kept.append(plain)
+    found = _inner(iter(kept) if total <= KEPT_BYTES else (plain for plain, *_ in _unpack(data, at)), total)
+    first = []  # up to the first record
+    for x in found:
+        first.append(x)
+        if x[1] is not None:
+            return itertools.chain(first, found), end, broken
+    raise Broken(broken or (first[0][0].split(":")[0] if first else "empty gzip member"))
 
 
 def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict[str, str] | str, bytes]]:
     """("record", start, end, headers, block) and ("gap", start, end, reason of its first failure, b"") in file order. The
-    gaps and the records' places cover the file but for blank bytes between records."""
-    at, gap, reason = 0, None, ""
+    gaps and the records' places cover the file but for blank bytes between records. What a gzip member holds has the
+    member's place; the records of a broken one lie in its gap."""
+    at, gap, reason, unpacked = 0, None, "", 0
     while at < len(data):
+        broken = ""
         try:
             if data[at : at + 3] == b"\x1f\x8b\x08":
-                found, end = _open_member(data, at)
+                found, end, broken = _open_member(data, at)
             else:
+                if at < unpacked:
+                    raise Broken("inside a gzip member")  # a stored version line, whose record has been read
                 head, block, end = _open_record(data, at)
                 found = [(head, block)]
         except Broken as e:
@@ -129,8 +219,14 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict[str, str] | str,
             yield "gap", gap, at, reason, b""
             gap = None
         for head, block in found:
-            yield "record", at, end, head, block
-        at = end
+            yield ("gap", at, end, head, b"") if block is None else ("record", at, end, head, block)
+        if broken:
+            # Where the member really ends isn't known, so the search goes on inside it.
+            gap, reason, unpacked = at, broken, max(unpacked, end)
+            m = _START.search(data, at + 1)
+            at = m.start() if m else len(data)
+        else:
+            at = end
     if gap is not None:
         yield "gap", gap, len(data), reason, b""
 

@@ -81,3 +81,35 @@ def test_write_and_read(spark, tmp_path):
     assert [(r["start"], r["end"], r["reason"]) for r in found if r["kind"] == "gap"] == [(0, 6, "no version line")]
     empty = warc.write_archives(warc.plan(df.limit(0)))
     assert empty.count() == 0 and warc.read_archives(empty).count() == 0
+
+
+@pytest.mark.parametrize("step,kept", [(1 << 20, 64 << 20), (512, 0)])
+def test_damage_in_a_member_of_many_records(monkeypatch, step, kept):
+    monkeypatch.setattr(warc, "STEP_BYTES", step)
+    monkeypatch.setattr(warc, "KEPT_BYTES", kept)
+    rng = random.Random(5)
+    pages = [(i, rng.randbytes(rng.randrange(0, 3_000))) for i in range(12)]
+    records = archive(pages, packed=False)
+    whole, after = warc.member(b"".join(records)), warc.member(warc.record("response", 99, "http://x/99", b"after"))
+    assert recovered(whole + after) == [*pages, (99, b"after")] and covered(whole + after)
+    # A bad record inside a sound member.
+    bad = list(records)
+    bad[4] = bad[4].replace(b"HTTP/1.1", b"HTTX/1.1")
+    bad[7] = bad[7][: len(bad[7]) // 2]
+    data = warc.member(b"".join(bad)) + after
+    assert recovered(data) == [p for p in pages if p[0] not in (4, 7)] + [(99, b"after")]
+    gaps = [x for x in warc.salvage(data) if x[0] == "gap"]
+    assert len(gaps) == 2 and all("plain bytes" in x[3] for x in gaps) and covered(data)
+    # A wrong CRC, a cut tail and a flipped byte lose nothing before them.
+    wrong = whole[:-8] + bytes([whole[-8] ^ 1]) + whole[-7:]
+    assert recovered(wrong + after) == [*pages, (99, b"after")] and [x[3] for x in warc.salvage(wrong + after) if x[0] == "gap"] == ["broken gzip member"]
+    for data in (whole[: len(whole) * 2 // 3], whole[: len(whole) // 2] + b"\xff" * 40 + whole[len(whole) // 2 + 40 :]):
+        for tail in (b"", after):
+            got = recovered(data + tail)
+            own = got[:-1] if tail else got
+            assert len(own) >= 4 and [p for p in pages if p in own] == own and (not tail or got[-1] == (99, b"after"))
+            assert any(x[0] == "gap" for x in warc.salvage(data + tail))
+    # Stored bytes show the version lines as well: each record comes once.
+    packer = __import__("zlib").compressobj(0, 8, 31)
+    stored = packer.compress(b"".join(records)) + packer.flush()
+    assert recovered(stored[:-8] + b"12345678" + after) == [*pages, (99, b"after")]
