@@ -4,7 +4,9 @@ Values are found by pattern and then validated: payment cards by the Luhn sum, I
 calendar, IPv4 addresses by their octets, telephone and social security numbers by their shape and ranges, e-mail addresses by
 shape. A pattern may take the next word or number along: so an IBAN is first tried at its country's length, a telephone number
 that is too long is tried at its shorter ends, and after a candidate that doesn't pass the search goes on one token after its start.
-What doesn't pass is left alone.
+What doesn't pass is left alone. A number of up to 15 digits after a + is one telephone
+number, with whatever figure follows it. Where a pseudonym would make an overlapping refused candidate valid, the next one of the
+permutation is taken, to keep the way back; only there equal values may get different pseudonyms.
 
 A keyed Feistel network permutes each value's digits and letters within its format: length, separators, letter case, country
 code, mail domain, widths of day and month all stay, and check digits are made anew, so a pseudonym is valid where its value
