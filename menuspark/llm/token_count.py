@@ -3,12 +3,17 @@
 A token file is nothing but token ids, little-endian and of one width, each document followed by the end-of-document id. The
 files are cut into blocks, whatever documents lie there. A task finds all separators of a block at once and notes the lengths
 between them, the tokens before the first and after the last. A prefix scan over a file's blocks then carries the open tokens of
-earlier blocks to the next separator and numbers the documents, so a document may span any number of blocks.
+earlier blocks to the next separator and numbers the documents, so a document may span any number of blocks. The scan has a few
+numbers a block; the lengths inside blocks meet its result by a join.
+
+Texts of any length and kind are encoded: the splitting pattern looks ahead after white space, which its engine can't do over
+very long runs, so these are cut out first, where the pattern itself would cut.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,7 +27,9 @@ from .common import filesystem, new_folder, slices, staged
 RANKS, END, WIDTH = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken", 50_256, 2
 #: The published splitting pattern of these vocabularies.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-BLOCK_TOKENS, FILE_BYTES = 1 << 20, 64 << 20
+BLOCK_TOKENS, FILE_BYTES, LONG_RUN = 1 << 20, 64 << 20, 1000
+#: Unicode's white space, which the pattern's \s is; Python's own has four control characters more.
+_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_RUN)
 
 
 @dataclass
@@ -44,6 +51,19 @@ class Tokenizer:
 
         return tiktoken.Encoding("own", pat_str=self.split, mergeable_ranks=self.ranks, special_tokens={})
 
+    def encode(self, encoder, text: str) -> list[int]:
+        """The ids of a whole text. A run of white space is one piece but for its last character, which may belong to what comes
+        after it; at the end of the text it is one piece."""
+        if self.split != SPLIT:
+            return encoder.encode_ordinary(text)
+        ids, at = [], 0
+        for m in _RUN.finditer(text):
+            end = m.end() - (m.end() < len(text))
+            ids += encoder.encode_ordinary(text[at : m.start()])
+            ids += encoder._encode_single_piece(text[m.start() : end])
+            at = end
+        return ids + encoder.encode_ordinary(text[at:]) if at else encoder.encode_ordinary(text)
+
 
 def _write(shared, folder: str, file_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,7 +82,7 @@ def _write(shared, folder: str, file_bytes: int):
                         system.create_dir(place, recursive=True)
                         name, size, ordinal = f"{folder}/part-{uuid.uuid4().hex}.bin", 0, 0
                         out = system.open_output_stream(f"{place}/{name.rpartition('/')[2]}", compression=None)
-                    data = np.array(encoder.encode_ordinary(text or ""), kind).tobytes() + stop
+                    data = np.array(made.encode(encoder, text or ""), kind).tobytes() + stop
                     out.write(data)
                     size += len(data)
                     names.append(name)
@@ -131,11 +151,13 @@ def count_tokens(paths: DataFrame, *, end: int = END, width: int = WIDTH, block_
     order = Window.partitionBy("path").orderBy("block")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     # Blocks of one run: one with separators and those after it that have none. Their tails are open at the next separator.
-    run = scanned.withColumn("run", F.sum(F.when(F.col("ends") > 0, 1).otherwise(0)).over(order))
+    slim = scanned.select("path", "block", "ends", "head", "tail")
+    run = slim.withColumn("run", F.sum(F.when(F.col("ends") > 0, 1).otherwise(0)).over(order))
     open_now = F.sum("tail").over(Window.partitionBy("path", "run").orderBy("block"))
     carried = run.withColumn("open", open_now).withColumn("carry", F.coalesce(F.lag("open").over(order), F.lit(0)))
     carried = carried.withColumn("first", F.coalesce(F.sum("ends").over(before), F.lit(0))).withColumn("last", F.lead("block").over(order).isNull())
-    whole = F.when(F.col("ends") > 0, F.concat(F.array(F.col("carry") + F.col("head")), F.col("inner"))).otherwise(F.array().cast("array<long>"))
-    documents = carried.select("path", "first", F.posexplode(whole).alias("at", "n_tokens")).select("path", (F.col("first") + F.col("at")).alias("ordinal"), "n_tokens", F.lit(True).alias("complete"))
+    whole = F.concat(F.array(F.col("carry") + F.col("head")), F.col("inner"))
+    lengths = scanned.select("path", "block", "inner").join(carried.filter("ends > 0").select("path", "block", "first", "carry", "head"), ["path", "block"])
+    documents = lengths.select("path", "first", F.posexplode(whole).alias("at", "n_tokens")).select("path", (F.col("first") + F.col("at")).alias("ordinal"), "n_tokens", F.lit(True).alias("complete"))
     rest = carried.filter("last and open > 0").select("path", (F.col("first") + F.col("ends")).alias("ordinal"), F.col("open").alias("n_tokens"), F.lit(False).alias("complete"))
     return documents.unionByName(rest)

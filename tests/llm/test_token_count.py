@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import os
 import random
+import re
+import time
 
 import numpy as np
 import pytest
@@ -46,3 +48,25 @@ def test_counts_equal_direct_encoding(spark, sf_dir):
     assert got == sorted(((r["doc_id"], len(encoder.encode_ordinary(r["text"] or ""))) for r in both.collect()), key=str)
     none = tc.write_token_files(both.limit(0), made)
     assert none.count() == 0 and tc.count_tokens(none).count() == 0
+
+
+@needs
+def test_long_runs_are_cut_where_the_pattern_cuts(monkeypatch):
+    made, rng = tc.Tokenizer.load(), random.Random(1)
+    encoder = made.encoder()
+    monkeypatch.setattr(tc, "_RUN", re.compile(tc._RUN.pattern.replace("{1000,}", "{2,}")))
+    for _ in range(5000):
+        text = "".join(rng.choice(" \n\t\u3000\x1c\x85a1'.s") for _ in range(rng.randrange(30)))
+        assert made.encode(encoder, text) == encoder.encode_ordinary(text), repr(text)
+
+
+@needs
+def test_very_long_texts(spark):
+    began = time.monotonic()
+    rows = [(1, " " * 5_000_000), (2, "a" + "\n" * 2_000_000 + "b"), (3, "\u3000" * 300_000 + "x"), (4, "é" * 500_000), (5, "#" * 1_000_000)]
+    made = tc.Tokenizer.load()
+    order = tc.write_token_files(spark.createDataFrame(rows, "doc_id long, text string"), made)
+    got = {r["id"]: r["n_tokens"] for r in order.join(tc.count_tokens(order), ["path", "ordinal"]).collect()}
+    encoder = made.encoder()
+    assert got == {i: len(made.encode(encoder, t)) for i, t in rows} and got[1] > 10_000
+    assert time.monotonic() - began < 60
