@@ -1,8 +1,8 @@
 """Toxicity by maximum-scoring segments.
 
 Every token has a log-odds score: how much likelier it is in toxic texts than in others, under an informative Dirichlet
-prior (Monroe, Colaresi and Quinn, 2008). A token is a word; the features counted are the word and its beginnings of
-``LEAST`` letters or more, and a word takes the score of its longest listed feature, so that unseen endings of a known
+prior (Monroe, Colaresi and Quinn, 2008). A token is a word; its features are its beginnings of ``LEAST`` to ``LONGEST`` letters
+(a shorter word's is itself), and a word takes the score of its longest listed feature, so that unseen endings of a known
 stem count. Features whose z-score is under ``least_z`` or whose score is under ``LEAST_DELTA`` are not listed; all unlisted tokens share one negative score.
 
 A linear scan (Ruzzo and Tompa, 1999) finds all maximal-scoring segments of a whole text. Under the scores' background
@@ -25,10 +25,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import crc_fold, slices
+from .common import crc_fold, slices, staged
 
-LEAST, FOLDS, SAMPLE_DOCS, LEAST_Z, LEAST_DELTA, PRIOR = 4, 5, 6000, 4.0, 2.5, 0.05
-MOST_FEATURES, MOST_EXPECTED, THRESHOLD = 200_000, 0.05, 0.5
+LEAST, LONGEST, FOLDS, SAMPLE_DOCS, LEAST_Z, LEAST_DELTA, PRIOR = 4, 32, 5, 6000, 4.0, 2.5, 0.05
+MOST_EXPECTED, THRESHOLD = 0.05, 0.5
 PASSAGES = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType()), T.StructField("expected", T.DoubleType())]))
 WORD = re.compile(r"\w+")
 
@@ -42,15 +42,17 @@ class Model:
     slope: float = 1.0
     shift: float = 0.0
     heads: frozenset[str] = field(default_factory=frozenset)
+    longest: int = 0
 
     def __post_init__(self):
         self.heads = frozenset(w[:LEAST] for w in self.listed)
+        self.longest = max(map(len, self.listed), default=0)
 
     def of(self, word: str) -> float | None:
         """The score of the longest listed beginning of a word."""
         if word in self.listed:
             return self.listed[word]
-        for n in range(len(word) - 1, LEAST - 1, -1):
+        for n in range(min(len(word) - 1, self.longest), LEAST - 1, -1):
             if word[:n] in self.listed:
                 return self.listed[word[:n]]
         return None
@@ -116,7 +118,7 @@ def probability(model: Model, e: float) -> float:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(feature, occurrences in texts of label 1, of label 0, whether it is a whole word, number of texts)."""
+    """(feature, occurrences in texts of label 1, of label 0); the feature "" has all tokens."""
     for batch in slices(batches, 2048):
         words: tuple[Counter, Counter] = (Counter(), Counter())
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -124,7 +126,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, list[int]] = {}
         for label in (0, 1):
             for w, n in words[label].items():
-                for m in range(min(LEAST, len(w)), len(w) + 1):
+                for m in range(min(LEAST, len(w)), min(LONGEST, len(w)) + 1):
                     found.setdefault(w[:m], [0, 0])[label] += n
         totals = [sum(words[0].values()), sum(words[1].values())]
         keys = [*found, ""]
@@ -171,19 +173,21 @@ def _background(listed: np.ndarray, tokens: float, other: float) -> float:
 
 def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, folds: int = FOLDS, least_z: float = LEAST_Z) -> Model:
     """Learn from labelled rows whose fold, crc32(id as text) mod ``folds``, is not 0: of each class the ``sample_docs``
-    ids with the smallest hashes. The listed features are at most ``MOST_FEATURES`` (those of the largest z)."""
+    ids with the smallest hashes, staged once. All features that pass are listed; at ``LEAST_Z`` each of them occurs some dozens of
+    times in the sample, which bounds the list."""
     spark = docs.sparkSession
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label in (0, 1)").filter(crc_fold(F.col("id"), folds) != 0)
     ones, total = known.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count("*")).first()
     chosen = [known.filter(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(sample_docs) for k in (0, 1)]
     sample = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen[0].unionByName(chosen[1])), "id").select("text", "label")
+    sample = staged(sample, "toxicity-sample")
     counts = sample.mapInArrow(_features, "feature string, ones long, zeros long").groupBy("feature").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros")).cache()
     n1, n0 = counts.filter("feature = ''").select("ones", "zeros").first() or (0, 0)
     shift = math.log(max(ones, 0.5) / max(total - ones, 0.5)) if total else 0.0
     if not n1 or not n0:  # one class, or nothing, to learn from
         counts.unpersist()
         return Model({}, -1.0, slope=0.0, shift=shift)
-    top = log_odds(counts.filter("feature != '' and ones > 2"), n1, n0).filter((F.col("z") >= least_z) & (F.col("delta") >= LEAST_DELTA)).orderBy(F.desc("z"), "feature").limit(MOST_FEATURES).select("feature", "delta").collect()
+    top = log_odds(counts.filter("feature != ''"), n1, n0).filter((F.col("z") >= least_z) & (F.col("delta") >= LEAST_DELTA)).select("feature", "delta").collect()
     counts.unpersist()
     listed = {r["feature"]: r["delta"] for r in top}
     seen = sample.mapInArrow(_observe(spark.sparkContext.broadcast(Model(listed, -0.01))), "label int, tokens long, scores array<double>, listed array<double>").select("label", "tokens", F.size("listed").alias("n"))

@@ -1,7 +1,11 @@
 from __future__ import annotations
 
+import math
 import random
+import re
+import time
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from menuspark.llm import toxicity
@@ -54,3 +58,63 @@ def test_nothing_to_learn_from(spark):
     labels = spark.createDataFrame([(1, 0), (2, 0), (None, 1)], "doc_id long, toxic int")
     assert [r["toxicity"]["score"] < 0.5 for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()] == [True, True]
     assert toxicity.score(docs.limit(0), toxicity.fit(docs.limit(0), labels.limit(0))).count() == 0
+
+
+def test_log_odds_by_hand(spark):
+    counts = {"a": (40, 1), "b": (3, 300), "c": (0, 7), "d": (5, 5)}
+    n1, n0 = 500, 4000
+    rows = [(f, *c) for f, c in counts.items()]
+    for r in toxicity.log_odds(spark.createDataFrame(rows, "feature string, ones long, zeros long"), n1, n0, prior=0.1).collect():
+        y1, y0 = counts[r["feature"]]
+        a, total = 0.1 * (y1 + y0), 0.1 * (n1 + n0)
+        odds = lambda y, n: (y + a) / (n + total - y - a)
+        delta = math.log(odds(y1, n1)) - math.log(odds(y0, n0))
+        assert math.isclose(r["delta"], delta, rel_tol=1e-9) and math.isclose(r["z"], delta / math.sqrt(1 / (y1 + a) + 1 / (y0 + a)), rel_tol=1e-9)
+
+
+def plain_score(model: toxicity.Model, text: str) -> float:
+    """The probability by definition: a score for every token, segments by recursion, the sum statistic tried for each r."""
+    def of(w):
+        own = [f for f in model.listed if w == f or (len(f) >= toxicity.LEAST and w.startswith(f))]
+        return model.listed[max(own, key=len)] if own else model.other
+
+    words = re.findall(r"\w+", text.lower())
+    found = sorted((s for _, _, s in plain_segments([of(w) for w in words])), reverse=True)
+    best = total = 0.0
+    for r, s in enumerate(found, 1):
+        x = model.rate * s - math.log(model.k * len(words))
+        if total + x <= total:
+            break
+        total += x
+        p = -math.log(-math.expm1(-math.exp(-total))) if r == 1 and total < 30 else total - (r - 1) * math.log(total) + math.log(math.factorial(r)) + math.log(math.factorial(r - 1))
+        best = max(best, p - (r - 1) * math.log(2))
+    return 1 / (1 + math.exp(-(model.slope * math.log1p(min(best, 500)) + model.shift)))
+
+
+def test_scores_equal_the_definition(spark):
+    rng = random.Random(9)
+    model = toxicity.Model({"idio": 3.0, "idiot": 5.5, "vile": 4.0, "bad": 1.2, "dumb": 3.3}, -0.2137, rate=0.8, k=0.2, slope=2.0, shift=-3.0)
+    words = ["calm", "words", "idiot", "idiots", "idiocy", "viler", "bad", "badly", "dumb", "du", "x" * 50]
+    rows = [(i, " ".join(rng.choice(words[:2] * 6 + words) for _ in range(rng.randrange(0, 60)))) for i in range(60)]
+    got = {r["doc_id"]: r["toxicity"]["score"] for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert all(abs(got[i] - plain_score(model, t)) < 1e-8 for i, t in rows)
+    assert max(got.values()) > 0.8 > 0.2 > min(got.values())
+
+
+def test_a_very_long_token(spark):
+    """A word of a million letters costs no more than its letters, also behind a listed head."""
+    began = time.monotonic()
+    rows = [(i, ("idiot fool " if i % 2 else "calm sea ") * 40 + ("idiot" + "x" * 1_000_000 if i < 3 else "")) for i in range(1, 200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert {"idiot", "fool"} <= model.listed.keys() and model.longest <= toxicity.LONGEST
+    got = {r["doc_id"]: r["toxicity"]["score"] for r in toxicity.score(docs, model).collect()}
+    assert all((got[i] > 0.5) == (i % 2 == 1) for i, _ in rows) and time.monotonic() - began < 90
+
+
+def test_the_background_solves_its_equation():
+    listed = np.array([3.0, 2.5, 4.0] * 10)
+    rate = toxicity._background(listed, 50_000.0, -0.05)
+    total = (50_000 - 30) / 50_000 * math.exp(rate * -0.05) + sum(math.exp(rate * s) for s in listed) / 50_000
+    assert 0.05 < rate < 2 and abs(total - 1) < 1e-6
