@@ -5,8 +5,9 @@ and no log probabilities, so there the k-th best piece gets Zipf's log score, -l
 
 Spaces become the marker U+2581, with one before the text. No piece has a marker after another character, and none has a
 newline (``Pieces`` looks), so the best path of a text is the best paths of its words, one after another: each distinct
-word of a batch is searched once, all words of a length together by numpy, with the trie's steps as array lookups. Words
-over ``LONG`` bytes are searched one by one, in linear time. A character that no piece covers costs the lowest score less 10 and
+word of a batch is searched once, all words of a length together by numpy, with the trie's steps as array lookups. A word
+over ``LONG`` bytes, as a line is in scripts without spaces, is first cut wherever no piece reaches across, again by numpy for all
+starts at once; a part that is still longer is searched alone, in linear time. A character that no piece covers costs the lowest score less 10 and
 is written as its bytes. Decoding joins the pieces and bytes, turns markers into spaces and takes the first one away.
 """
 
@@ -25,7 +26,7 @@ from .common import as_bytes, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁".encode()
-LONG, UNKNOWN_COST, CACHE_WORDS, BATCH_BYTES = 64, 10.0, 200_000, 2 << 20
+LONG, UNKNOWN_COST, CACHE_BYTES, WORD_BYTES, BATCH_BYTES, CUT_BYTES = 64, 10.0, 48 << 20, 150, 2 << 20, 1 << 20
 
 
 class DoubleArray:
@@ -86,25 +87,62 @@ class Pieces:
             words = rb" +[^ \n]*|[^ \n]+|\n"
         self.words = re.compile(words)
         self.cache: dict[bytes, bytes] = {}
+        self.held = 0  # bytes of the cache, with ``WORD_BYTES`` for each entry's own
+        self.lists: tuple | None = None
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "cache"}
-
-    def __setstate__(self, state):
-        self.__dict__ |= state | {"cache": {}}
+        return self.__dict__ | {"cache": {}, "held": 0, "lists": None}
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The piece ids of each text (UTF-8)."""
         split = [self.words.findall(self.spaced(t)) for t in texts]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        missing = list(set().union(*split) - self.cache.keys())
-        marked = [w.replace(b" ", MARK) for w in missing]
-        order = sorted(range(len(missing)), key=lambda i: len(marked[i]))
+        if self.held > CACHE_BYTES:
+            self.cache, self.held = {}, 0
+        missing = {w: w.replace(b" ", MARK) for w in set().union(*split) - self.cache.keys()}
+        long = [w for w, m in missing.items() if len(m) > LONG]
+        parts = {w: self._cut(missing.pop(w)) for w in long}
+        missing |= {p: p for p in set().union(*parts.values()) - self.cache.keys()}
+        order = sorted(missing, key=lambda w: len(missing[w]))
         for at in range(0, len(order), 65_536):
             own = order[at : at + 65_536]
-            self.cache |= zip([missing[i] for i in own], self._search([marked[i] for i in own]))
-        return [np.frombuffer(b"".join([self.cache[w] for w in own]), np.int32) for own in split]
+            found = self._search([missing[w] for w in own])
+            self.cache |= zip(own, found)
+            self.held += sum(map(len, own)) + sum(map(len, found)) + WORD_BYTES * len(own)
+        cache = self.cache
+        if parts:
+            cache = cache | {w: b"".join([cache[p] for p in own]) for w, own in parts.items()}
+        return [np.frombuffer(b"".join([cache[w] for w in own]), np.int32) for own in split]
+
+    def _cut(self, word: bytes) -> list[bytes]:
+        """The word's parts between places that no piece and no character reaches across: the best path of the word is the best
+        paths of these."""
+        data, size = np.frombuffer(word, np.uint8), len(word)
+        base, check, value = self.trie.base, self.trie.check, self.trie.value
+        ends, far = [], 0
+        for low in range(0, size, CUT_BYTES):
+            high = min(low + CUT_BYTES, size)
+            codes = data[low : min(high + self.longest, size)].astype(np.int32)
+            own = codes[: high - low]
+            rows = np.flatnonzero(own & 0xC0 != 0x80)
+            lead = own[rows]
+            reach = np.zeros(len(own), np.int64)
+            reach[rows] = np.minimum(rows + np.where(lead < 0x80, 1, np.where(lead < 0xE0, 2, np.where(lead < 0xF0, 3, 4))), size - low)
+            node = np.zeros(len(rows), np.int32)
+            for j in range(self.longest):
+                inside = rows + j < len(codes)
+                rows, node = rows[inside], node[inside]
+                to = base[node] + codes[rows + j]
+                ok = check[to] == node
+                rows, node = rows[ok], to[ok]
+                if not len(rows):
+                    break
+                whole = rows[value[node] >= 0]
+                reach[whole] = np.maximum(reach[whole], whole + j + 1)
+            furthest = np.maximum(np.maximum.accumulate(reach) + low, far)
+            far = int(furthest[-1])
+            place = np.arange(low + 1, high + 1)
+            ends += place[furthest <= place].tolist()
+        return [word[a:b] for a, b in zip([0, *ends[:-1]], ends)]
 
     def spaced(self, text: bytes) -> bytes:
         """With the space before it; a marker in the text itself is a space as well."""
@@ -187,7 +225,9 @@ class Pieces:
 
     def one(self, word: bytes) -> np.ndarray:
         """The same for one word of any length."""
-        base, check, value = self.trie.base, self.trie.check, self.trie.value
+        if self.lists is None:
+            self.lists = self.trie.base.tolist(), self.trie.check.tolist(), self.trie.value.tolist(), self.scores.tolist()
+        base, check, value, scores = self.lists
         size = len(word)
         best, back, piece = [-math.inf] * (size + 1), [0] * (size + 1), [-1] * (size + 1)
         best[0] = 0.0
@@ -198,14 +238,14 @@ class Pieces:
             width = min(1 if c < 0x80 else 2 if c < 0xE0 else 3 if c < 0xF0 else 4, size - i)
             node, single, now = 0, False, best[i]
             for j in range(i, min(i + self.longest, size)):
-                to = int(base[node]) + word[j]
+                to = base[node] + word[j]
                 if check[to] != node:
                     break
                 node = to
-                number = int(value[node])
+                number = value[node]
                 if number >= 0:
                     single |= j + 1 - i == width
-                    total = now + float(self.scores[number])
+                    total = now + scores[number]
                     if total > best[j + 1]:
                         best[j + 1], back[j + 1], piece[j + 1] = total, i, number
             if not single and now + self.unknown > best[i + width]:

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -110,3 +111,33 @@ def test_scores_of_the_file():
     model = sp.load(scores="file")
     ids = model.encode([b"hello there"])[0]
     assert model.decode(ids.tolist()) == b"hello there"
+
+
+def test_long_words_are_cut_where_no_piece_reaches_across(model, monkeypatch):
+    rng = random.Random(3)
+    for _ in range(400):
+        word = "".join(rng.choice("etaoinshr é漢字の\U0001F600") for _ in range(rng.randrange(20, 120))).replace(" ", "▁").encode()
+        monkeypatch.setattr(sp, "CUT_BYTES", 1 << 20)
+        parts = model._cut(word)
+        assert b"".join(parts) == word
+        monkeypatch.setattr(sp, "CUT_BYTES", 17)
+        assert model._cut(word) == parts
+        joined = [i for p in parts for i in model.one(p)]
+        assert abs(total(model, joined) - total(model, model.one(word))) < 1e-9
+
+
+def test_a_megabyte_line_without_spaces(model):
+    rng = random.Random(5)
+    lines = ["".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(350_000)), "".join(chr(rng.randrange(0xE01, 0xE3A)) for _ in range(350_000)), "".join(rng.choice("etaoinshrdlu") for _ in range(1_000_000)), "\U0001F600" * 250_000]
+    for line in lines:
+        began = time.monotonic()
+        ids = model.encode([line.encode()])[0]
+        assert model.decode(ids.tolist()).decode() == line and time.monotonic() - began < 20
+    assert model.held > 0
+
+
+def test_the_cache_is_bounded_by_bytes(model, monkeypatch):
+    monkeypatch.setattr(sp, "CACHE_BYTES", 20_000)
+    for k in range(30):
+        model.encode([" ".join(f"w{k}x{i}" * 3 for i in range(50)).encode()])
+        assert model.held < 60_000 and len(model.cache) <= model.held // sp.WORD_BYTES
