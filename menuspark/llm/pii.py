@@ -8,18 +8,23 @@ What doesn't pass is left alone. A number of up to 15 digits after a + is one te
 number, with whatever figure follows it. Where a pseudonym would make an overlapping refused candidate valid, the next one of the
 permutation is taken, to keep the way back; only there equal values may get different pseudonyms.
 
-A keyed Feistel network permutes each value's digits and letters within its format: length, separators, letter case, country
-code, mail domain, widths of day and month all stay, and check digits are made anew, so a pseudonym is valid where its value
-was. The key, the kind and the format alone choose the permutation; so equal values get equal pseudonyms in all documents,
-different values of one format different ones, and who has the key can turn them back (``reveal``). It is a map over documents
-without any state or shuffle.
+A keyed Feistel network permutes each value's digits and letters within its format: length, separators, letter case, script,
+country code, mail domain, widths of day and month all stay, and check digits are made anew, so a pseudonym is valid where its value
+was. Digits of any script count by their values and letters of any script move within their script, case and code page. Dates move
+among those whose day and month have as many digits (and whose day is as much over 12), so a date has one pseudonym in every
+notation. No value is its own pseudonym: E and D being the network and its inverse, x goes to D(E(x) + 1), a permutation without
+fixed points. The key, the kind and the format alone choose the permutation; so equal values get equal pseudonyms in all documents,
+different values of one format different ones, and who has the key, of any length, can turn them back (``reveal``). It is a map over
+documents without any state or shuffle.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import functools
 import hashlib
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -30,7 +35,7 @@ from .common import slices
 ROUNDS = 10
 _FIRST, _LAST = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
 PATTERN = re.compile(
-    r"(?P<email>(?<![\w.%+\-])[\w.%+\-]{1,64}@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w\-]))"
+    r"(?P<email>(?:(?<![\w.%+\-\u0300-\u036f])[\w.%+\-\u0300-\u036f]{1,64}|(?<![A-Za-z0-9_.%+\-])[A-Za-z0-9_.%+\-]{1,64})@(?:[\w\-]{1,63}\.){1,8}(?:[A-Za-z]{2,24}(?![A-Za-z0-9_\-])|[^\W\d_\x00-\x7f]{2,24}))"
     r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
     r"|(?P<date>(?<![\d.\-/])(?:\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}-\d{1,2}-\d{4})(?![\d\-/]|\.\d))"
     r"|(?P<ip>(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d))"
@@ -78,24 +83,57 @@ def feistel(key: bytes, tweak: str, value: int, size: int, back: bool = False) -
             return value
 
 
-_ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
-_OF = {c: a for a in _ALPHABETS for c in a}
+def moved(key: bytes, tweak: str, value: int, size: int, back: bool = False) -> int:
+    """The permutation of 0..size-1 that is used: one place further in the network's order, so that nothing stays itself."""
+    if size < 2:
+        return value
+    return feistel(key, tweak, (feistel(key, tweak, value, size) + (-1 if back else 1)) % size, size, True)
+
+
+_ASCII = {c: a for a in ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ") for c in a}
+
+
+@functools.lru_cache(65_536)
+def alphabet(c: str) -> str:
+    """What a character may become, itself included: the ten digits of its script, or the letters of its script and case on its page
+    of 256 code points; "" for what keeps its place."""
+    if c.isascii():
+        return _ASCII.get(c, "")
+    if c.isdecimal():
+        zero = ord(c) - unicodedata.decimal(c)
+        return "".join(map(chr, range(zero, zero + 10)))
+    if not c.isalpha():
+        return ""
+    script = lambda x: (unicodedata.category(x), unicodedata.name(x, "").split(" ")[0])
+    page = ord(c) & ~0xFF
+    own = "".join(x for x in map(chr, range(max(page, 128), page + 256)) if x.isalpha() and script(x) == script(c))
+    return own if len(own) > 1 else ""
 
 
 def characters(key: bytes, kind: str, text: str, back: bool = False) -> str:
-    """Digits among digits, letters among letters of their case; all other characters keep their places. The tweak is the
-    shape without separators, so one number written in several ways keeps one pseudonym."""
-    own = [c for c in text if c in _OF]
+    """Digits among digits, letters among letters of their script and case; all other characters keep their places. The tweak is
+    the shape without separators, so one number written in several ways keeps one pseudonym."""
+    own = [(c, a) for c in text if (a := alphabet(c))]
     value, size = 0, 1
-    for c in own:
-        a = _OF[c]
+    for c, a in own:
         value, size = value * len(a) + a.index(c), size * len(a)
-    value = feistel(key, kind + "".join(_OF[c][0] for c in own), value, size, back)
+    value = moved(key, kind + "".join(a[0] for _, a in own), value, size, back)
     out = []
-    for c in reversed(own):
-        value, i = divmod(value, len(_OF[c]))
-        out.append(_OF[c][i])
-    return "".join(out.pop() if c in _OF else c for c in text)
+    for _, a in reversed(own):
+        value, i = divmod(value, len(a))
+        out.append(a[i])
+    return "".join(out.pop() if alphabet(c) else c for c in text)
+
+
+def _plain(text: str) -> str:
+    """With ASCII digits for those of other scripts."""
+    return "".join(str(unicodedata.decimal(c)) if c.isdecimal() else c for c in text)
+
+
+def _dressed(new: str, like: str) -> str:
+    """``new`` with its digits in the script that ``like`` has at their places; where the lengths differ, in that of its first digit."""
+    places = like if len(like) == len(new) else next(c for c in like if c.isdecimal()) * len(new)
+    return "".join(chr(ord(c) - unicodedata.decimal(c) + int(n)) if n.isdecimal() and c.isdecimal() else n for n, c in zip(new, places))
 
 
 def luhn_digit(digits: str) -> str:
@@ -130,37 +168,40 @@ def _iban(key: bytes, text: str, back: bool) -> str | None:
     return "".join(c if c == " " else next(own) for c in text)
 
 
+@functools.cache
+def _days() -> tuple[dict[tuple, list[int]], dict[int, tuple[tuple, int]]]:
+    """All days by the digits of day and month and whether the day is over 12, and each day's group and place in it."""
+    groups: dict[tuple, list[int]] = {}
+    places = {}
+    for n in range(_FIRST, _LAST + 1):
+        d = dt.date.fromordinal(n)
+        group = (d.day > 9) + (d.day > 12), d.month > 9
+        own = groups.setdefault(group, [])
+        places[n] = group, len(own)
+        own.append(n)
+    return groups, places
+
+
 def _date(key: bytes, text: str, back: bool) -> str | None:
+    """A number over 12 tells day from month; otherwise the day comes first. So the pseudonym's is read as its value's was."""
     parts, mark = re.split(r"[./\-]", text), re.search(r"[./\-]", text)[0]
-    widths = [len(p) for p in parts]
     first, second = int(parts[0]), int(parts[1])
-    order = "ymd" if widths[0] == 4 else "mdy" if first <= 12 < second else "dmy"
+    order = "ymd" if len(parts[0]) == 4 else "mdy" if first <= 12 < second else "dmy"
     own = dict(zip(order, map(int, parts)))
-
-    def write(n: int) -> str | None:
-        d = dt.date.fromordinal(n + _FIRST)
-        if order == "mdy" and d.day <= 12:
-            return None  # it would be read as day, month, year
-        got = [str({"y": d.year, "m": d.month, "d": d.day}[c]).zfill(w) for c, w in zip(order, widths)]
-        return mark.join(got) if all(len(g) == w for g, w in zip(got, widths)) else None
-
+    groups, places = _days()
     try:
-        n = dt.date(own["y"], own["m"], own["d"]).toordinal() - _FIRST
-    except ValueError:
+        group, place = places[dt.date(own["y"], own["m"], own["d"]).toordinal()]
+    except (ValueError, KeyError):
         return None
-    if not 0 <= n <= _LAST - _FIRST:
-        return None
-    while True:  # walk to a date of the same widths and reading
-        n = feistel(key, "date", n, _LAST - _FIRST + 1, back)
-        if (out := write(n)) is not None:
-            return out
+    d = dt.date.fromordinal(groups[group][moved(key, f"date{group}", place, len(groups[group]), back)])
+    return mark.join(str({"y": d.year, "m": d.month, "d": d.day}[c]).zfill(len(p)) for c, p in zip(order, parts))
 
 
 def _ip(key: bytes, text: str, back: bool) -> str | None:
     parts = text.split(".")
     if any(int(p) > 255 or (len(p) > 1 and p[0] == "0") for p in parts):
         return None
-    n = feistel(key, "ip", int.from_bytes(bytes(map(int, parts)), "big"), 1 << 32, back)
+    n = moved(key, "ip", int.from_bytes(bytes(map(int, parts)), "big"), 1 << 32, back)
     return ".".join(map(str, n.to_bytes(4, "big")))
 
 
@@ -189,7 +230,7 @@ def _phone(key: bytes, text: str, back: bool) -> str | None:
 
 def _email(key: bytes, text: str, back: bool) -> str | None:
     local, at, domain = text.rpartition("@")
-    if ".." in text or local[0] in ".-" or local[-1] == "." or not any(c in _OF for c in local):
+    if ".." in text or local[0] in ".-" or local[-1] == "." or not any(map(alphabet, local)):
         return None
     return characters(key, "email", local, back) + at + domain
 
@@ -197,6 +238,17 @@ def _email(key: bytes, text: str, back: bool) -> str | None:
 KINDS: dict[str, Callable[[bytes, str, bool], str | None]] = {"email": _email, "iban": _iban, "date": _date, "ip": _ip, "ssn": _ssn, "phone": _phone, "card": _card}
 
 
+def pseudonym(kind: str, key: bytes, text: str, back: bool = False) -> str | None:
+    """A candidate's pseudonym, or None if it isn't valid. It is looked at with ASCII digits; an IP address of several scripts' digits
+    isn't valid, as its pseudonym couldn't be turned back."""
+    if text.isascii():
+        return KINDS[kind](key, text, back)
+    if kind == "ip" and len({alphabet(c) for c in text if c.isdecimal()}) > 1:
+        return None
+    new = KINDS[kind](key, _plain(text), back)
+    return None if new is None else _dressed(new, text)
+
+
 def _ends(m: re.Match) -> list[int]:
     """Where the match may end, in order of trial. A shorter end is one at a separator."""
     text, start, end = m.string, m.start(), m.end()
@@ -218,13 +270,14 @@ def replace(text: str, key: bytes, back: bool = False) -> tuple[str, list[tuple[
     read it instead; so the permutation is walked on until it is refused as before."""
     if not _WORTH.search(text):
         return text, []
+    key = key if len(key) <= 64 else hashlib.blake2b(key).digest()
     out, found, at, place = [], [], 0, 0
     refused: list[tuple[int, int, str, str]] = []  # (start, end, kind, its characters, with the pseudonyms so far)
     while m := PATTERN.search(text, place):
         kind, start, place = m.lastgroup, m.start(), _TOKEN.match(text, m.start()).end()
         refused = [r for r in refused if r[1] > start]
         for end in _ends(m):
-            new = KINDS[kind](key, text[start:end], back)
+            new = pseudonym(kind, key, text[start:end], back)
             if new is None:
                 refused.append((start, end, kind, text[start:end]))
                 continue
@@ -233,8 +286,8 @@ def replace(text: str, key: bytes, back: bool = False) -> tuple[str, list[tuple[
                 return r[3][: start - r[0]] + value[: max(0, r[1] - start)] + r[3][end - r[0] :]
 
             over = [r for r in refused if r[0] <= start]
-            while any(KINDS[k](key, put(r, new), back) is not None for r in over for k in (r[2],)):
-                new = KINDS[kind](key, new, back)
+            while any(pseudonym(r[2], key, put(r, new), back) is not None for r in over):
+                new = pseudonym(kind, key, new, back)
             refused = [(*r[:3], put(r, new)) for r in refused if r[1] > end]
             out += [text[at:start], new]
             found.append((start, end, kind, new))

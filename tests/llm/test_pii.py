@@ -103,3 +103,63 @@ def test_overlapping_candidates_go_back():
         text = f"{rng.choice(['AB12', 'DE44', '7', '1234', '55'])} {rng.randrange(1000, 9999)} {grouped} {rng.randrange(10_000)} AND"
         new, found = pii.replace(text, KEY)
         assert found and pii.replace(new, KEY, True)[0] == text
+
+
+@pytest.mark.parametrize("size", [2, 3, 10, 97, 1000])
+def test_nothing_stays_itself(size):
+    image = [pii.moved(KEY, "t", i, size) for i in range(size)]
+    assert sorted(image) == list(range(size)) and all(i != x for i, x in enumerate(image))
+    assert [pii.moved(KEY, "t", x, size, True) for x in image] == list(range(size))
+
+
+def test_a_date_has_one_pseudonym_in_every_notation():
+    def day(text):
+        p = [int(x) for x in re.split(r"\D", text)]
+        y, m, d = p if p[0] > 31 else (p[2], p[0], p[1]) if p[0] <= 12 < p[1] else (p[2], p[1], p[0])
+        return dt.date(y, m, d)
+
+    rng = random.Random(2)
+    seen = {}
+    for _ in range(400):
+        d = dt.date.fromordinal(rng.randrange(pii._FIRST, pii._LAST))
+        forms = [f"{d:%Y-%m-%d}", f"{d.year}/{d.month}/{d.day}", f"{d:%d.%m.%Y}", f"{d.day}.{d.month}.{d.year}", f"{d.day}/{d.month}/{d.year}", f"{d:%d-%m-%Y}"] + ([f"{d:%m/%d/%Y}"] if d.day > 12 else [])
+        new = [pii.replace(x, KEY)[0] for x in forms]
+        assert len({day(x) for x in new}) == 1 and day(new[0]) != d and [len(x) for x in new] == [len(x) for x in forms]
+        assert [pii.replace(x, KEY, True)[0] for x in new] == forms
+        assert seen.setdefault(day(new[0]), d) == d
+
+
+VALUES = ["٠٥٠-١٢٣-٤٥٦٧", "+٤٩ ١٧٠ ١٢٣٤٥٦٧", "१९९९-०५-०१", "４１１１１１１１１１１１１１１１", "١٩٢.١٦٨.١.٧", "иван@mail.ru", "josé@mail.com", "日本@mail.jp", "jose\u0301.x@mail.com", "user@пример.рф", "ßß@a.de", "دانا@mail.com", "a@b.co"]
+
+
+@pytest.mark.parametrize("value", VALUES)
+def test_digits_and_letters_of_all_scripts(value):
+    text = f"see {value}, please"
+    new, found = pii.replace(text, KEY)
+    assert [text[a:b] for a, b, *_ in found] == [value] and value not in new and pii.replace(new, KEY, True)[0] == text
+    if found[0][2] == "ip":  # of another length
+        assert all(c == "." or c in pii.alphabet(value[0]) for c in found[0][3])
+        return
+    changed = [(a, b) for a, b in zip(value.split("@")[0], found[0][3].split("@")[0]) if a != b]
+    assert changed and all(b in pii.alphabet(a) for a, b in changed)
+
+
+def test_a_number_is_linked_across_scripts():
+    for a, b in (("٠٥٠-١٢٣-٤٥٦٧", "050-123-4567"), ("１９９９-０５-０１", "1999-05-01")):
+        x, y = (pii.replace(t, KEY)[0] for t in (a, b))
+        assert pii._plain(x) == y != b
+
+
+def test_mail_addresses_inside_scripts_without_spaces():
+    text = "联系" * 60 + "user@mail.com谢谢"
+    new, found = pii.replace(text, KEY)
+    assert len(found) == 1 and "user@mail.com" not in new and new.startswith("联系" * 60) and new.endswith("@mail.com谢谢") and pii.replace(new, KEY, True)[0] == text
+
+
+def test_keys_of_any_length():
+    value, seen = "+1 (017) 555-7713", set()
+    for n in (0, 1, 64, 65, 1000):
+        new = pii.replace(value, b"k" * n)[0]
+        assert new != value and pii.replace(new, b"k" * n, True)[0] == value
+        seen.add(new)
+    assert len(seen) == 5
