@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import as_bytes, filesystem, join_counted, new_folder, staged
 
-ARCHIVE_BYTES, STEP_BYTES, KEPT_BYTES, LEVEL, DATE = 16 << 20, 1 << 20, 64 << 20, 1, "1970-01-01T00:00:00Z"
+ARCHIVE_BYTES, FIRST_BYTES, STEP_BYTES, KEPT_BYTES, LEVEL, DATE = 16 << 20, 4096, 1 << 20, 64 << 20, 1, "1970-01-01T00:00:00Z"
 _START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -67,18 +67,23 @@ def _open_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     """Headers, block and end of the record at a place, all checks passed."""
     if not _VERSION.match(data, at):
         raise Broken("no version line", 10 if len(data) - at < 10 else 0)
-    end = data.find(b"\r\n\r\n", at)
-    if end < 0:
-        raise Broken("header without an end", len(data) - at + 1)
     head: dict[str, str] = {}
-    for line in data[at:end].split(b"\r\n")[1:]:
-        name, colon, value = line.partition(b":")
+    # Line by line: what isn't a header is left at its first odd line, so a search over many version lines stays linear.
+    end = data.find(b"\r\n", at)
+    while True:
+        next_ = data.find(b"\r\n", end + 2)
+        if next_ < 0:
+            raise Broken("header without an end", len(data) - at + 1)
+        if next_ == end + 2:
+            break
+        name, colon, value = data[end + 2 : next_].partition(b":")
         if not colon:
             raise Broken("header line without a colon")
         name = name.strip().lower().decode("utf-8", "replace")
         if name in head and name != "warc-concurrent-to":
             raise Broken("repeated header line")  # a cut header that runs into the next record's
         head[name] = value.strip().decode("utf-8", "replace")
+        end = next_
     size = head.get("content-length", "")
     if not size.isdigit() or "warc-type" not in head:
         raise Broken("no length or type")
@@ -116,9 +121,10 @@ def _last_bytes(unpacker, piece: bytes) -> tuple[bytes, int]:
 
 def _unpack(data: bytes, at: int) -> Iterator[tuple[bytes, int, str | None]]:
     """(plain bytes, place, None) of the gzip member at a place, in steps; the last has the member's end and what broke it, or ""."""
-    view, unpacker, place = memoryview(data), zlib.decompressobj(31), at
+    view, unpacker, place, size = memoryview(data), zlib.decompressobj(31), at, min(FIRST_BYTES, STEP_BYTES)
     while True:
-        piece = view[place : place + STEP_BYTES]
+        piece = view[place : place + size]  # small at first: what a short member leaves unread is copied
+        size = min(2 * size, STEP_BYTES)
         saved = unpacker.copy() if place > at else zlib.decompressobj(31)
         try:
             plain = unpacker.decompress(piece, STEP_BYTES)
@@ -272,7 +278,7 @@ def _read(with_payload: bool, content: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                path = batch.column(0)[i].as_py()
+                path, count = batch.column(0)[i].as_py(), 0
                 if content:
                     data = batch.column(1)[i].as_py() or b""
                 else:
@@ -283,19 +289,24 @@ def _read(with_payload: bool, content: bool):
                 size = 0
                 for row in _rows(path, data, with_payload):
                     rows.append(row)
+                    count += row[0] == "record"
                     size += len(row[-1] or b"") + 500
                     if size > 8 << 20:
                         yield _batch(rows)
                         rows, size = [], 0
                 yield _batch(rows)
+                stated = None if content else batch.column(1)[i].as_py()
+                if stated is not None and stated != count:
+                    raise RuntimeError(f"{path}: {count} of the manifest's {stated} records were read")
 
     return run
 
 
-def read_archives(manifest: DataFrame, *, payload: bool = False, tasks: int | None = None) -> DataFrame:
-    """Records and gaps of the archives that a manifest lists (path), each read by one task in turn. Rows of kind "record"
-    have the type, ids, payload's length and digest (and the payload if asked for); rows of kind "gap" are the quarantine log."""
-    paths = manifest.select("path")
+def read_archives(manifest: DataFrame, *, payload: bool = False, tasks: int | None = None, whole: bool = True) -> DataFrame:
+    """Records and gaps of the archives that a manifest lists (path, records), each read by one task in turn. Rows of kind
+    "record" have the type, ids, payload's length and digest (and the payload if asked for); rows of kind "gap" are the
+    quarantine log. With ``whole`` the job fails if an archive doesn't give as many records as the manifest states."""
+    paths = manifest.select("path", (F.col("records") if whole else F.lit(None)).cast("long").alias("records"))
     return (paths.repartition(tasks) if tasks else paths).mapInArrow(_read(payload, False), FOUND)
 
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import os
 import random
+import time
 
 import pytest
 
@@ -113,3 +114,30 @@ def test_damage_in_a_member_of_many_records(monkeypatch, step, kept):
     packer = __import__("zlib").compressobj(0, 8, 31)
     stored = packer.compress(b"".join(records)) + packer.flush()
     assert recovered(stored[:-8] + b"12345678" + after) == [*pages, (99, b"after")]
+
+
+def test_time_grows_with_the_archive():
+    def seconds(data):
+        began = time.process_time()
+        n = sum(x[0] == "record" for x in warc.salvage(data))
+        return n, time.process_time() - began
+
+    parts = archive([(i, os.urandom(1200)) for i in range(16_000)])
+    seconds(b"".join(parts[:200]))
+    (n, few), (m, many) = seconds(b"".join(parts[:2000])), seconds(b"".join(parts))
+    assert (n, m) == (2000, 16_000) and many < 16 * few + 1
+    # What begins like records or members but is none costs little each.
+    for junk in (b"WARC/1.0\r\n", b"WARC/1.1\r\nA: b\r\n", b"\x1f\x8b\x08\0\0\0\0\0\0\0"):
+        n, took = seconds(junk * 50_000 + parts[0])
+        assert n == 1 and took < 20
+
+
+def test_a_record_that_is_gone_fails_the_job(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", f"page {i}") for i in range(20)], "page_id long, url string, html string")
+    manifest = warc.write_archives(warc.plan(pages.coalesce(1)), f"file://{tmp_path}/out")
+    name = os.listdir(tmp_path / "out")[0]
+    data = (tmp_path / "out" / name).read_bytes()
+    (tmp_path / "out" / name).write_bytes(data[: len(data) - 30])
+    with pytest.raises(Exception, match="of the manifest's"):
+        warc.read_archives(manifest).count()
+    assert warc.read_archives(manifest, whole=False).filter("kind = 'record'").count() == 19
