@@ -20,21 +20,22 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "line_stats.n_lines", "line_stats.n_dropped", line_dedup.sha256_text(F.col("line_stats.kept")).alias("kept_sha256"))
 
 
+# Each row of documents counts as a document.
 OP1_SQL = r"""
 WITH lines AS (
-  SELECT doc_id, pos, list_extract(parts, pos) AS line,
+  SELECT r, doc_id, pos, list_extract(parts, pos) AS line,
          translate(regexp_replace(regexp_replace(list_extract(parts, pos), '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''),
                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS line_key
-  FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS pos
-        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents))
+  FROM (SELECT r, doc_id, parts, unnest(range(1, len(parts) + 1)) AS pos
+        FROM (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents))
 ), repeated AS (
-  SELECT line_key FROM lines WHERE length(line_key) >= 1 GROUP BY line_key HAVING count(DISTINCT doc_id) >= 10
+  SELECT line_key FROM lines WHERE length(line_key) >= 1 GROUP BY line_key HAVING count(DISTINCT r) >= 10
 ), marked AS (
   SELECT l.*, r.line_key IS NOT NULL AS gone FROM lines l LEFT JOIN repeated r ON l.line_key = r.line_key
 )
 SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM marked GROUP BY doc_id
+FROM marked GROUP BY r, doc_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_line_dedup": op1_line_dedup}

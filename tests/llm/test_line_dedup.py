@@ -80,3 +80,40 @@ def test_repeats_and_first_places(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {bytes(r["key"]).decode(): (r["n_docs"], r["first_doc"], r["first_line"]) for r in ld.repeated_lines(df, min_docs=2, first=True).collect()}
     assert got == {"a": (3, 2, 1), "b": (2, 5, 0)}
+
+
+@pytest.mark.parametrize("filter_bytes", [1 << 26, 6_000, 0])
+def test_filters_at_every_size(spark, monkeypatch, filter_bytes):
+    """More shards than asked for, and filters folded until they fit: all repeats are suspects, and few others while there is room."""
+    monkeypatch.setattr(ld, "SHARD_HASHES", 300)
+    rng = random.Random(4)
+    own = [f"line {i}" for i in range(3000)]
+    rows = [(i, "\n".join(rng.sample(own[:200], 4) + own[200 + 7 * i : 207 + 7 * i])) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    filters = ld.line_filters(df, filter_bytes=filter_bytes).value
+    assert filters.shards > 4
+    seen = filters.has(ld._hashes([x.encode() for x in own]))
+    assert seen[:200].all() and (filter_bytes == 0 or seen[200:].mean() < 0.1)
+    assert len(filters.data) <= max(filter_bytes, filters.shards) + 1
+    got = {bytes(r["key"]).decode(): r["n_docs"] for r in ld.repeated_lines(df, filter_bytes=filter_bytes).collect()}
+    want = {k: n for k in own if (n := sum(k in t.split("\n") for _, t in rows)) > 1}
+    assert got == want
+
+
+def test_a_line_of_all_rows_and_rows_without_ids(spark):
+    """The join way with a hot key, repeated ids, null ids and a text of very many lines."""
+    rows = [(i % 50 if i % 3 else None, f"licence\nown {i}") for i in range(300)] + [(7, "\n".join(f"l{k}" for k in range(20_000)) + "\nlicence"), (8, "\n".join(f"l{k}" for k in range(20_000)))]
+    assert run(spark, rows, min_docs=2, set_bytes=0) == plain(rows, 2)
+
+
+def test_the_sql_counts_rows(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from menuspark.llm.queries import OP1_SQL, op1_line_dedup
+
+    rows = [(1, "a\nb")] * 6 + [(None, "a\nc")] * 4 + [(2, None), (3, "b\n\nB ")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got = [tuple(r) for r in op1_line_dedup(spark, str(tmp_path)).select("doc_id", "n_lines", "n_dropped", "kept_sha256").collect()]
+    want = con.execute(f"SELECT doc_id, n_lines, n_dropped, kept_sha256 FROM ({OP1_SQL})").fetchall()
+    assert sorted(got, key=str) == sorted(want, key=str) and len(got) == len(rows)
