@@ -214,18 +214,23 @@ def store_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "dhash", "tile"]
     for batch in slices(batches, 2048):
         rows = []
         for raw in as_bytes(batch.column(2)):
             image = decode(raw)
             payload = image.tobytes()
-            feature = f"{difference_hash(image):016x}-{hashlib.sha256(tile(image)).hexdigest()[:16]}"
-            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(raw), hashlib.sha256(raw).hexdigest(), feature))
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(raw), hashlib.sha256(raw).hexdigest(), f"{difference_hash(image):016x}", tile(image)))
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
         yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names)
 
 
 def read_texts(stored: DataFrame) -> DataFrame:
-    """Digests and features of what ``store_texts`` stored: difference hash and NPY tile's hash."""
-    return stored.mapInArrow(_read_back, "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    """Digests, difference hash and NPY tile of what ``store_texts`` stored, from the stored bytes."""
+    return stored.mapInArrow(_read_back, "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, dhash string, tile binary")
+
+
+def with_feature(described: DataFrame) -> DataFrame:
+    """What ``read_texts`` gives, with ``feature`` in place of the hash and the tile: the difference hash and a digest of the tile."""
+    feature = F.concat("dhash", F.lit("-"), F.substring(F.sha2("tile", 256), 1, 16))
+    return described.select(*[c for c in described.columns if c not in ("dhash", "tile")], feature.alias("feature"))

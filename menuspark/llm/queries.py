@@ -87,7 +87,8 @@ QUERIES["op2_sentencepiece"] = op2_sentencepiece
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return media.read_texts(staged(media.store_texts(docs), "media")).withColumnRenamed("id", "doc_id")
+    tiles = staged(media.read_texts(staged(media.store_texts(docs), "media")), "tiles")
+    return media.with_feature(tiles).withColumnRenamed("id", "doc_id")
 
 
 QUERIES["op5_media"] = op5_media

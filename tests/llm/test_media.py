@@ -74,7 +74,7 @@ def test_texts_come_back(spark):
     rng = random.Random(1)
     texts = [None, "", "a", "é" * 288, "é" * 289, "x" * 576, "".join(rng.choice("abc \n") for _ in range(50_000))]
     docs = spark.createDataFrame([(i, t, 5) for i, t in enumerate([*texts, texts[-1]])], "doc_id long, text string, media int")
-    got = {r["id"]: r for r in media.read_texts(media.store_texts(docs)).collect()}
+    got = {r["id"]: r for r in media.with_feature(media.read_texts(media.store_texts(docs))).collect()}
     for i, t in enumerate(texts):
         raw = (t or "").encode()
         payload = raw.ljust(max(1, -(-len(raw) // 576)) * 576, b"\xff")

@@ -105,3 +105,11 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7)], "u long, v long")
     got = {r["node"]: r["root"] for r in connected_components(edges).collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
+
+
+def test_components_of_hubs(spark):
+    """Stars whose centre is the largest, a middle or the smallest node, on few partitions and many edges a node."""
+    edges = [(i, 10_000) for i in range(3000)] + [(5_000, i) for i in range(20_000, 22_500)] + [(30_000 + i, 31_000) for i in range(2_000) if i != 1000]
+    got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    want = {i: 0 for i in [*range(3000), 10_000]} | {i: 5_000 for i in [5_000, *range(20_000, 22_500)]} | {30_000 + i: 30_000 for i in range(2_000)}
+    assert got == want
