@@ -4,8 +4,8 @@ A text's UTF-8 bytes are embedded and convolved by learned filters. Filters' res
 ``CHUNK`` window starts; chunks overlap by a window's width less one, so every window of the whole text is in one. The
 pooled chunks are combined, by mean and by maximum, into one logistic unit.
 
-Learning is bounded: at most ``sample_docs`` labelled documents a class, and ``sample_chunks`` chunks of each, spread
-evenly over its whole text. Scoring reads every byte. There the embedding and each filter tap are one table of 256 rows,
+Learning is bounded: at most ``sample_docs`` labelled documents a class, of ``SAMPLE_TEXT`` bytes at most each and ``sample_bytes``
+in all; every chunk of theirs is learned from. Scoring reads every byte of every text. There the embedding and each filter tap are one table of 256 rows,
 so a response is a sum of table rows.
 """
 
@@ -16,12 +16,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import as_bytes, crc_fold, slices
+from .common import as_bytes, crc_fold, slices, staged
 
 WIDTH, CHUNK, EMBED, FILTERS = 6, 256, 8, 32
-SAMPLE_DOCS, SAMPLE_CHUNKS, EPOCHS, BATCH, STEPS, FOLDS, THRESHOLD = 2000, 12, 14, 64, 600, 5, 0.3
+SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_TEXT, EPOCHS, BATCH, STEPS, FOLDS, THRESHOLD = 2000, 16 << 20, 1 << 20, 7, 32, 600, 5, 0.3
 _LOW = np.float32(-1e9)
 
 
@@ -88,12 +88,25 @@ def logits(net: Network, texts: list[bytes], tables: np.ndarray | None = None) -
     return np.concatenate([mean, most], axis=1) @ net.out + net.shift
 
 
-def spread_chunks(raw: bytes, most: int) -> tuple[bytes, list[int]]:
-    """At most ``most`` chunks of a text, evenly spread over all of it, each with the WIDTH - 1 bytes after it."""
-    n = -(-max(len(raw), 1) // CHUNK)
-    own = np.unique(np.linspace(0, n - 1, min(n, most)).round().astype(int))
-    size = CHUNK + WIDTH - 1
-    return b"".join([raw[i * CHUNK : i * CHUNK + size].ljust(size, b"\0") for i in own]), [min(CHUNK, max(len(raw), 1) - i * CHUNK) for i in own.tolist()]
+def sample_chunks(raw: bytes) -> tuple[bytes, list[int]]:
+    """All chunks of a text, each with the WIDTH - 1 bytes after it, and the windows that count in each."""
+    size, length = CHUNK + WIDTH - 1, max(len(raw), 1)
+    starts = range(0, length, CHUNK)
+    return b"".join([raw[i : i + size].ljust(size, b"\0") for i in starts]), [min(CHUNK, length - i) for i in starts]
+
+
+def _strongest(tables: np.ndarray, x: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each filter's strongest window in each chunk, and its response; few chunks at a time, whatever the batch holds."""
+    where, top = np.empty((len(x), FILTERS), np.int64), np.empty((len(x), FILTERS), np.float32)
+    for at in range(0, len(x), 32):
+        own = x[at : at + 32]
+        act = tables[0][own[:, :CHUNK]]
+        for w in range(1, WIDTH):
+            act += tables[w][own[:, w : w + CHUNK]]
+        act[np.arange(CHUNK) >= valid[at : at + 32, None]] = _LOW
+        where[at : at + 32] = best = act.argmax(axis=1)
+        top[at : at + 32] = np.take_along_axis(act, best[:, None], axis=1)[:, 0]
+    return where, top
 
 
 def train(samples: list[tuple[bytes, list[int], int]], share: float, *, epochs: int = EPOCHS, seed: int = 7) -> Network:
@@ -124,12 +137,7 @@ def train(samples: list[tuple[bytes, list[int], int]], share: float, *, epochs:
             rows = np.concatenate([np.arange(first[d], first[d] + counts[d]) for d in docs])
             doc = np.repeat(np.arange(len(docs)), n)
             tables, x = net.tables, data[rows]
-            act = np.zeros((len(rows), CHUNK, FILTERS), np.float32)
-            for w in range(WIDTH):
-                act += tables[w][x[:, w : w + CHUNK]]
-            act[np.arange(CHUNK) >= valid[rows][:, None]] = _LOW
-            where = act.argmax(axis=1)
-            top = np.take_along_axis(act, where[:, None], axis=1)[:, 0]
+            where, top = _strongest(tables, x, valid[rows])
             hidden = np.maximum(top + net.bias, 0)
             starts = np.cumsum(n) - n
             mean, most = np.add.reduceat(hidden, starts, axis=0) / n[:, None], np.maximum.reduceat(hidden, starts, axis=0)
@@ -157,25 +165,21 @@ def train(samples: list[tuple[bytes, list[int], int]], share: float, *, epochs:
     return net
 
 
-def _sample(most: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2048):
-            own = [spread_chunks(x, most) for x in as_bytes(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in own], pa.binary()), pa.array([x[1] for x in own], pa.list_(pa.int32())), batch.column(1), batch.column(2)], ["data", "valid", "label", "id"])
-
-    return run
-
-
-def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, sample_chunks: int = SAMPLE_CHUNKS, folds: int = FOLDS) -> Network:
+def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES, folds: int = FOLDS) -> Network:
     """Learn from the labelled rows whose fold, crc32(id as text) mod ``folds``, is not 0. Of each class the
-    ``sample_docs`` ids with the smallest hashes are taken: that bounds what is broadcast and what comes to the driver."""
+    ``sample_docs`` ids with the smallest hashes are taken, and of their rows, in that order, as many as stay within ``sample_docs``
+    rows and ``sample_bytes`` bytes; rows of over ``SAMPLE_TEXT`` bytes are left out. That bounds what is broadcast and what comes
+    to the driver."""
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label in (0, 1)").filter(crc_fold(F.col("id"), folds) != 0)
     ones, total = known.agg(F.sum("label"), F.count("*")).first()
     chosen = [known.filter(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(sample_docs) for k in (0, 1)]
     sample = F.broadcast(chosen[0].unionByName(chosen[1]))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(sample, "id").select("text", "label", "id")
-    got = rows.mapInArrow(_sample(sample_chunks), "data binary, valid array<int>, label int, id long").toPandas().sort_values(["id", "label", "data"], kind="stable")
-    return train([(bytes(d), list(v), int(k)) for d, v, k in zip(got["data"], got["valid"], got["label"])], (ones or 0) / total if total else 0.5)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+    rows = staged(docs.select(F.col(id_col).cast("long").alias("id"), text.alias("data")).join(sample, "id").filter(F.length("data") <= SAMPLE_TEXT), "quality-sample")
+    order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id", F.xxhash64("data"), "data").rowsBetween(Window.unboundedPreceding, 0)
+    got = rows.withColumn("so_far", F.sum(F.length("data")).over(order)).withColumn("number", F.count("*").over(order)).filter((F.col("so_far") <= sample_bytes) & (F.col("number") <= sample_docs)).toPandas()
+    got = got.sort_values(["id", "label", "data"], kind="stable")
+    return train([(*sample_chunks(bytes(d)), int(k)) for d, k in zip(got["data"], got["label"])], (ones or 0) / total if total else 0.5)
 
 
 def _score(shared, names: list[str]):

@@ -53,3 +53,22 @@ def test_odd_rows(spark):
     assert [r["doc_id"] for r in out] == [1, 2, None, None, 3]
     assert out[0]["quality_score"] == out[1]["quality_score"] and all(0 <= r["quality_score"] <= 1 for r in out)
     assert quality.score(docs.limit(0), quality.fit(docs.limit(0), labels.limit(0))).count() == 0
+
+
+def test_the_sample_is_bounded_and_has_every_chunk(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(quality, "train", lambda samples, share: taken.append((samples, share)))
+    rows = [(i, f"text {i} " * 400) for i in range(60)] + [(3, "again " * 300)] * 50 + [(61, "x" * (1 << 20 | 1))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(62)], "doc_id long, quality int")
+    quality.fit(docs, labels)
+    (samples, share), = taken
+    own = [(data, valid, k) for data, valid, k in samples]
+    trained = [i for i in range(60) if __import__("zlib").crc32(str(i).encode()) % 5]
+    want = [(*quality.sample_chunks(t.encode()), i % 2) for i, t in rows if i in trained and i != 61]
+    assert sorted(own) == sorted(want) and 0 < share < 1
+    assert all(sum(valid) == max(len(data) - 5 * len(valid), 0) or valid[-1] < quality.CHUNK for data, valid, _ in own)
+    taken.clear()
+    quality.fit(docs, labels, sample_docs=5, sample_bytes=9_000)
+    own = taken[0][0]
+    assert 0 < len(own) <= 10 and all(sum(sum(v) for _, v, k in own if k == label) <= 9_000 for label in (0, 1))
