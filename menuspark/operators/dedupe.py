@@ -103,11 +103,12 @@ def _fold(pairs: DataFrame) -> DataFrame:
     return pairs.join(kept, ["menu_id", "pos_a", "pos_b"], "left_semi")
 
 
-def _rounds(pairs: DataFrame, most: int = 1000) -> DataFrame:
+def _rounds(pairs: DataFrame) -> DataFrame:
     """The same without collecting a menu: in each round the items without an earlier undecided neighbour lead, and their
-    neighbours are consumed. Rounds are checkpointed; few are needed, save for long chains of similar names."""
+    neighbours are consumed. Rounds are staged; few are needed, save for long chains of similar names. Each settles the first item
+    that is left of every menu at least, so they end."""
     left, gone = staged(pairs.select("menu_id", "pos_a", "pos_b"), "pairs"), None
-    for _ in range(most):
+    while True:
         ends = left.select("menu_id", F.col("pos_a").alias("pos")).union(left.select("menu_id", F.col("pos_b").alias("pos"))).distinct()
         lead = ends.join(left.select("menu_id", F.col("pos_b").alias("pos")).distinct(), ["menu_id", "pos"], "left_anti")
         consumed = staged(left.join(lead.withColumnRenamed("pos", "pos_a"), ["menu_id", "pos_a"], "left_semi").select("menu_id", F.col("pos_b").alias("pos")).distinct(), "consumed")
@@ -118,8 +119,6 @@ def _rounds(pairs: DataFrame, most: int = 1000) -> DataFrame:
         left = staged(rest, "pairs")
         if left.isEmpty():
             break
-    else:
-        raise RuntimeError(f"the leaders did not settle in {most} rounds")
     # Who was never consumed leads, also an item whose rivals all went before it was looked at.
     settled = pairs.join(gone.withColumnRenamed("pos", "pos_a"), ["menu_id", "pos_a"], "left_anti")
     first = settled.groupBy("menu_id", "pos_b").agg(F.min("pos_a").alias("pos_a"))

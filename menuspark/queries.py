@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -11,7 +10,7 @@ from .functions import money, text as T
 from .operators import budget, dedupe, lines as L, menu, quantities as Q, recommend as R
 from .plans import parse, views as V
 from .sources import pages as P, sessions as S
-from .sources.staging import shared_dir, staged
+from .sources.staging import new_folder, staged
 from .streaming import intake, totals
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -266,7 +265,7 @@ def live_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = V.table(spark, sf_dir, "events")
     # The table may be one file. Spark takes a plain path of a stream for a folder, but not what matches a pattern.
     stream = spark.readStream.schema(table.schema).parquet(f"{sf_dir}/events.parque[t]")
-    own, out = V.live_sessions(spark, sf_dir), f"{shared_dir(spark)}/live-{uuid.uuid4().hex}"
+    own, out = V.live_sessions(spark, sf_dir), new_folder(spark, "live")
     sink = lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{out}/batch={n}")
     totals.start_live_totals(V.as_qty_events(stream), own, V.items(spark, sf_dir), sink, f"{out}-checkpoint").awaitTermination()
     got = spark.read.parquet(f"{out}/batch=*")
@@ -385,7 +384,7 @@ def page_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page records as a stream to its end; the working menus' items."""
     records = staged(_page_records(spark, sf_dir), "records")
     path = records.inputFiles()[0].rpartition("/")[0]
-    out = f"{shared_dir(spark)}/menus-{uuid.uuid4().hex}"
+    out = new_folder(spark, "menus")
     stream = spark.readStream.schema(records.schema).parquet(path)
     intake.start_intake(stream, out, f"{out}-checkpoint", buckets=8).awaitTermination()
     return spark.read.schema(intake.ITEMS).parquet(f"{out}/items").select("menu_id", "item_id", "item_pos", "name", "price_kind", "needs_review")
@@ -442,7 +441,7 @@ def load_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("s3_save_sessions", _with("sessions") + """SELECT session_id, '{"version":1,"step":"select","budget":{"diners":' || diners || ',"perPersonAgorot":' || per_person_agorot || ',"tipBp":' || tip_bp || '},"menu":{"categories":[],"items":[],"confirmed":false},"selections":[],"images":[],"updatedAt":1700000000001}' AS json FROM sessions WHERE session_id % 50 NOT IN (1, 2, 3)""")
 def save_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     good, _ = S.load_sessions(V.raw_sessions(spark, sf_dir))
-    path = f"{shared_dir(spark)}/sessions-{uuid.uuid4().hex}"
+    path = new_folder(spark, "sessions")
     payload = S.to_payload(good, F.lit(1_700_000_000_001))
     payload.withColumn("bucket", F.pmod(F.xxhash64("session_id"), F.lit(8))).repartition(8, "bucket").write.partitionBy("bucket").parquet(path)
     return spark.read.parquet(path).select("session_id", "json")
