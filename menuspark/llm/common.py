@@ -3,42 +3,18 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-CHECKPOINT_DIR = "spark.checkpoint.dir"
+from ..sources.staging import new_folder, staged
+
 #: The most bytes any operator here broadcasts; beyond it each takes its shuffled way.
 BROADCAST_BYTES = 64 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as a URI: ``spark.checkpoint.dir``. Where that is unset (a local
-    session, tests) a temporary folder is made once and remembered in the session."""
-    found = spark.conf.get(CHECKPOINT_DIR, None) or spark.conf.get("menuspark.shared.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("menuspark.shared.dir", found)
-    return found.rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a table in the shared folder and read again: cuts the lineage, and is there after the loss of
-    any executor."""
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def as_bytes(column: pa.Array) -> list[bytes]:
     """A string or binary column's values as UTF-8 bytes; null as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
@@ -72,3 +48,6 @@ def parts(spark: SparkSession) -> int:
 def crc_fold(column, folds: int):
     """crc32 of a column's decimal text, modulo ``folds``."""
     return F.crc32(column.cast("string")) % folds
+
+
+__all__ = ["BROADCAST_BYTES", "as_bytes", "crc_fold", "filesystem", "join_counted", "new_folder", "parts", "slices", "staged"]
