@@ -10,7 +10,8 @@ it, on diagonals (place in the document less place in the item) that lie within
 
 The lookup loses nothing within the edit budget: every passage of ``WINDOW`` (100) bytes or more of an item is found, wherever
 it begins, and items of ``Q`` to ``WINDOW`` bytes are found whole. Shorter passages of longer items are no leaks. Documents are only mapped: no shuffle but of the verified hits.
-The index is broadcast; a benchmark of more than ``block_bytes`` goes over the documents in blocks of items.
+The index, some 25 bytes for each of the benchmark, is broadcast; a benchmark of more than ``block_bytes`` goes over the documents in
+blocks of items.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import slices, staged
 
 Q, WINDOW, EDIT_SHARE, STEP = 10, 100, 0.08, 16
-BLOCK_BYTES, BATCH_BYTES, BITMAP = 2 << 20, 1 << 20, 21
+BLOCK_BYTES, BATCH_BYTES, LEAST_BITS = 8 << 20, 1 << 20, 21
 _U64 = np.uint64
 _SPACED = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
 
@@ -72,28 +73,30 @@ class Index:
     item: np.ndarray  # of each place
     place: np.ndarray
     window_at: np.ndarray  # of each item, its first window
-    bitmap: np.ndarray
+    bitmap: np.ndarray  # of the hashes' top bits
+    shift: np.uint64
 
 
 def build(items: list[tuple[object, str | None]]) -> Index:
     ids, texts = [i for i, _ in items], [normal(t) for _, t in items]
     size = np.array([min(len(t), WINDOW) for t in texts], np.int64)
     edits = np.array([budget(int(m)) for m in size], np.int64)
-    hashes, item, place = [np.zeros(0, _U64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    hashes, item, place = [np.zeros(0, _U64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
     for j, t in enumerate(texts):
         if len(t) >= Q:
             h = grams(np.frombuffer(t + bytes(Q), np.uint8))[: len(t) - Q + 1]
             hashes.append(h)
-            item.append(np.full(len(h), j))
-            place.append(np.arange(len(h)))
+            item.append(np.full(len(h), j, np.int32))
+            place.append(np.arange(len(h), dtype=np.int32))
     h, j, p = np.concatenate(hashes), np.concatenate(item), np.concatenate(place)
     order = np.lexsort((p, j, h))
     h, j, p = h[order], j[order], p[order]
     keys, first = np.unique(h, return_index=True)
-    bitmap = np.zeros(1 << BITMAP, bool)
-    bitmap[(keys >> _U64(64 - BITMAP)).astype(np.int64)] = True
+    bits = max(LEAST_BITS, (4 * len(keys)).bit_length())
+    shift, bitmap = _U64(64 - bits), np.zeros(1 << bits, bool)
+    bitmap[(keys >> shift).astype(np.int64)] = True
     window_at = np.cumsum([0, *(0 if len(t) < Q else max(1, len(t) - WINDOW + 1) for t in texts)])
-    return Index(ids, texts, size, edits, size + 1 - Q - Q * edits, keys, np.append(first, len(h)), j, p, window_at, bitmap)
+    return Index(ids, texts, size, edits, size + 1 - Q - Q * edits, keys, np.append(first, len(h)).astype(np.int32), j, p, window_at, bitmap, shift)
 
 
 def _ranges(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,7 +143,7 @@ def find(index: Index, texts: list[bytes]) -> list[tuple[int, int, int, int]]:
     data = np.frombuffer(gap.join(texts) + gap, np.uint8)
     begin = np.cumsum([0, *(len(t) + Q for t in texts)])
     h = grams(data)
-    maybe = np.flatnonzero(index.bitmap[(h >> _U64(64 - BITMAP)).astype(np.int32)])
+    maybe = np.flatnonzero(index.bitmap[(h >> index.shift).astype(np.int64)])
     at = np.minimum(np.searchsorted(index.keys, h[maybe]), len(index.keys) - 1)
     hit = index.keys[at] == h[maybe]
     where, at = maybe[hit], at[hit]

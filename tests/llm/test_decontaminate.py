@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 from menuspark.llm import decontaminate as d
@@ -57,9 +58,8 @@ def test_find_equals_brute_force():
     want = {}
     for n, t in enumerate(texts):
         for j, item in enumerate(index.texts):
-            for s, m in d.windows(len(item)):
-                e = plain_edits(item[s : s + m], t)
-                if e <= d.budget(m):
+            for s, e in plain_windows(item, t).items():
+                if e <= d.budget(min(len(item), d.WINDOW)):
                     want[n, j, s] = e
     assert len(want) > 40 and got.keys() == want.keys()
     assert all(got[k] >= want[k] for k in want) and sum(got[k] != want[k] for k in want) == 0
@@ -119,3 +119,39 @@ def test_every_passage_of_a_window_is_found():
                 assert (0, 0, a) in {x[:3] for x in d.find(index, [spoilt])}, (a, n)
     got = {x[:3]: x[3] for x in d.find(index, [b"zq " + item[20:136] + b" qz"])}
     assert {s for _, j, s in got if not got[0, j, s]} == set(range(20, 37))
+
+
+def plain_windows(item: bytes, text: bytes) -> dict[int, int]:
+    """The fewest edits between each window of an item and any part of the text, by the whole tables of all windows."""
+    own = d.windows(len(item))
+    if not own:
+        return {}
+    pattern = np.array([list(item[s : s + m]) for s, m in own])
+    t, k = np.frombuffer(text, np.uint8), np.arange(len(text) + 1)
+    row = np.zeros((len(own), len(text) + 1), np.int64)
+    for i in range(pattern.shape[1]):
+        new = np.full_like(row, i + 1)
+        new[:, 1:] = np.minimum(row[:, :-1] + (pattern[:, i : i + 1] != t), row[:, 1:] + 1)
+        row = np.minimum.accumulate(new - k, axis=1) + k
+    return {s: int(e) for (s, _), e in zip(own, row.min(axis=1))}
+
+
+@pytest.mark.parametrize("partitions", [1, 7, 40])
+def test_windows_of_documents_equal_brute_force(spark, partitions):
+    """(id, item, edits, windows) of every row, however the rows are dealt out."""
+    rng = random.Random(21)
+    items = [(1, prose(rng, 12)), (2, prose(rng, 30)), (3, prose(rng, 60)), (4, prose(rng, 3))]
+    texts = {}
+    for k in range(40):
+        item = items[k % 4][1]
+        a = rng.randrange(0, max(1, len(item) - 120))
+        texts[k] = prose(rng, rng.randrange(0, 25)) + " " + edited(rng, item[a : a + rng.randrange(90, 260)], rng.choice([0, 3, 8, 9, 12])) + " " + prose(rng, rng.randrange(0, 25))
+    want = {}
+    for k, text in texts.items():
+        for j, item in items:
+            found = {s: e for s, e in plain_windows(d.normal(item), d.normal(text)).items() if e <= d.budget(min(len(d.normal(item)), d.WINDOW))}
+            if found:
+                want[k, j] = (min(found.values()), len(found))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(partitions)
+    got = {(r["id"], r["item_id"]): (r["edits"], r["windows"]) for r in d.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want and len({i for i, _ in want}) > 15 and len(want) < 40
