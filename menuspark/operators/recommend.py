@@ -3,21 +3,24 @@
 The rules describe a depth-first search over a pool sorted by price, cut after ``node_budget`` nodes. A node is a path of
 (idx, qty) steps with rising idx, and depth-first order is the lexicographic order of paths. So the search is a set: all paths that
 respect budget, copies and category caps, numbered in path order. ``expand_combinations`` makes it by joins, a level at a time.
-``recommend`` uses joins for pools of at most ``JOIN_POOL`` dishes if asked to, and by default searches each session's pool as numpy levels
-(``applyInPandas``): the same nodes, without shuffling them.
+``recommend`` does the same by joins if asked to, and by default searches the sessions of a partition as numpy levels (``mapInArrow``), many
+sessions at once: the same nodes, without shuffling them. Pools in which the node budget may bind are searched one by one.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import money
 
-JOIN_POOL = 21
+#: Nodes that the sessions searched together may have, by their pools' sizes alone.
+TOGETHER = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -167,34 +170,131 @@ def _first_nodes(levels: list[tuple[np.ndarray, ...]], most: int) -> tuple[np.nd
     return codes[order], *(np.concatenate([level[i] for level in levels])[order] for i in (1, 2, 3))
 
 
+def most_nodes(n: np.ndarray, rules: RuleSet) -> np.ndarray:
+    """The nodes that a pool of n dishes may have, the root included."""
+    sizes = np.array([sum(math.comb(k, d) * rules.max_qty_per_item**d for d in range(rules.max_distinct_items + 1)) for k in range(int(n.max(initial=0)) + 1)], np.float64)
+    return sizes[n]
+
+
+def search_many(start: np.ndarray, n: np.ndarray, prices: np.ndarray, category: np.ndarray, names: np.ndarray, units: np.ndarray, numbers: np.ndarray, rules: RuleSet) -> tuple[np.ndarray, ...]:
+    """(session, score, spent, depth, codes) of the best paths of many sessions, best first in each. Session i has the dishes start[i] to
+    start[i] + n[i]; ``numbers`` are SESSION's columns. Codes are idx * copies + qty - 1, -1 after a path's end."""
+    q = rules.max_qty_per_item
+    budget, subtotal, total, tip = (numbers[:, k] for k in range(1, 5))
+    session = np.arange(len(n))
+    codes, spent = np.zeros((len(n), 0), np.int32), np.zeros(len(n), np.int64)
+    seen, again = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+    levels = []
+    for depth in range(rules.max_distinct_items):
+        last = codes[:, -1] // q + 1 if depth else np.zeros(len(codes), np.int64)
+        size = (n[session] - last) * q
+        row = np.repeat(np.arange(len(codes)), size)
+        code = np.arange(len(row)) - np.repeat(np.cumsum(size) - size - last * q, size)
+        dish, qty = start[session[row]] + code // q, code % q + 1
+        cost = spent[row] + prices[dish] * qty
+        ok = cost <= budget[session[row]]
+        row, code, dish, qty, cost = row[ok], code[ok], dish[ok], qty[ok], cost[ok]
+        used, new = units[dish] + qty, np.ones(len(row), bool)
+        for k in range(depth):
+            before = codes[row, k]
+            at = start[session[row]] + before // q
+            used += np.where(category[at] == category[dish], before % q + 1, 0)
+            new &= names[at] != names[dish]
+        ok = used <= rules.max_per_category
+        row, code = row[ok], code[ok]
+        codes = np.concatenate([codes[row], code[:, None].astype(np.int32)], axis=1)
+        session, spent, seen, again = session[row], cost[ok], seen[row] + new[ok], again[row] + qty[ok] - 1
+        value = spent / budget[session] + seen * rules.diversity_bonus - again * rules.duplicate_penalty
+        fits = (subtotal[session] + spent) * (10_000 + tip[session]) <= total[session] * 10_000
+        levels.append((session[fits], value[fits], spent[fits], np.full(int(fits.sum()), depth + 1), np.pad(codes[fits], ((0, 0), (0, rules.max_distinct_items - depth - 1)), constant_values=-1)))
+        if not len(codes):
+            break
+    owner, value, spent, depth, codes = (np.concatenate([x[k] for x in levels]) for k in range(5))
+    order = np.lexsort((-value, owner))
+    first = np.searchsorted(owner[order], np.arange(len(n)))
+    rank = np.arange(len(order)) - first[owner[order]]
+    # Whatever ties with a session's last place stays, for the order by length and path.
+    place = np.minimum(first + rules.max_suggestions - 1, np.searchsorted(owner[order], np.arange(len(n)), side="right") - 1)
+    least = value[order][np.maximum(place, 0)] if len(order) else np.zeros(len(n))
+    keep = order[(rank < rules.max_suggestions) | (value[order] == least[owner[order]])]
+    keep = keep[np.lexsort((*codes[keep].T[::-1], depth[keep], -value[keep], owner[keep]))]
+    rank = np.arange(len(keep)) - np.searchsorted(owner[keep], np.arange(len(n)))[owner[keep]]
+    keep = keep[rank < rules.max_suggestions]
+    return owner[keep], value[keep], spent[keep], depth[keep], codes[keep]
+
+
+_SHOWN = ("item_id", "variant_id", "name", "variant_label", "category_name", "price_agorot")
 _LINE = "struct<item_id:string,variant_id:string,name:string,variant_label:string,category_name:string,price_agorot:bigint,qty:int>"
 _BEST = f"session_id long, remaining_food_budget_agorot long, food_subtotal_agorot long, total_budget_agorot long, tip_bp long, rank int, score double, spent long, lines array<{_LINE}>"
 
 
-def _grouped(rules: RuleSet):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        head = pdf.iloc[0]
-        category, _ = pd.factorize(pdf["category_id"])
-        names, _ = pd.factorize(pdf["category_name"])
-        units = pdf.groupby(category)["units"].first().to_numpy()
-        own = [int(head[c]) for c in SESSION]
-        found = search(pdf["price_agorot"].to_numpy(np.int64), category, names, units, own[1], own[2], own[3], own[4], rules)
-        dishes = pdf[["item_id", "variant_id", "name", "variant_label", "category_name", "price_agorot"]].to_dict("records")
-        lines = [[{**dishes[i], "variant_label": dishes[i]["variant_label"] if isinstance(dishes[i]["variant_label"], str) else None, "qty": q} for i, q in path] for _, _, path in found]
-        rows = [(*own, k + 1, s, spent, line) for k, ((s, spent, _), line) in enumerate(zip(found, lines))]
-        return pd.DataFrame(rows, columns=[*SESSION, "rank", "score", "spent", "lines"])
+def _best_of(table: pa.Table, rules: RuleSet) -> Iterator[pa.RecordBatch]:
+    """The suggestions of the whole sessions in a table that is sorted by session and idx."""
+    q = rules.max_qty_per_item
+    column = lambda name: table.column(name).to_numpy()
+    numbers = np.stack([column(c) for c in SESSION], axis=1)
+    start = np.flatnonzero(np.concatenate([[True], numbers[1:, 0] != numbers[:-1, 0]]))
+    n = np.diff(np.append(start, len(numbers)))
+    code = lambda name: table.column(name).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+    prices, units, category, names = column("price_agorot"), column("units"), code("category_id"), code("category_name")
+    sizes, at = most_nodes(n, rules), 0
+    while at < len(n):
+        if sizes[at] > rules.node_budget:
+            own = slice(start[at], start[at] + n[at])
+            _, own_category = np.unique(category[own], return_inverse=True)
+            firsts = units[own][np.unique(own_category, return_index=True)[1]]
+            found = search(prices[own], own_category, names[own], firsts, *numbers[start[at], 1:].tolist(), rules)
+            width = max(rules.max_distinct_items, 1)
+            codes = np.array([[i * q + k - 1 for i, k in path] + [-1] * (width - len(path)) for *_, path in found], np.int32).reshape(-1, width)
+            owner, value, spent, depth = np.full(len(found), at), np.array([x[0] for x in found]), np.array([x[1] for x in found], np.int64), np.array([len(x[2]) for x in found], np.int64)
+            end = at + 1
+        else:
+            end = at + 1
+            held = sizes[at]
+            while end < len(n) and sizes[end] <= rules.node_budget and held + sizes[end] <= TOGETHER:
+                held += sizes[end]
+                end += 1
+            owner, value, spent, depth, codes = search_many(start[at:end], n[at:end], prices, category, names, units, numbers[start[at:end]], rules)
+            owner = owner + at
+        used = codes >= 0
+        dish = (start[owner][:, None] + codes // q)[used]
+        lines = [table.column(c).combine_chunks().take(pa.array(dish)) for c in _SHOWN]
+        struct = pa.StructArray.from_arrays([*lines, pa.array((codes % q + 1)[used].astype(np.int32))], [*_SHOWN, "qty"])
+        listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(depth)]), pa.int32()), struct)
+        rank = np.arange(len(owner)) - np.searchsorted(owner, owner) + 1
+        rows = numbers[start[owner]]
+        yield pa.RecordBatch.from_arrays([*(pa.array(rows[:, k]) for k in range(5)), pa.array(rank.astype(np.int32)), pa.array(value, pa.float64()), pa.array(spent, pa.int64()), listed], [*SESSION, "rank", "score", "spent", "lines"])
+        at = end
+
+
+def _search_sorted(rules: RuleSet):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = table if rest is None else pa.concat_tables([rest, table])
+            ids = table.column("session_id").to_numpy()
+            cut = int(np.searchsorted(ids, ids[-1]))  # the last session may go on in the next batch
+            rest = table.slice(cut)
+            if cut:
+                yield from _best_of(table.slice(0, cut).combine_chunks(), rules)
+        if rest is not None:
+            yield from _best_of(rest.combine_chunks(), rules)
 
     return run
 
 
 def recommend(pooled: DataFrame, rules: RuleSet = RuleSet(), *, joins: bool = False) -> DataFrame:
-    """The best suggestions of each session, one row each: rank, score, subtotals, leftover, lines, reasons and description."""
+    """The best suggestions of each session, one row each: rank, score, subtotals, leftover, lines, reasons and description.
+    ``pooled`` is as ``pool`` gives it, with a session's rows in one partition; one that was written and read again is first dealt out
+    anew by session_id."""
     if joins:
         best = by_joins(pooled, rules)
     else:
-        own = pooled.select(*[F.col(c).cast("bigint").alias(c) for c in SESSION], "idx", "units", *[F.col(c).cast("string").alias(c) if c not in ("price_agorot",) else c for c in CANDIDATE])
-        best = own.groupBy("session_id").applyInPandas(_grouped(rules), _BEST)
+        own = pooled.select(*[F.col(c).cast("bigint").alias(c) for c in SESSION], "idx", "units", *[F.col(c).cast("bigint" if c == "price_agorot" else "string").alias(c) for c in CANDIDATE])
+        best = own.sortWithinPartitions("session_id", "idx").mapInArrow(_search_sorted(rules), _BEST)
     return with_texts(best)
 
 

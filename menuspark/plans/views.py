@@ -66,15 +66,14 @@ def selections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("session_id"), _menu("l_partkey").alias("menu_id"), id_.alias("item_id"), F.concat(id_, F.lit("-0")).alias("variant_id"), c("l_quantity").cast("int").alias("qty"))
 
 
-def recommending(spark: SparkSession, sf_dir: str, *, every: int = 1) -> tuple[DataFrame, DataFrame]:
-    """Each order as a session on the menu of its smallest part, and its selections on that menu. ``every`` is for the SQL twins
-    over a sample: the orders whose key it divides."""
+def recommending(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Each order as a session on the menu of its smallest part, and its selections on that menu. One in fifty customers has a budget for
+    many dishes, and a few orders one for whole menus."""
     c = F.col
-    lines, orders = selections(spark, sf_dir), table(spark, sf_dir, "orders")
-    if every > 1:
-        lines, orders = lines.filter(c("session_id") % every == 0), orders.filter(c("o_orderkey") % every == 0)
+    lines = selections(spark, sf_dir)
     menu = lines.groupBy("session_id").agg(F.min("menu_id").alias("menu_id"))
-    own = orders.join(menu, c("o_orderkey") == c("session_id")).select("session_id", "menu_id", F.lit(1).alias("diners"), (400_000 + (c("o_custkey") % 50) * 10_000).cast("bigint").alias("per_person_agorot"), tip_bp(c("o_orderpriority")).alias("tip_bp"))
+    money = F.when(c("o_orderkey") % 5000 == 0, 3_000_000).when(c("o_custkey") % 50 == 0, 700_000).otherwise(200_000 + (c("o_custkey") % 50) * 4_000).cast("bigint")
+    own = table(spark, sf_dir, "orders").join(menu, c("o_orderkey") == c("session_id")).select("session_id", "menu_id", F.lit(1).alias("diners"), money.alias("per_person_agorot"), tip_bp(c("o_orderpriority")).alias("tip_bp"))
     return own, lines.join(menu, ["session_id", "menu_id"]).withColumn("qty", F.lit(1))
 
 

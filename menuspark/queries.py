@@ -459,72 +459,91 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Recommendations.
 
 
-def _pool(spark: SparkSession, sf_dir: str, *, sampled: bool = False) -> DataFrame:
-    """All orders and all usable variants; ``sampled`` is what the SQL twins state: each hundredth order, first variants only."""
-    own, chosen = V.recommending(spark, sf_dir, every=100 if sampled else 1)
+def _pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own, chosen = V.recommending(spark, sf_dir)
     items = V.items(spark, sf_dir)
-    if sampled:
-        items = items.withColumn("variants", F.slice("variants", 1, 1))
     resolved = menu.resolve_selections(chosen, items)
     summary = budget.compute_budget(own, resolved).join(own.select("session_id", "menu_id", "tip_bp"), "session_id")
     dishes = menu.select_candidates(items, V.categories(spark, sf_dir))
     return R.pool(summary, dishes, menu.selected_per_category(resolved))
 
 
-_POOL = _with("items", "variants", "categories", "selections") + """, chosen AS (SELECT * FROM selections WHERE session_id % 100 = 0), mine AS (SELECT session_id, min(menu_id) AS menu_id FROM chosen GROUP BY session_id),
-    own AS (SELECT m.session_id, m.menu_id, 400000 + (o.o_custkey % 50) * 10000 AS total, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 0 WHEN '2' THEN 1000 WHEN '3' THEN 1200 WHEN '4' THEN 1250 ELSE 1800 END AS tip FROM mine m JOIN orders o ON o.o_orderkey = m.session_id),
-    sel AS (SELECT c.session_id, v.category_id, CASE WHEN v.price_kind = 'fixed' AND v.price_agorot > 0 THEN v.price_agorot END AS price FROM chosen c JOIN mine m USING (session_id, menu_id) JOIN variants v USING (menu_id, item_id, variant_id)),
-    spent AS (SELECT o.*, coalesce((SELECT sum(price) FROM sel s WHERE s.session_id = o.session_id), 0) AS food FROM own o),
+_POOL = _with("items", "variants", "categories", "selections") + """, mine AS (SELECT session_id, min(menu_id) AS menu_id FROM selections GROUP BY session_id),
+    own AS (SELECT m.session_id, m.menu_id, CASE WHEN o.o_orderkey % 5000 = 0 THEN 3000000 WHEN o.o_custkey % 50 = 0 THEN 700000 ELSE 200000 + (o.o_custkey % 50) * 4000 END AS total,
+      CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 0 WHEN '2' THEN 1000 WHEN '3' THEN 1200 WHEN '4' THEN 1250 ELSE 1800 END AS tip FROM mine m JOIN orders o ON o.o_orderkey = m.session_id),
+    sel AS (SELECT c.session_id, v.category_id, CASE WHEN v.price_kind = 'fixed' AND v.price_agorot > 0 THEN v.price_agorot END AS price FROM selections c JOIN mine m USING (session_id, menu_id) JOIN variants v USING (menu_id, item_id, variant_id)),
+    food AS (SELECT session_id, sum(price) AS food FROM sel GROUP BY session_id),
+    spent AS (SELECT o.*, coalesce(f.food, 0) AS food FROM own o LEFT JOIN food f USING (session_id)),
     left_over AS (SELECT *, greatest(total * 10000 // (10000 + tip) - food, 0) AS budget FROM spent),
     units AS (SELECT session_id, category_id, count(*) AS units FROM sel GROUP BY 1, 2),
-    pool AS (SELECT l.session_id, l.budget, l.food, l.total, l.tip, v.variant_id, v.category_id, coalesce(c.name, 'ללא קטגוריה') AS category_name, v.price_agorot AS price, coalesce(u.units, 0) AS units,
-      row_number() OVER (PARTITION BY l.session_id ORDER BY v.price_agorot DESC, v.item_pos) - 1 AS idx
-      FROM left_over l JOIN variants v ON v.menu_id = l.menu_id AND v.variant_pos = 0 LEFT JOIN categories c ON c.menu_id = v.menu_id AND c.category_id = v.category_id LEFT JOIN units u ON u.session_id = l.session_id AND u.category_id = v.category_id
+    pool AS (SELECT l.session_id, l.budget, l.food, l.total, l.tip, v.variant_id, v.name, v.label, v.category_id, coalesce(c.name, 'ללא קטגוריה') AS category_name, v.price_agorot AS price, coalesce(u.units, 0) AS units,
+      row_number() OVER (PARTITION BY l.session_id ORDER BY v.price_agorot DESC, v.item_pos, v.variant_pos) - 1 AS idx
+      FROM left_over l JOIN variants v ON v.menu_id = l.menu_id LEFT JOIN categories c ON c.menu_id = v.menu_id AND c.category_id = v.category_id LEFT JOIN units u ON u.session_id = l.session_id AND u.category_id = v.category_id
       WHERE v.price_kind = 'fixed' AND v.price_agorot >= 100 AND v.price_agorot <= l.budget)"""
 
 
-@query("p8_t1_pool", _POOL + " SELECT session_id, variant_id, idx, units, CAST(budget AS BIGINT) AS budget FROM pool")
-def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pool(spark, sf_dir, sampled=True).select("session_id", "variant_id", "idx", "units", F.col("remaining_food_budget_agorot").alias("budget"))
-
-
-@query("z4_recommend", _POOL.replace("WITH ", "WITH RECURSIVE ", 1) + """, nodes AS (
-      SELECT session_id, [idx * 2 + q - 1] AS path, idx AS last, price * q AS spent, [category_id || ''] AS cats, [q] AS qtys, [category_name] AS names, 1 AS depth FROM pool, (VALUES (1), (2)) t(q) WHERE units + q <= 3 AND price * q <= budget
-      UNION ALL SELECT p.session_id, list_append(n.path, p.idx * 2 + q - 1), p.idx, n.spent + p.price * q, list_append(n.cats, p.category_id || ''), list_append(n.qtys, q), list_append(n.names, p.category_name), n.depth + 1
-      FROM nodes n JOIN pool p ON p.session_id = n.session_id AND p.idx > n.last, (VALUES (1), (2)) t(q)
-      WHERE n.depth < 4 AND n.spent + p.price * q <= p.budget AND p.units + q + coalesce(list_sum([n.qtys[i] FOR i IN range(1, n.depth + 1) IF n.cats[i] = p.category_id]), 0) <= 3),
-    scored AS (SELECT n.session_id, n.path, n.depth, n.spent, CAST(n.spent AS DOUBLE) / l.budget + CAST(len(list_distinct(n.names)) AS DOUBLE) * CAST(0.04 AS DOUBLE) - CAST(list_sum(n.qtys) - n.depth AS DOUBLE) * CAST(0.05 AS DOUBLE) AS score
-      FROM nodes n JOIN left_over l USING (session_id) WHERE (l.food + n.spent) * (10000 + l.tip) <= l.total * 10000),
-    ranked AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, depth, path) AS rank FROM scored)
-    SELECT session_id, CAST(rank AS INTEGER) AS rank, CAST(spent AS BIGINT) AS added_subtotal_agorot, score FROM ranked WHERE rank <= 5""")
-def recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.recommend(_pool(spark, sf_dir, sampled=True)).select("session_id", "rank", "added_subtotal_agorot", "score")
+def _paths(dishes: int) -> str:
+    """All combinations of at most so many dishes, a join a dish: step = idx * 2 + qty - 1, category and quantity of each, -1 after the last."""
+    columns = lambda k: "".join(f", s{i}, c{i}, q{i}" for i in range(1, k + 1))
+    rest = lambda k: "".join(f", -1 AS s{i}, NULL AS c{i}, 0 AS q{i}" for i in range(k + 1, dishes + 1))
+    parts = ["one AS (SELECT session_id, idx, category_id, units, budget, price, q, price * q AS spent FROM pool, (VALUES (1), (2)) t(q) WHERE units + q <= 3 AND price * q <= budget)",
+             "level1 AS (SELECT session_id, spent, idx AS last, idx * 2 + q - 1 AS s1, category_id AS c1, q AS q1 FROM one)"]
+    for k in range(2, dishes + 1):
+        used = " + ".join(f"CASE WHEN a.c{i} = b.category_id THEN a.q{i} ELSE 0 END" for i in range(1, k))
+        own = "".join(f", a.s{i}, a.c{i}, a.q{i}" for i in range(1, k))
+        parts.append(f"level{k} AS (SELECT a.session_id, a.spent + b.spent AS spent, b.idx AS last{own}, b.idx * 2 + b.q - 1 AS s{k}, b.category_id AS c{k}, b.q AS q{k} FROM level{k - 1} a JOIN one b ON a.session_id = b.session_id AND b.idx > a.last WHERE a.spent + b.spent <= b.budget AND b.units + b.q + {used} <= 3)")
+    every = " UNION ALL ".join(f"SELECT session_id, spent, {k} AS depth{columns(k)}{rest(k)} FROM level{k}" for k in range(1, dishes + 1))
+    order = ", ".join(f"s{i}" for i in range(1, dishes + 1))
+    return f", {', '.join(parts)}, paths AS ({every}), nodes AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY {order}) + 1 AS node FROM paths)"
 
 
-@query("j7_combinations", _POOL + """, one AS (SELECT session_id, idx, category_id, units, budget, price, q, price * q AS spent FROM pool, (VALUES (1), (2)) t(q) WHERE units + q <= 3 AND price * q <= budget),
-    nodes AS (SELECT session_id, spent FROM one UNION ALL SELECT a.session_id, a.spent + b.spent FROM one a JOIN one b ON a.session_id = b.session_id AND b.idx > a.idx
-      WHERE a.spent + b.spent <= a.budget AND b.units + b.q + CASE WHEN a.category_id = b.category_id THEN a.q ELSE 0 END <= 3)
-    SELECT session_id, count(*) AS nodes, CAST(max(spent) AS BIGINT) AS most FROM nodes GROUP BY session_id""")
-def combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All combinations of at most two dishes."""
-    nodes = R.expand_combinations(_pool(spark, sf_dir, sampled=True), R.RuleSet(max_distinct_items=2))
-    return nodes.groupBy("session_id").agg(F.count("*").alias("nodes"), F.max("spent").alias("most"))
+def _ranked(dishes: int, budget: int) -> str:
+    """The five best of the first ``budget`` nodes of each session. A category's name is its own, so names count as categories do."""
+    listed, order = ", ".join(f"c{i}" for i in range(1, dishes + 1)), ", ".join(f"s{i}" for i in range(1, dishes + 1))
+    qty = " + ".join(f"q{i}" for i in range(1, dishes + 1))
+    return _POOL + _paths(dishes) + f""", scored AS (SELECT n.*, l.food, l.total, l.tip, l.budget, CAST(spent AS DOUBLE) / l.budget + CAST(len(list_distinct([x FOR x IN [{listed}] IF x IS NOT NULL])) AS DOUBLE) * CAST(0.04 AS DOUBLE) - CAST({qty} - depth AS DOUBLE) * CAST(0.05 AS DOUBLE) AS score,
+      len(list_distinct([x FOR x IN [{listed}] IF x IS NOT NULL])) AS n_categories, {qty} AS n_units
+      FROM nodes n JOIN left_over l USING (session_id) WHERE node <= {budget} AND (l.food + spent) * (10000 + l.tip) <= l.total * 10000),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, depth, {order}) AS rank FROM scored QUALIFY rank <= 5)"""
 
 
-# The same over all orders and variants by the full rules. Recursive SQL is too slow for these; the tests hold them against brute force.
+_P8 = _POOL + " SELECT session_id, variant_id, idx, units, CAST(budget AS BIGINT) AS budget FROM pool"
 
 
-@query("p8_t1_pool_all")
-def pool_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("p8_t1_pool_all", _P8)
+@query("p8_t1_pool", _P8)
+def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pool(spark, sf_dir).select("session_id", "variant_id", "idx", "units", F.col("remaining_food_budget_agorot").alias("budget"))
 
 
-@query("z4_recommend_all")
-def recommend_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.recommend(_pool(spark, sf_dir)).select("session_id", "rank", "added_subtotal_agorot", "score")
+_Z4 = _ranked(4, 120_000) + """, steps AS (SELECT session_id, rank, unnest([1, 2, 3, 4]) AS nth, unnest([s1, s2, s3, s4]) AS step FROM ranked),
+    texts AS (SELECT s.session_id, s.rank, string_agg(p.name || CASE WHEN p.label IS NOT NULL THEN ' (' || p.label || ')' ELSE '' END || CASE WHEN step % 2 = 1 THEN ' ×2' ELSE '' END, ' + ' ORDER BY nth) AS description
+      FROM steps s JOIN pool p ON p.session_id = s.session_id AND p.idx = s.step // 2 WHERE step >= 0 GROUP BY 1, 2),
+    money AS (SELECT *, greatest(0.0, total - (food + spent) * (CAST(1.0 AS DOUBLE) + tip / CAST(10000.0 AS DOUBLE))) AS leftover FROM ranked)
+    SELECT m.session_id, CAST(m.rank AS INTEGER) AS rank, CAST(spent AS BIGINT) AS added_subtotal_agorot, score, description,
+      array_to_string([x FOR x IN ['נשאר ₪' || format('{:,}', CAST(round(leftover) AS BIGINT) // 100) || '.' || lpad(CAST(CAST(round(leftover) AS BIGINT) % 100 AS VARCHAR), 2, '0') || ' מהתקציב הכולל, כולל טיפ',
+        CASE WHEN budget - spent <= 500 THEN 'מנצל כמעט את כל התקציב שנותר לאוכל' END, CASE WHEN n_categories > 1 THEN 'משלב ' || n_categories || ' קטגוריות שונות' END, CASE WHEN depth = 1 AND n_units = 1 THEN 'תוספת בודדת ופשוטה להזמנה' END] IF x IS NOT NULL], '|') AS reasons
+    FROM money m JOIN texts t ON t.session_id = m.session_id AND t.rank = m.rank"""
+
+
+@query("z4_recommend_all", _Z4)
+@query("z4_recommend", _Z4)
+def recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By the full rules, with the texts that are shown."""
+    return R.recommend(_pool(spark, sf_dir)).select("session_id", "rank", "added_subtotal_agorot", "score", "description", F.array_join("reasons", "|").alias("reasons"))
+
+
+@query("t3_node_budget", _ranked(3, 200) + " SELECT session_id, CAST(rank AS INTEGER) AS rank, CAST(spent AS BIGINT) AS added_subtotal_agorot, score FROM ranked")
+def node_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search of three dishes that ends after 200 nodes, which binds for many of them."""
+    return R.recommend(_pool(spark, sf_dir), R.RuleSet(max_distinct_items=3, node_budget=200)).select("session_id", "rank", "added_subtotal_agorot", "score")
 
 
-@query("j7_combinations_all")
-def combinations_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = R.expand_combinations(_pool(spark, sf_dir))
-    return nodes.groupBy("session_id").agg(F.count("*").alias("nodes"), F.max("spent").alias("most"))
+_J7 = _POOL + _paths(4) + " SELECT session_id, count(*) AS nodes, CAST(max(spent) AS BIGINT) AS most FROM nodes WHERE node <= 120000 GROUP BY session_id"
+
+
+@query("j7_combinations_all", _J7)
+@query("j7_combinations", _J7)
+def combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All combinations by the full rules."""
+    return R.expand_combinations(_pool(spark, sf_dir)).groupBy("session_id").agg(F.count("*").alias("nodes"), F.max("spent").alias("most"))
