@@ -43,6 +43,9 @@ _SQL = {
         10 + p_size + p_partkey % 7 AS price, 20 + p_size + p_partkey % 7 AS price2 FROM part),
       parsed AS (SELECT *, CASE p_type WHEN 'ECONOMY' THEN 'sides' WHEN 'SMALL' THEN 'starters' WHEN 'MEDIUM' THEN 'mains' WHEN 'PROMO' THEN 'drinks' WHEN 'STANDARD' THEN 'salads' ELSE 'desserts' END AS category,
         CASE WHEN p_size % 20 = 0 THEN 'market' WHEN p_size % 20 = 1 THEN 'byWeight' ELSE 'fixed' END AS price_kind, p_size % 20 > 1 AND p_size % 5 = 0 AS two, p_size % 20 > 1 AND p_size % 5 <> 0 AND p_size % 4 = 2 AS weighed FROM part_lines)""",
+    "page_lines": """page_lines AS (SELECT *, row_number() OVER (PARTITION BY menu_id ORDER BY p_partkey, k) - 1 AS line_no FROM (SELECT menu_id, p_partkey, p_size, unnest([0, 1, 2]) AS k, unnest([CASE WHEN fresh THEN category END,
+      p_name || ' ' || CASE WHEN price_kind = 'market' THEN 'market price' WHEN price_kind = 'byWeight' THEN 'per kg' WHEN two THEN 'small large ' || price || ' ' || price2 WHEN weighed THEN p_size || ' g ' || price ELSE CAST(price AS VARCHAR) END,
+      CASE WHEN p_size % 3 = 0 THEN 'with ' || p_brand || ' sauce' END]) AS text FROM parsed) WHERE text IS NOT NULL)""",
 }
 
 
@@ -88,17 +91,19 @@ def selected_per_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return menu.selected_per_category(menu.resolve_selections(V.selections(spark, sf_dir), V.items(spark, sf_dir)))
 
 
-@query("p6_validate_budget", """SELECT o_orderkey AS session_id, o_orderkey % 120 BETWEEN 1 AND 100 AND o_orderkey % 7 <> 3 AND o_orderkey % 130 <= 100 AS valid,
+@query("p6_validate_budget", """SELECT o_orderkey AS session_id, o_orderkey % 11 <> 5 AND o_orderkey % 120 BETWEEN 1 AND 100 AND o_orderkey % 7 <> 3 AND o_orderkey % 130 <= 100 AS valid,
     CASE WHEN o_orderkey % 7 = 3 THEN NULL ELSE CAST(round(o_totalprice * 100) AS BIGINT) END AS per_person_agorot,
-    CASE WHEN o_orderkey % 120 BETWEEN 1 AND 100 AND o_orderkey % 7 <> 3 AND o_orderkey % 130 <= 100 THEN (o_orderkey % 130) * 100 + CASE WHEN o_orderkey % 130 < 100 THEN 50 ELSE 0 END END AS tip_bp FROM orders""")
+    CASE WHEN o_orderkey % 11 <> 5 AND o_orderkey % 120 BETWEEN 1 AND 100 AND o_orderkey % 7 <> 3 AND o_orderkey % 130 <= 100 THEN (o_orderkey % 130) * 100 + CASE WHEN o_orderkey % 130 < 100 THEN 50 ELSE 0 END END AS tip_bp,
+    CASE WHEN o_orderkey % 11 = 5 THEN 'נא להזין מספר סועדים' WHEN o_orderkey % 120 = 0 THEN 'מספר הסועדים חייב להיות מספר שלם, 1 ומעלה' WHEN o_orderkey % 120 > 100 THEN 'עד 100 סועדים' END AS diners_error,
+    CASE WHEN o_orderkey % 7 = 3 THEN 'סכום לא תקין' END AS per_person_error, CASE WHEN o_orderkey % 130 > 100 THEN 'עד 100%' END AS tip_error FROM orders""")
 def validate_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
     key = c("o_orderkey")
     cents = F.round(c("o_totalprice") * 100).cast("bigint")
     amount = F.concat(F.floor(cents / 100).cast("string"), F.lit(","), F.lpad((cents % 100).cast("string"), 2, "0"))
     tip = F.concat((key % 130).cast("string"), F.when(key % 130 < 100, ",5").otherwise(""), F.lit(" %"))
-    forms = V.table(spark, sf_dir, "orders").select(key.alias("session_id"), F.concat((key % 120).cast("string"), F.lit(" diners")).alias("diners"), F.when(key % 7 == 3, "12-14").otherwise(amount).alias("per_person"), tip.alias("tip"))
-    return budget.validate_budget(forms).select("session_id", "valid", "per_person_agorot", "tip_bp")
+    forms = V.table(spark, sf_dir, "orders").select(key.alias("session_id"), F.when(key % 11 != 5, F.concat((key % 120).cast("string"), F.lit(" diners"))).alias("diners"), F.when(key % 7 == 3, "12-14").otherwise(amount).alias("per_person"), tip.alias("tip"))
+    return budget.validate_budget(forms).select("session_id", "valid", "per_person_agorot", "tip_bp", "diners_error", "per_person_error", "tip_error")
 
 
 # Money texts.
@@ -157,9 +162,12 @@ def prune_selections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return menu.prune_selections(_odd_selections(spark, sf_dir), V.items(spark, sf_dir)).select("session_id", "item_id", "variant_id", "qty")
 
 
-@query("j9_drop_orphans", _with("items", "selections") + "SELECT session_id, item_id, qty FROM selections WHERE item_id NOT IN (SELECT item_id FROM items WHERE p_size % 20 = 0)")
+@query("j9_drop_orphans", _with("items", "selections") + "SELECT session_id, item_id, qty FROM selections WHERE item_id NOT IN (SELECT item_id FROM items WHERE p_size % 20 = 0 OR p_size % 7 = 0)")
 def drop_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return menu.drop_orphans(V.selections(spark, sf_dir), V.items(spark, sf_dir).filter("price_kind = 'market'")).select("session_id", "item_id", "qty")
+    """Without the items of market price and the first variants of those under review."""
+    items = V.items(spark, sf_dir)
+    variants = menu.variants_of(items.filter("needs_review")).filter("variant_pos = 0").select("menu_id", "item_id", "variant_id")
+    return menu.drop_orphans(V.selections(spark, sf_dir), items.filter("price_kind = 'market'"), variants).select("session_id", "item_id", "qty")
 
 
 @query("u5_add_to_order", _with("selections") + "SELECT session_id, item_id, CAST(sum(qty + CASE WHEN qty % 2 = 0 THEN 2 ELSE 0 END) AS BIGINT) AS qty FROM selections GROUP BY session_id, item_id")
@@ -186,6 +194,12 @@ def image_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return menu.image_counts(own, own.select("menu_id", F.lit("done").alias("status")))[0]
 
 
+@query("a18_failed_images", "SELECT o_custkey AS menu_id, count(*) FILTER (WHERE o_orderstatus = 'O') AS failed FROM orders GROUP BY o_custkey")
+def failed_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.when(F.col("o_orderstatus") == "O", "error").otherwise("done")
+    return menu.image_counts(V.items(spark, sf_dir), V.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("menu_id"), status.alias("status")))[1]
+
+
 # Edits.
 
 
@@ -214,11 +228,12 @@ def variant_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("p12_ensure_categories", _with("categories") + """, wanted AS (SELECT p_partkey // 16 AS menu_id, p_brand AS name, min(p_partkey) AS seq FROM part GROUP BY 1, 2)
-    SELECT menu_id, name, ord FROM categories UNION ALL SELECT w.menu_id, w.name, (SELECT count(*) FROM categories c WHERE c.menu_id = w.menu_id) + row_number() OVER (PARTITION BY w.menu_id ORDER BY seq) - 1 FROM wanted w""")
+    SELECT menu_id, CASE WHEN menu_id = 1 AND category_id = 'PROMO' THEN 'specials' ELSE name END AS name, ord FROM categories UNION ALL SELECT w.menu_id, w.name, (SELECT count(*) FROM categories c WHERE c.menu_id = w.menu_id) + row_number() OVER (PARTITION BY w.menu_id ORDER BY seq) - 1 FROM wanted w""")
 def ensure_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = V.table(spark, sf_dir, "part").select(V._menu("p_partkey").alias("menu_id"), F.concat(F.lit(" "), "p_brand").alias("name"), F.col("p_partkey").alias("seq"))
     both = names.unionByName(V.categories(spark, sf_dir).select("menu_id", "name", F.col("order").alias("seq")))
-    return menu.ensure_categories(V.categories(spark, sf_dir), both).select("menu_id", "name", F.col("order").alias("ord"))
+    made = menu.ensure_categories(V.categories(spark, sf_dir), both)
+    return menu.rename_category(made, 1, "PROMO", "specials").select("menu_id", "name", F.col("order").alias("ord"))
 
 
 @query("p13_remove_images", _with("items") + "SELECT item_id, image AS images FROM items WHERE image <> 'img_' || (menu_id % 3)")
@@ -280,12 +295,13 @@ _PRICES = """CASE WHEN price_kind <> 'fixed' THEN '' WHEN two THEN CASE WHEN p_n
 
 
 @query("z1_parse_pages", _with("texts") + f"""SELECT menu_id, CASE WHEN two THEN p_name || ' small large' WHEN weighed THEN p_name || ' ' || p_size || ' g' ELSE p_name END AS name, category,
-    CASE WHEN p_size % 3 = 0 THEN 'with ' || p_brand || ' sauce' END AS description, price_kind, {_PRICES} AS prices, price_kind <> 'fixed' OR p_size < 32 AS needs_review FROM parsed""")
+    CASE WHEN p_size % 3 = 0 THEN 'with ' || p_brand || ' sauce' END AS description, price_kind, {_PRICES} AS prices, price_kind <> 'fixed' OR p_size < 32 AS needs_review,
+    CASE WHEN price_kind = 'market' THEN 'Market price — ask the restaurant' WHEN price_kind = 'byWeight' THEN 'מתומחר לפי משקל' WHEN p_size < 32 THEN 'זיהוי טקסט לא ודאי' ELSE '' END AS reasons FROM parsed""")
 def parse_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = parse.parse_pages(V.lines(spark, sf_dir), V.hints(spark, sf_dir), V.pages(spark, sf_dir))
     named = out.items.join(out.categories.select("menu_id", "category_id", F.col("name").alias("category")), ["menu_id", "category_id"])
     prices = F.array_join(F.transform(F.filter("variants", lambda v: v["price_agorot"].isNotNull()), lambda v: F.concat(F.coalesce(v["label"], F.lit("")), F.lit("="), v["price_agorot"].cast("string"))), ",")
-    return named.select("menu_id", "name", "category", "description", "price_kind", prices.alias("prices"), "needs_review")
+    return named.select("menu_id", "name", "category", "description", "price_kind", prices.alias("prices"), "needs_review", F.array_join("review_reasons", "|").alias("reasons"))
 
 
 @query("a10_parse_stats", _with("texts") + "SELECT menu_id, CAST(sum(1 + CAST(fresh AS INTEGER) + CASE WHEN p_size % 3 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS lines, count(*) AS items_found, count(*) FILTER (WHERE price_kind <> 'fixed' OR p_size < 32) AS flagged FROM parsed GROUP BY menu_id")
@@ -299,10 +315,9 @@ def page_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("menu_id", "name", F.col("order").alias("ord"))
 
 
-@query("n1_detect_prices", _with("texts") + "SELECT menu_id, p_partkey, CASE WHEN price_kind <> 'fixed' THEN '' WHEN two THEN price * 100 || ',' || price2 * 100 ELSE CAST(price * 100 AS VARCHAR) END AS prices FROM parsed")
+@query("n1_detect_prices", _with("texts", "page_lines") + "SELECT l.menu_id, l.line_no, CASE WHEN k <> 1 OR price_kind <> 'fixed' THEN '' WHEN two THEN price * 100 || ',' || price2 * 100 ELSE CAST(price * 100 AS VARCHAR) END AS prices FROM page_lines l JOIN parsed USING (p_partkey)")
 def detect_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = L.detect_prices(V.lines(spark, sf_dir).filter("kind = 1"))
-    return out.select("menu_id", "p_partkey", F.array_join(F.transform("hits", lambda h: h["value"].cast("string")), ",").alias("prices"))
+    return L.detect_prices(V.lines(spark, sf_dir)).select("menu_id", "line_no", F.array_join(F.transform("hits", lambda h: h["value"].cast("string")), ",").alias("prices"))
 
 
 @query("j4_hint_for_line", _with("texts") + "SELECT p_partkey, CAST((price + 1) * 100 AS VARCHAR) AS hint FROM parsed WHERE p_size % 6 = 0")
@@ -359,27 +374,35 @@ def confirmed_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return menu.confirmed_only(own, own.select("menu_id", (F.col("menu_id") % 2 == 0).alias("confirmed")).distinct()).select("item_id")
 
 
-@query("x5_x8_line_rules", _with("texts") + """SELECT p_partkey, CASE WHEN two AND p_name LIKE 'large%' OR p_name LIKE 'large%' AND p_name LIKE '%small%' THEN 'גדול,קטן' WHEN two OR p_name LIKE 'small%' AND p_name LIKE '%large%' THEN 'קטן,גדול' WHEN p_name LIKE '%small%' THEN 'קטן' WHEN p_name LIKE '%large%' THEN 'גדול' ELSE '' END AS labels,
-    CASE WHEN price_kind <> 'fixed' THEN price_kind END AS market, two OR price_kind <> 'fixed' OR weighed AS continues FROM parsed""")
+@query("x5_x8_line_rules", _with("texts", "page_lines") + """SELECT l.menu_id, l.line_no, CASE WHEN k <> 1 THEN '' WHEN two AND p_name LIKE 'large%' OR p_name LIKE 'large%' AND p_name LIKE '%small%' THEN 'גדול,קטן' WHEN two OR p_name LIKE 'small%' AND p_name LIKE '%large%' THEN 'קטן,גדול' WHEN p_name LIKE '%small%' THEN 'קטן' WHEN p_name LIKE '%large%' THEN 'גדול' ELSE '' END AS labels,
+    CASE WHEN k = 1 AND price_kind <> 'fixed' THEN price_kind END AS market, k = 2 OR k = 1 AND (two OR price_kind <> 'fixed' OR weighed) AS continues FROM page_lines l JOIN parsed USING (p_partkey)""")
 def line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
-    return V.lines(spark, sf_dir).filter("kind = 1").select("p_partkey", F.array_join(T.detect_variant_labels(text), ",").alias("labels"), T.market_pattern(text)["kind"].alias("market"), T.is_continuation(text).alias("continues"))
+    return V.lines(spark, sf_dir).select("menu_id", "line_no", F.array_join(T.detect_variant_labels(text), ",").alias("labels"), T.market_pattern(text)["kind"].alias("market"), T.is_continuation(text).alias("continues"))
 
 
-@query("s1_flatten_blocks", _with("texts") + "SELECT menu_id, CAST(sum(1 + CAST(fresh AS INTEGER) + CASE WHEN p_size % 3 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS lines FROM parsed GROUP BY menu_id")
+@query("s1_flatten_blocks", _with("texts", "page_lines") + """SELECT menu_id, line_no, CASE WHEN line_no % 4 = 1 AND line_no % 7 = 4 THEN '' ELSE text END AS text, CASE WHEN line_no % 5 = 2 THEN 0.0 ELSE CAST(40 + p_size AS DOUBLE) END AS confidence,
+    CASE WHEN line_no % 6 = 3 THEN 0.0 ELSE line_no * 50.0 END AS y0, CASE WHEN line_no % 6 = 3 THEN 0.0 ELSE line_no * 50.0 + CASE WHEN k = 0 THEN 34 ELSE 24 END END AS y1, CASE WHEN line_no % 7 = 4 THEN '' ELSE replace(text, ' ', '|') END AS words FROM page_lines""")
 def flatten_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.flatten_blocks(_page_records(spark, sf_dir)).groupBy("menu_id").agg(F.count("*").alias("lines"))
+    out = P.flatten_blocks(_page_records(spark, sf_dir, odd=True))
+    return out.select("menu_id", F.col("line_no").cast("bigint").alias("line_no"), "text", "confidence", "bbox.y0", "bbox.y1", F.array_join(F.transform("words", lambda w: w["text"]), "|").alias("words"))
 
 
-def _page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines as nested records, one block and paragraph a page."""
-    line = F.struct("text", "confidence", "bbox", "words")
+def _page_records(spark: SparkSession, sf_dir: str, *, odd: bool = False) -> DataFrame:
+    """The lines as nested records, one block and paragraph a page. ``odd``: in two blocks, the first of two paragraphs, with texts,
+    confidences, boxes and words missing here and there."""
+    n = F.col("line_no")
+    missing = {"text": n % 4 == 1, "confidence": n % 5 == 2, "bbox": n % 6 == 3, "words": n % 7 == 4} if odd else {}
+    line = F.struct(*[F.when(~missing[c], F.col(c)).alias(c) if c in missing else F.col(c) for c in ("text", "confidence", "bbox", "words")])
     own = V.lines(spark, sf_dir).groupBy("menu_id", "page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", line.alias("l")))), lambda x: x["l"]).alias("lines"))
-    blocks = F.array(F.struct(F.array(F.struct(F.col("lines").alias("lines"))).alias("paragraphs")))
+    paragraph = lambda at, size: F.struct(F.slice("lines", F.lit(at), F.lit(size)).alias("lines"))
+    block = lambda *paragraphs: F.struct(F.array(*paragraphs).alias("paragraphs"))
+    blocks = F.array(block(paragraph(1, 3), paragraph(4, 2)), block(paragraph(6, 1 << 30))) if odd else F.array(block(F.struct("lines")))
     return own.select("menu_id", "page_id", F.lit(0).alias("page_seq"), F.lit(1000.0).alias("page_width"), F.lit(90.0).alias("confidence"), blocks.alias("blocks"))
 
 
-@query("l1_page_intake")
+@query("l1_page_intake", _with("texts", "page_lines") + """SELECT menu_id, substr(sha256('item' || chr(31) || menu_id || chr(31) || 'page_' || menu_id || chr(31) || line_no), 1, 20) AS item_id, row_number() OVER (PARTITION BY menu_id ORDER BY p_partkey) - 1 AS item_pos,
+    CASE WHEN two THEN p_name || ' small large' WHEN weighed THEN p_name || ' ' || p_size || ' g' ELSE p_name END AS name, price_kind, price_kind <> 'fixed' OR p_size < 32 AS needs_review FROM (SELECT p.*, line_no FROM parsed p JOIN page_lines l USING (p_partkey) WHERE k = 1)""")
 def page_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page records as a stream to its end; the working menus' items."""
     records = staged(_page_records(spark, sf_dir), "records")
@@ -442,8 +465,7 @@ def load_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def save_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     good, _ = S.load_sessions(V.raw_sessions(spark, sf_dir))
     path = new_folder(spark, "sessions")
-    payload = S.to_payload(good, F.lit(1_700_000_000_001))
-    payload.withColumn("bucket", F.pmod(F.xxhash64("session_id"), F.lit(8))).repartition(8, "bucket").write.partitionBy("bucket").parquet(path)
+    S.save_sessions(good, path, buckets=8, updated_at=F.lit(1_700_000_000_001))
     return spark.read.parquet(path).select("session_id", "json")
 
 

@@ -115,7 +115,7 @@ def to_payload(sessions: DataFrame, updated_at: Column | None = None) -> DataFra
     return sessions.select("session_id", F.to_json(stamped).alias("json"))
 
 
-def save_sessions(sessions: DataFrame, path: str, *, buckets: int = 64, mode: str = "append") -> None:
+def save_sessions(sessions: DataFrame, path: str, *, buckets: int = 64, mode: str = "append", updated_at: Column | None = None) -> None:
     """Payloads as Parquet, partitioned by a hash of the session, one file a bucket."""
-    out = to_payload(sessions).withColumn("bucket", F.pmod(F.xxhash64("session_id"), F.lit(buckets)))
+    out = to_payload(sessions, updated_at).withColumn("bucket", F.pmod(F.xxhash64("session_id"), F.lit(buckets)))
     out.repartition(buckets, "bucket").write.mode(mode).partitionBy("bucket").parquet(path)
