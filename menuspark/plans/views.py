@@ -93,39 +93,41 @@ def live_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return users.select("session_id", (1 + F.col("session_id") % 8).alias("diners"), F.lit(1_500_000).cast("bigint").alias("per_person_agorot"), F.lit(1200).alias("tip_bp"))
 
 
-def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(menu_id, page_id, seq, kind, tokens, p_size): a menu page for each group of parts. A heading where the type changes, a line for
-    each part, and a line that goes on with it."""
+def page_texts(spark: SparkSession, sf_dir: str, *, two_pages: bool = False) -> DataFrame:
+    """(menu_id, page_id, seq, kind, tokens, p_size): a menu page for each group of parts. A heading (0) where the type changes, a line for
+    each part (1), and a line that goes on with it (2). ``two_pages``: odd parts are on a page before that of the even ones, each third
+    part with one price has it in a row of its own beside the dish (3), and some of the others begin with "combo"."""
     c = F.col
-    part = table(spark, sf_dir, "part").withColumn("menu_id", _menu("p_partkey").cast("string"))
-    before = F.lag("p_type").over(Window.partitionBy("menu_id").orderBy("p_partkey"))
+    part = table(spark, sf_dir, "part").withColumn("menu_id", _menu("p_partkey").cast("string")).withColumn("page_seq", (1 - c("p_partkey") % 2 if two_pages else F.lit(0)).cast("int"))
+    before = F.lag("p_type").over(Window.partitionBy("menu_id", "page_seq").orderBy("p_partkey"))
     part = part.withColumn("new", ~before.eqNullSafe(c("p_type"))).withColumn("price", (10 + c("p_size") + c("p_partkey") % 7).cast("string"))
-    name = F.split("p_name", " ")
+    single = (c("p_size") % 20 > 1) & (c("p_size") % 5 != 0) & (c("p_size") % 4 != 2) if two_pages else F.lit(False)
+    apart, promo = single & (c("p_partkey") % 3 == 0), single & (c("p_partkey") % 3 != 0) & (c("p_size") % 9 == 0)
     words = lambda *w: F.array(*[F.lit(x) if isinstance(x, str) else x for x in w])
+    name = F.concat(F.when(promo, words("combo")).otherwise(F.array().cast("array<string>")), F.split("p_name", " "))
     second = (20 + c("p_size") + c("p_partkey") % 7).cast("string")
     rest = (
-        F.when(c("p_size") % 20 == 0, words("market", "price")).when(c("p_size") % 20 == 1, words("per", "kg"))
+        F.when(apart, F.array().cast("array<string>")).when(c("p_size") % 20 == 0, words("market", "price")).when(c("p_size") % 20 == 1, words("per", "kg"))
         .when(c("p_size") % 5 == 0, words("small", "large", c("price"), second)).when(c("p_size") % 4 == 2, words(c("p_size").cast("string"), "g", c("price"))).otherwise(words(c("price")))
     )
     heading = F.lit(None).cast("string")
     for k, v in HEADINGS.items():
         heading = F.when(c("p_type") == k, v).otherwise(heading)
+    row = lambda k, order, there, tokens: F.struct(F.lit(k).alias("k"), F.lit(order).alias("o"), there.alias("there"), tokens.alias("tokens"))
     rows = F.filter(
-        F.array(
-            F.struct(F.lit(0).alias("k"), c("new").alias("there"), F.array(heading).alias("tokens")), F.struct(F.lit(1).alias("k"), F.lit(True).alias("there"), F.concat(name, rest).alias("tokens")),
-            F.struct(F.lit(2).alias("k"), (c("p_size") % 3 == 0).alias("there"), words("with", c("p_brand"), "sauce").alias("tokens")),
-        ),
+        F.array(row(0, 0, c("new"), F.array(heading)), row(1, 1, F.lit(True), F.concat(name, rest)), row(3, 2, apart, words(c("price"))), row(2, 3, c("p_size") % 3 == 0, words("with", c("p_brand"), "sauce"))),
         lambda x: x["there"],
     )
-    return part.select("menu_id", F.concat(F.lit("page_"), c("menu_id")).alias("page_id"), "p_partkey", "p_size", F.explode(rows).alias("r")).select("menu_id", "page_id", "p_partkey", "p_size", c("r.k").alias("kind"), c("r.tokens").alias("tokens"))
+    page = F.concat(F.lit("page_"), c("menu_id"), F.when(F.lit(two_pages), F.concat(F.lit("_"), c("page_seq").cast("string"))).otherwise(""))
+    return part.select("menu_id", page.alias("page_id"), "page_seq", "p_partkey", "p_size", F.explode(rows).alias("r")).select("menu_id", "page_id", "page_seq", "p_partkey", "p_size", c("r.k").alias("kind"), c("r.o").alias("row_order"), c("r.tokens").alias("tokens"))
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The page texts as recognised lines: 13 units a character, 10 between words, 38 or 48 a line."""
+def lines(spark: SparkSession, sf_dir: str, *, two_pages: bool = False) -> DataFrame:
+    """The page texts as recognised lines: 13 units a character, 10 between words, 50 a line; a price's own row is at its dish's height."""
     c = F.col
-    own = page_texts(spark, sf_dir)
-    no = F.row_number().over(Window.partitionBy("menu_id").orderBy("p_partkey", "kind")) - 1
-    own = own.withColumn("line_no", no).withColumn("height", F.when(c("kind") == 0, 34.0).otherwise(24.0)).withColumn("y", c("line_no") * 50.0)
+    own = page_texts(spark, sf_dir, two_pages=two_pages)
+    no = F.row_number().over(Window.partitionBy("menu_id", "page_id").orderBy("p_partkey", "row_order")) - 1
+    own = own.withColumn("line_no", no).withColumn("height", F.when(c("kind") == 0, 34.0).otherwise(24.0)).withColumn("y", (c("line_no") - F.when(c("kind") == 3, 1).otherwise(0)) * 50.0)
     width = F.transform("tokens", lambda t: F.greatest(F.lit(18.0), F.length(t) * 13.0))
     left = lambda i: F.aggregate(F.slice(width, F.lit(1), i), i * F.lit(10.0), lambda a, w: a + w)
     box = lambda x0, x1: F.struct(x0.alias("x0"), c("y").alias("y0"), x1.alias("x1"), (c("y") + c("height")).alias("y1"))
@@ -148,6 +150,22 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return menu.select("menu_id", F.concat(F.lit("page_"), F.col("menu_id")).alias("page_id"), F.lit(0).alias("page_seq"), F.lit(1000.0).alias("page_width"))
 
 
+def two_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = page_texts(spark, sf_dir, two_pages=True).select("menu_id", "page_id", "page_seq").distinct()
+    return out.withColumn("page_width", F.lit(1000.0))
+
+
+def right_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line for each part with two prices, its first word at the right edge: Hebrew for even sizes, Latin for odd ones."""
+    c = F.col
+    tokens = F.when(c("p_size") % 2 == 0, F.array(F.lit("מנת"), F.lit("הבית"), F.lit("הגדולה"))).otherwise(F.array(F.lit("the"), F.lit("house"), F.lit("special")))
+    prices = F.array((10 + c("p_size")).cast("string"), (30 + c("p_size")).cast("string"))
+    own = table(spark, sf_dir, "part").select(F.lit("m").alias("menu_id"), F.lit("p").alias("page_id"), c("p_partkey").alias("line_no"), F.concat(tokens, prices).alias("tokens"))
+    right = lambda i: 1000.0 - F.aggregate(F.slice("tokens", F.lit(1), i), F.lit(0.0), lambda a, t: a + 10.0 + F.length(t) * 13.0)
+    word = lambda t, i: F.struct(t.alias("text"), F.lit(90.0).alias("confidence"), F.struct((right(i) - F.length(t) * 13.0).alias("x0"), F.lit(0.0).alias("y0"), right(i).alias("x1"), F.lit(24.0).alias("y1")).alias("bbox"))
+    return own.select("menu_id", "page_id", "line_no", F.array_join("tokens", " ").alias("text"), F.transform("tokens", word).alias("words"))
+
+
 def raw_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions as JSON, every fiftieth one broken in one of three ways."""
     c = F.col

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .functions import money, text as T
 from .operators import budget, dedupe, lines as L, menu, quantities as Q, recommend as R
 from .plans import parse, views as V
-from .sources import pages as P, sessions as S
+from .sources import menus as M, pages as P, sessions as S
 from .sources.staging import new_folder, staged
 from .streaming import intake, totals
 
@@ -356,9 +356,9 @@ def prefer_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", L.prefer_reading(F.col("l_quantity").cast("bigint") * 100, F.col("l_partkey")).alias("value"))
 
 
-@query("x9_normalize_name", "SELECT p_partkey, lower(p_name) || ' ' || lower(p_brand) AS normal FROM part")
+@query("x9_normalize_name", "SELECT p_partkey, lower(p_name) || ' ' || lower(p_brand) || CASE WHEN p_size % 3 = 0 THEN ' שלום fine a2' ELSE '' END AS normal FROM part")
 def normalize_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.concat(F.lit("*"), F.upper("p_name"), F.lit(" \u2013 ("), "p_brand", F.lit(")! "))
+    name = F.concat(F.lit("*"), F.upper("p_name"), F.lit(" \u2013 ("), "p_brand", F.lit(")! "), F.when(F.col("p_size") % 3 == 0, "\u200fשָׁלוֹם, \ufb01ne Ａ２ ").otherwise(""))
     return V.table(spark, sf_dir, "part").select("p_partkey", T.normalize_name(name, is_nfkc=False).alias("normal"))
 
 
@@ -413,13 +413,50 @@ def page_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(intake.ITEMS).parquet(f"{out}/items").select("menu_id", "item_id", "item_pos", "name", "price_kind", "needs_review")
 
 
+_REASONS = """array_to_string([x FOR x IN [CASE WHEN price_kind = 'market' THEN 'Market price — ask the restaurant' WHEN price_kind = 'byWeight' THEN 'מתומחר לפי משקל' WHEN p_size < 32 THEN 'זיהוי טקסט לא ודאי' END,
+      CASE WHEN promo THEN 'נראה כמו מבצע או ארוחה עסקית — בדקו את התנאים' END, CASE WHEN apart THEN 'המחיר שויך לפי מיקום בעמודה — כדאי לוודא' END] IF x IS NOT NULL], '|')"""
+
+
+@query("u1_u2_two_pages", _with("texts") + f""", pages AS (SELECT *, 1 - p_partkey % 2 AS seq, price_kind = 'fixed' AND NOT two AND NOT weighed AND p_partkey % 3 = 0 AS apart, price_kind = 'fixed' AND NOT two AND NOT weighed AND p_partkey % 3 <> 0 AND p_size % 9 = 0 AS promo FROM parsed),
+    firsts AS (SELECT menu_id, category, min(seq * 1000000000 + p_partkey) AS first FROM pages GROUP BY 1, 2), orders AS (SELECT menu_id, category, row_number() OVER (PARTITION BY menu_id ORDER BY first) - 1 AS ord FROM firsts)
+    SELECT menu_id, row_number() OVER (PARTITION BY menu_id ORDER BY seq, p_partkey) - 1 AS item_pos, category, ord, 'page_' || menu_id || '_' || seq AS image, CASE WHEN promo THEN 'combo ' ELSE '' END || CASE WHEN two THEN p_name || ' small large' WHEN weighed THEN p_name || ' ' || p_size || ' g' ELSE p_name END AS name,
+      CASE WHEN price_kind <> 'fixed' THEN '' WHEN two THEN price * 100 || ',' || price2 * 100 ELSE CAST(price * 100 AS VARCHAR) END AS prices, price_kind <> 'fixed' OR p_size < 32 OR promo OR apart AS needs_review, {_REASONS} AS reasons FROM pages JOIN orders USING (menu_id, category)""")
+def two_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Menus of two pages, with prices in rows of their own and promotions."""
+    none = spark.createDataFrame([], intake.NO_HINTS)
+    out = parse.parse_pages(V.lines(spark, sf_dir, two_pages=True), none, V.two_pages(spark, sf_dir))
+    named = out.items.join(out.categories.select("menu_id", "category_id", F.col("name").alias("category"), F.col("order").alias("ord")), ["menu_id", "category_id"])
+    prices = F.array_join(F.transform("variants", lambda v: v["price_agorot"].cast("string")), ",")
+    return named.select("menu_id", "item_pos", "category", "ord", F.array_join("source_image_ids", ",").alias("image"), "name", prices.alias("prices"), "needs_review", F.array_join("review_reasons", "|").alias("reasons"))
+
+
+@query("x2_t4_right_lines", "SELECT p_partkey AS line_no, CASE WHEN p_size % 2 = 0 THEN 'rtl' ELSE 'ltr' END AS direction, CASE WHEN p_size % 2 = 0 THEN (10 + p_size) * 100 || ',' || (30 + p_size) * 100 ELSE (30 + p_size) * 100 || ',' || (10 + p_size) * 100 END AS prices FROM part")
+def right_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = L.detect_prices(V.right_lines(spark, sf_dir))
+    return out.select("line_no", T.line_direction(F.col("text")).alias("direction"), F.array_join(F.transform("hits", lambda h: h["value"].cast("string")), ",").alias("prices"))
+
+
+@query("s4_menu_tables", _with("items", "variants", "categories") + """SELECT 'item' AS kind, menu_id, item_id AS id, name, any_value(price_kind) || ':' || string_agg(coalesce(CAST(price_agorot AS VARCHAR), '-'), ',' ORDER BY variant_pos) AS rest FROM variants GROUP BY menu_id, item_id, name
+    UNION ALL SELECT 'category', menu_id, category_id, name, CAST(ord AS VARCHAR) FROM categories UNION ALL SELECT 'stats', menu_id, '', '', count(*) || ':' || count(*) FILTER (WHERE needs_review) FROM items GROUP BY menu_id""")
+def menu_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Menus as they are written and read back."""
+    items, path = V.items(spark, sf_dir), new_folder(spark, "menu-tables")
+    M.write_menu(parse.Parsed(items, V.categories(spark, sf_dir), menu.review_counts(items)), path, buckets=8)
+    back = M.read_menu(spark, path)
+    prices = F.array_join(F.transform("variants", lambda v: F.coalesce(v["price_agorot"].cast("string"), F.lit("-"))), ",")
+    rows = lambda df, kind, id_, name, rest: df.select(F.lit(kind).alias("kind"), "menu_id", id_.alias("id"), name.alias("name"), rest.alias("rest"))
+    c = F.col
+    out = rows(back.items, "item", c("item_id"), c("name"), F.concat("price_kind", F.lit(":"), prices)).unionByName(rows(back.categories, "category", c("category_id"), c("name"), c("order").cast("string")))
+    return out.unionByName(rows(back.stats, "stats", F.lit(""), F.lit(""), F.concat(c("items").cast("string"), F.lit(":"), c("flagged").cast("string"))))
+
+
 # Duplicates.
 
 _PAIRS = """named AS (SELECT p_partkey // 16 AS menu_id, CAST(p_partkey AS VARCHAR) AS id, p_partkey % 16 AS pos, p_partkey % 3 AS image, p_name AS name, CASE WHEN p_size % 20 > 1 THEN 4000 + 1000 * (p_size % 2) END AS price FROM part),
     grams AS (SELECT menu_id, pos, g, count(*) AS n FROM (SELECT menu_id, pos, substr('  ' || name || '  ', CAST(i AS BIGINT), 3) AS g FROM (SELECT *, unnest(range(1, length(name) + 3)) AS i FROM named)) GROUP BY menu_id, pos, g),
     shared AS (SELECT a.menu_id, a.pos AS pos_a, b.pos AS pos_b, sum(least(a.n, b.n)) AS k FROM grams a JOIN grams b ON a.menu_id = b.menu_id AND a.g = b.g AND a.pos < b.pos GROUP BY 1, 2, 3),
     pairs AS (SELECT s.menu_id, pos_a, pos_b, a.id AS target_id, b.id AS source_id, CASE WHEN a.name = b.name THEN 1.0 ELSE CAST(2 * k AS DOUBLE) / (length(a.name) + length(b.name) + 4) END AS score,
-      a.name = b.name AND (a.price IS NULL OR b.price IS NULL OR a.price = b.price) AS auto
+      a.name = b.name AND (a.price IS NULL OR b.price IS NULL OR a.price = b.price) AS auto, a.price IS NULL OR b.price IS NULL OR a.price = b.price AS compatible
       FROM shared s JOIN named a ON s.menu_id = a.menu_id AND s.pos_a = a.pos JOIN named b ON s.menu_id = b.menu_id AND s.pos_b = b.pos WHERE a.image <> b.image AND (a.name = b.name OR CAST(2 * k AS DOUBLE) / (length(a.name) + length(b.name) + 4) >= CAST(0.74 AS DOUBLE)))"""
 _LEADERS = """steps AS (SELECT *, row_number() OVER (PARTITION BY menu_id ORDER BY pos_a, pos_b) AS n FROM pairs),
     fold AS (SELECT DISTINCT menu_id, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS used, false AS kept FROM pairs
@@ -433,16 +470,21 @@ def duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.duplicate_pairs(V.items(spark, sf_dir, simple_prices=True)).select("menu_id", "target_id", "source_id", "score", "auto")
 
 
-@query("z2_find_duplicates", f"WITH RECURSIVE {_PAIRS}, {_LEADERS} SELECT menu_id, target_id, source_id, auto FROM leads")
+@query("z2_find_duplicates", f"WITH RECURSIVE {_PAIRS}, {_LEADERS} SELECT menu_id, target_id, source_id, auto, CASE WHEN auto THEN 'שם ומחיר זהים בשתי תמונות' ELSE 'שם דומה (' || CAST(round(score * 100) AS BIGINT) || '%)' || CASE WHEN compatible THEN '' ELSE ' אך מחירים שונים — ייתכן שאלו גדלים שונים' END END AS reason FROM leads")
 def find_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedupe.find_duplicates(V.items(spark, sf_dir, simple_prices=True)).select("menu_id", "target_id", "source_id", "auto")
+    return dedupe.find_duplicates(V.items(spark, sf_dir, simple_prices=True)).select("menu_id", "target_id", "source_id", "auto", "reason")
 
 
-@query("z3_auto_merges", f"""WITH RECURSIVE {_PAIRS}, {_LEADERS}, lead AS (SELECT n.*, coalesce(l.target_id, n.id) AS leader FROM named n LEFT JOIN leads l ON l.menu_id = n.menu_id AND l.source_id = n.id AND l.auto)
-    SELECT menu_id, leader AS item_id, count(DISTINCT image) AS n_images, CASE WHEN count(DISTINCT coalesce(price, -1)) = 0 THEN 1 ELSE count(DISTINCT coalesce(price, -1)) END AS n_variants FROM lead GROUP BY menu_id, leader""")
+@query("z3_auto_merges", f"""WITH RECURSIVE {_PAIRS}, {_LEADERS}, lead AS (SELECT n.*, coalesce(l.target_id, n.id) AS leader, CASE WHEN l.target_id IS NULL THEN 0 ELSE 100 END + n.pos AS nth FROM named n LEFT JOIN leads l ON l.menu_id = n.menu_id AND l.source_id = n.id AND l.auto),
+    own AS (SELECT l.*, CASE WHEN p_size % 3 = 0 THEN 'with ' || p_brand END AS description, p_size % 7 = 0 AS review, p_type FROM lead l JOIN part ON p_partkey = CAST(l.id AS BIGINT)),
+    prices AS (SELECT menu_id, leader, string_agg(coalesce(CAST(price AS VARCHAR), '-'), ',' ORDER BY first) AS prices FROM (SELECT menu_id, leader, price, min(nth) AS first FROM own GROUP BY 1, 2, 3) GROUP BY 1, 2),
+    images AS (SELECT menu_id, leader, string_agg('img_' || image, ',' ORDER BY first) AS images FROM (SELECT menu_id, leader, image, min(nth) AS first FROM own GROUP BY 1, 2, 3) GROUP BY 1, 2),
+    merged AS (SELECT menu_id, leader, arg_min(name, nth) AS name, arg_min(p_type, nth) AS category_id, arg_max(description, length(description) * 1000 - nth) AS description, bool_and(review) AS needs_review FROM own GROUP BY 1, 2)
+    SELECT menu_id, leader AS item_id, name, category_id, description, prices, images, needs_review, CAST(1.0 AS DOUBLE) AS confidence FROM merged JOIN prices USING (menu_id, leader) JOIN images USING (menu_id, leader)""")
 def auto_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     merged, _ = dedupe.apply_auto_merges(V.items(spark, sf_dir, simple_prices=True))
-    return merged.select("menu_id", "item_id", F.size("source_image_ids").cast("bigint").alias("n_images"), F.size("variants").cast("bigint").alias("n_variants"))
+    prices = F.array_join(F.transform("variants", lambda v: F.coalesce(v["price_agorot"].cast("string"), F.lit("-"))), ",")
+    return merged.select("menu_id", "item_id", "name", "category_id", "description", prices.alias("prices"), F.array_join("source_image_ids", ",").alias("images"), "needs_review", "confidence")
 
 
 @query("p16_suggestions", f"WITH RECURSIVE {_PAIRS}, {_LEADERS} SELECT menu_id, target_id, source_id FROM leads WHERE NOT auto AND CAST(source_id AS BIGINT) % 5 <> 0")
