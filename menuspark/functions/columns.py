@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a costly value that it names several times: the value is computed once a row, as a lambda's argument, where a plain
+    expression would be copied to each place."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def computed(df: DataFrame, **columns: Column) -> DataFrame:
     """``df`` with columns that are computed once for each row.
 

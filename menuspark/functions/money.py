@@ -8,16 +8,28 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .columns import bound
 from .lexicon import MONEY_MARKS
 
 MAX_AGOROT = 100_000_000
 #: White space as JavaScript's \s has it; Java's has ASCII only.
 SPACE = r"[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
-BIDI = r"[\u200E\u200F\u202A-\u202E\u2066-\u2069]"
+SPACES = " \t\n\x0b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+BIDI = "\u200e\u200f" + "".join(map(chr, [*range(0x202A, 0x202F), *range(0x2066, 0x206A)]))
+
+# Which separators group digits and which begin the decimals.
+COMMA_GROUPS = r"^\d{1,3}(?:,\d{3})+(?:\.\d+)?\z"
+DOT_GROUPS, MANY_DOTS = r"^\d{1,3}(?:\.\d{3})+,\d+\z", r"^\d{1,3}(?:\.\d{3}){2,}\z"
+COMMA_DECIMAL = r"^\d+,\d+\z"
+# End of fixed values.
 
 
 def trim(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(text, F.lit(SPACES))
+
+
+def no_bidi(text: Column) -> Column:
+    return F.translate(text, BIDI, "")
 
 
 def round_half_away(value: Column) -> Column:
@@ -48,15 +60,24 @@ def parse_money(text: Column) -> Column:
     taken in doubles, as prices were read by the screens this matches.
     """
     marks = "(?iu)" + "|".join(MONEY_MARKS)
-    t = trim(F.regexp_replace(F.regexp_replace(trim(text), BIDI, ""), marks, ""))
-    no_comma, no_dot = F.replace(t, F.lit(","), F.lit("")), F.replace(t, F.lit("."), F.lit(""))
-    plain = (
-        F.when(t.rlike(r"^\d{1,3}(?:,\d{3})+(?:\.\d+)?\z"), no_comma)
-        .when(t.rlike(r"^\d{1,3}(?:\.\d{3})+,\d+\z|^\d{1,3}(?:\.\d{3}){2,}\z"), F.replace(no_dot, F.lit(","), F.lit(".")))
-        .when(t.rlike(r"^\d+,\d+\z"), F.replace(t, F.lit(","), F.lit(".")))
-        .otherwise(t)
-    )
-    return F.when(plain.rlike(r"^-?\d+(?:\.\d+)?\z"), _in_range(round_half_away(plain.try_cast("double") * 100)))
+    strip = lambda x: F.replace(x, F.lit(","), F.lit(""))
+    dotted = lambda x: F.replace(x, F.lit(","), F.lit("."))
+
+    def plain(t: Column) -> Column:
+        return (
+            F.when(~F.contains(t, F.lit(",")) & ~t.rlike(MANY_DOTS), t)
+            .when(t.rlike(COMMA_GROUPS), strip(t))
+            .when(t.rlike(DOT_GROUPS) | t.rlike(MANY_DOTS), dotted(F.replace(t, F.lit("."), F.lit(""))))
+            .when(t.rlike(COMMA_DECIMAL), dotted(t))
+            .otherwise(t)
+        )
+
+    def amount(p: Column) -> Column:
+        return F.when(p.rlike(r"^-?\d+(?:\.\d+)?\z"), bound(round_half_away(p.try_cast("double") * 100), _in_range))
+
+    clean = trim(F.regexp_replace(no_bidi(trim(text)), marks, ""))
+    # Without a digit there is no amount: most words of a page end here.
+    return F.when(text.rlike(r"[0-9]"), bound(bound(clean, plain), amount))
 
 
 def format_amount(agorot: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
 from .lexicon import CATEGORY_WORDS, CONTINUATIONS, CURRENCY_WORDS, PRICELESS_PATTERNS, PROMO_PATTERNS, UNIT_WORDS, VARIANT_PATTERNS
-from .money import BIDI, SPACE, trim
+from .money import SPACE, no_bidi, trim
 
 LEADER_DOTS = r"[.\u2024\u2025\u2026\u00B7\u2022\-_]{2,}"
 PUNCTUATION = r"""["'`״׳.,:;!?()\[\]{}<>\-–—_/\\|*]"""
@@ -21,7 +21,7 @@ SIMILARITY_THRESHOLD = 0.74
 
 
 def clean_word(text: Column) -> Column:
-    return trim(F.regexp_replace(text, BIDI, ""))
+    return trim(no_bidi(text))
 
 
 def collapse(text: Column) -> Column:
@@ -111,7 +111,7 @@ def normalize_name(name: Column, *, is_nfkc: bool = True) -> Column:
     """A dish name for comparison: no niqqud, bidi marks or punctuation, single spaces, lower case. ``is_nfkc``: the name is in
     NFKC form already, as plain Hebrew and ASCII are; else it is brought to it first."""
     text = name if is_nfkc else nfkc(name)
-    return F.lower(collapse(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, NIQQUD, ""), BIDI, ""), PUNCTUATION, " ")))
+    return F.lower(collapse(F.regexp_replace(no_bidi(F.regexp_replace(text, NIQQUD, "")), PUNCTUATION, " ")))
 
 
 def trigrams(normal: Column) -> Column:
