@@ -46,10 +46,8 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = sentencepieces.load()
-    out = sentencepieces.encode(docs, model)
-    out = out.select("doc_id", "lang", "source", "pieces.ids", "pieces.n_pieces", "pieces.n_byte_pieces")
-    return sentencepieces.decode(out, model)
+    out = sentencepieces.encode(docs, sentencepieces.load(), decoded=True)
+    return out.select("doc_id", "lang", "source", "pieces.ids", "pieces.n_pieces", "pieces.n_byte_pieces", "pieces.decoded")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

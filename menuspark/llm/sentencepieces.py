@@ -26,7 +26,7 @@ from .common import as_bytes, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁".encode()
-LONG, UNKNOWN_COST, CACHE_BYTES, WORD_BYTES, BATCH_BYTES, CUT_BYTES = 64, 10.0, 48 << 20, 150, 2 << 20, 1 << 20
+LONG, UNKNOWN_COST, CACHE_BYTES, WORD_BYTES, BATCH_BYTES, CUT_BYTES = 64, 10.0, 24 << 20, 150, 2 << 20, 1 << 20
 
 
 class DoubleArray:
@@ -109,9 +109,10 @@ class Pieces:
             self.cache |= zip(own, found)
             self.held += sum(map(len, own)) + sum(map(len, found)) + WORD_BYTES * len(own)
         cache = self.cache
-        if parts:
-            cache = cache | {w: b"".join([cache[p] for p in own]) for w, own in parts.items()}
-        return [np.frombuffer(b"".join([cache[w] for w in own]), np.int32) for own in split]
+        if not parts:
+            return [np.frombuffer(b"".join([cache[w] for w in own]), np.int32) for own in split]
+        long = {w: b"".join([cache[p] for p in own]) for w, own in parts.items()}
+        return [np.frombuffer(b"".join([long[w] if w in long else cache[w] for w in own]), np.int32) for own in split]
 
     def _cut(self, word: bytes) -> list[bytes]:
         """The word's parts between places that no piece and no character reaches across: the best path of the word is the best
@@ -297,7 +298,7 @@ def _groups(texts: list[bytes], most: int = BATCH_BYTES) -> Iterator[slice]:
         at = end
 
 
-def _encode(shared, names: list[str], ids_too: bool):
+def _encode(shared, names: list[str], kinds: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         first = int(model.byte_ids.min()), int(model.byte_ids.max())
@@ -307,20 +308,23 @@ def _encode(shared, names: list[str], ids_too: bool):
                 found = model.encode(texts[part])
                 rest = [c.slice(part.start, part.stop - part.start) for c in batch.columns[1:]]
                 size = np.array([len(x) for x in found], np.int64)
-                if ids_too:
+                if "ids" in kinds:
                     own = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *found])))]
                 else:
                     own = [pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in found]), pa.array([hashlib.sha256(model.decode(x.tolist())).hexdigest() for x in found])]
+                if "decoded" in kinds:
+                    own.append(pa.array([model.decode(x.tolist()).decode("utf-8", "replace") for x in found], pa.string()))
                 own += [pa.array(size), pa.array([int(((x >= first[0]) & (x <= first[1])).sum()) for x in found], pa.int64())]
                 yield pa.RecordBatch.from_arrays([*rest, *own], names)
 
     return run
 
 
-def encode(docs: DataFrame, model: Pieces, *, text_col: str = "text", to: str = "pieces") -> DataFrame:
+def encode(docs: DataFrame, model: Pieces, *, text_col: str = "text", to: str = "pieces", decoded: bool = False) -> DataFrame:
     """``docs`` with ``to`` = struct(ids, n_pieces, n_byte_pieces) of the whole text. Null and empty texts have no pieces.
-    All other columns stay, whatever their names."""
-    return _with(docs, model, text_col, to, {"ids": "array<int>"})
+    ``decoded``: the struct also has the text that decoding the ids gives, made by the same worker. All other columns stay, whatever
+    their names."""
+    return _with(docs, model, text_col, to, {"ids": "array<int>"} | ({"decoded": "string"} if decoded else {}))
 
 
 def digests(docs: DataFrame, model: Pieces, *, text_col: str = "text", to: str = "pieces") -> DataFrame:
@@ -335,7 +339,7 @@ def _with(docs: DataFrame, model: Pieces, text_col: str, to: str, own: dict[str,
     names = ["row", *own, "n_pieces", "n_byte_pieces"]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     types = rows.limit(0).select("row", *[F.lit(None).cast(t).alias(k) for k, t in (own | {"n_pieces": "bigint", "n_byte_pieces": "bigint"}).items()]).schema
-    out = rows.mapInArrow(_encode(shared, names, "ids" in own), types)
+    out = rows.mapInArrow(_encode(shared, names, list(own)), types)
     return out.select("row.*", F.struct(*names[1:]).alias(to))
 
 
