@@ -410,7 +410,7 @@ def page_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = new_folder(spark, "menus")
     stream = spark.readStream.schema(records.schema).parquet(path)
     intake.start_intake(stream, out, f"{out}-checkpoint", buckets=8).awaitTermination()
-    return spark.read.schema(intake.ITEMS).parquet(f"{out}/items").select("menu_id", "item_id", "item_pos", "name", "price_kind", "needs_review")
+    return intake.working(spark, out, "items").select("menu_id", "item_id", "item_pos", "name", "price_kind", "needs_review")
 
 
 _REASONS = """array_to_string([x FOR x IN [CASE WHEN price_kind = 'market' THEN 'Market price — ask the restaurant' WHEN price_kind = 'byWeight' THEN 'מתומחר לפי משקל' WHEN p_size < 32 THEN 'זיהוי טקסט לא ודאי' END,

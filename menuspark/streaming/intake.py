@@ -1,12 +1,18 @@
 """Incremental page intake: new pages are parsed, joined to their menus, and the menus' duplicates are looked for again.
 
-The working menus are Parquet tables partitioned by a hash of the menu. A batch reads and overwrites only the partitions of the menus it
-touches. Pages of one menu that come in one batch are merged together. Ids are hashes of menu, page and line, so a batch that is
+The working menus are an append-only log of Parquet tables, partitioned by version and by a hash of the menu. A batch reads the latest
+rows of the menus it touches and writes those menus alone, as a new version; nothing is overwritten. A menu's version counts once
+the table ``menus`` has it, which is written last, so a batch that fails on the way leaves every menu as it was. ``working`` reads the
+tables as they stand and ``compact`` drops what newer versions have replaced. There may be one writer at a time.
+
+Pages of one menu that come in one batch are merged together. Ids are hashes of menu, page and line, so a batch that is
 repeated after a failure makes the same items and replaces them.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -19,51 +25,82 @@ from ..sources.staging import staged
 ITEMS = "menu_id string, item_id string, item_pos bigint, name string, description string, category_id string, variants array<struct<id:string,label:string,price_agorot:bigint,needs_review:boolean>>, price_kind string, confidence double, needs_review boolean, review_reasons array<string>, source_image_ids array<string>, origin string"
 CATEGORIES = "menu_id string, category_id string, name string, order bigint"
 PAIRS = "menu_id string, pos_a bigint, pos_b bigint, target_id string, source_id string, score double, auto boolean, reason string"
+#: ``menus`` comes last: its row makes the others of the same version count.
+TABLES = {"items": ITEMS, "categories": CATEGORIES, "suggestions": PAIRS, "menus": "menu_id string, confirmed boolean"}
 BUCKETS = 64
 NO_HINTS = "menu_id string, page_id string, hint_no int, values array<bigint>, bbox struct<x0:double,y0:double,x1:double,y1:double>"
 
 
-def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def _read(spark: SparkSession, path: str, name: str) -> DataFrame:
+    schema = f"{TABLES[name]}, version string, bucket int"
     try:
-        return spark.read.schema(f"{schema}, bucket int").parquet(path)
+        return spark.read.schema(schema).parquet(f"{path}/{name}")
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], f"{schema}, bucket int")
+        return spark.createDataFrame([], schema)
+
+
+def _latest(menus: DataFrame) -> DataFrame:
+    return menus.groupBy("menu_id").agg(F.max("version").alias("version"))
+
+
+def working(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """One of the TABLES under ``path`` as it stands: each menu's rows of its latest version. An empty store gives an empty table."""
+    latest = _latest(_read(spark, path, "menus"))
+    return _read(spark, path, name).join(latest, ["menu_id", "version"], "left_semi").drop("version", "bucket")
 
 
 def _bucket(buckets: int):
     return F.pmod(F.hash("menu_id"), F.lit(buckets))
 
 
+def _append(path: str, tables: dict[str, DataFrame], versions: list[str], buckets: int) -> str:
+    """Write the tables as a version that sorts after ``versions``; an attempt that fails leaves one that nothing points to."""
+    number = max((int(v.partition("-")[0]) for v in versions), default=0) + 1
+    version = f"{number:012d}-{uuid.uuid4().hex}"
+    for name in TABLES:
+        tables[name].withColumn("bucket", _bucket(buckets)).repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/{name}/version={version}")
+    return version
+
+
 def take_in(pages: DataFrame, path: str, *, buckets: int = BUCKETS) -> None:
     """One batch of page records into the working menus under ``path``: items, categories, menus (not confirmed any more) and
-    suggestions."""
+    suggestions. Pages without a menu_id are left out; a batch without pages writes nothing."""
     spark = pages.sparkSession
-    own = staged(pages, "intake")
+    own = staged(pages.filter("menu_id is not null"), "intake")
     touched = own.select("menu_id").distinct()
     hit = [r[0] for r in touched.select(_bucket(buckets).alias("b")).distinct().collect()]  # at most the number of buckets
     if not hit:
         return
     parsed = parse_pages(flatten_blocks(own), spark.createDataFrame([], NO_HINTS), own)
-    old = {name: _read(spark, f"{path}/{name}", schema).filter(F.col("bucket").isin(hit)).drop("bucket") for name, schema in (("items", ITEMS), ("categories", CATEGORIES), ("suggestions", PAIRS), ("menus", "menu_id string, confirmed boolean"))}
-    mine = lambda df: df.join(touched, "menu_id", "left_semi")
-    rest = lambda df: df.join(touched, "menu_id", "left_anti")
+    latest = staged(_latest(_read(spark, path, "menus").filter(F.col("bucket").isin(hit)).join(touched, "menu_id", "left_semi")), "latest")
+    versions = [r[0] for r in latest.select("version").distinct().collect()]  # at most the batches since the last compaction
+    old = {name: _read(spark, path, name).filter(F.col("bucket").isin(hit) & F.col("version").isin(versions)).join(latest, ["menu_id", "version"], "left_semi").drop("version", "bucket") for name in ("items", "categories")}
     names = parsed.categories.select("menu_id", "name", F.col("order").alias("seq"))
-    categories = staged(menu.ensure_categories(mine(old["categories"]), names), "categories")
+    categories = staged(menu.ensure_categories(old["categories"], names), "categories")
     new = parsed.items.join(parsed.categories.select("menu_id", "category_id", F.col("name").alias("category_name")), ["menu_id", "category_id"], "left")
     new = menu.attach_categories(new, categories)
-    kept = mine(old["items"]).join(new.select("menu_id", "item_id"), ["menu_id", "item_id"], "left_anti")
+    kept = old["items"].join(new.select("menu_id", "item_id"), ["menu_id", "item_id"], "left_anti")
     last = kept.groupBy("menu_id").agg(F.max("item_pos").alias("last"))
     new = new.join(last, "menu_id", "left").withColumn("item_pos", F.coalesce("last", F.lit(-1)) + F.row_number().over(Window.partitionBy("menu_id").orderBy("item_pos")))
     items, suggestions = dedupe.apply_auto_merges(staged(kept.unionByName(new.select(*kept.columns)), "menu-items"))
-    tables = {
-        "items": rest(old["items"]).unionByName(items), "categories": rest(old["categories"]).unionByName(categories),
-        "suggestions": rest(old["suggestions"]).unionByName(suggestions), "menus": rest(old["menus"]).unionByName(touched.withColumn("confirmed", F.lit(False))),
-    }
-    for name, table in tables.items():  # staged first: it reads what it overwrites
-        out = staged(table.withColumn("bucket", _bucket(buckets)), name)
-        out.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{path}/{name}")
+    _append(path, {"items": items, "categories": categories, "suggestions": suggestions, "menus": touched.withColumn("confirmed", F.lit(False))}, versions, buckets)
+
+
+def compact(spark: SparkSession, path: str, *, buckets: int = BUCKETS) -> int:
+    """Write all menus' latest rows as one version and delete the versions before it, failed attempts included. Returns how many
+    versions were in use. Run it between batches: whoever reads the old versions meanwhile loses them."""
+    versions = [r[0] for r in _read(spark, path, "menus").select("version").distinct().collect()]
+    if versions:
+        new = _append(path, {name: working(spark, path, name) for name in TABLES}, versions, buckets)
+        for name in reversed(TABLES):
+            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+            fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+            for found in fs.listStatus(folder):
+                if found.getPath().getName().startswith("version=") and found.getPath().getName() != f"version={new}":
+                    fs.delete(found.getPath(), True)
+    return len(versions)
 
 
 def start_intake(pages: DataFrame, path: str, checkpoint: str, *, buckets: int = BUCKETS, **trigger) -> StreamingQuery:

@@ -3,6 +3,8 @@ from __future__ import annotations
 import datetime as dt
 import random
 
+from pyspark.sql import functions as F
+
 from menuspark.operators import budget, menu, quantities
 from menuspark.plans import views
 from menuspark.sources import pages as P
@@ -65,11 +67,25 @@ def test_intake(spark, tmp_path):
     again = spark.createDataFrame([record("m", "b", 1, HEBREW)], P.PAGES)
     path = str(tmp_path / "menus")
     intake.take_in(first, path, buckets=4)
-    items = lambda: spark.read.schema(intake.ITEMS).parquet(f"{path}/items")
+    items = lambda: intake.working(spark, path, "items")
     assert items().filter("menu_id = 'm'").count() == 10 and items().filter("menu_id = 'n'").count() == 2
+
+    def written():
+        return sorted(str(x) for x in (tmp_path / "menus").rglob("*.parquet"))
+
+    before = written()
     for _ in range(2):  # a batch that is repeated changes nothing
         intake.take_in(again, path, buckets=4)
         mine = items().filter("menu_id = 'm'").collect()
         assert len(mine) == 10 and sorted({tuple(r["source_image_ids"]) for r in mine}) == [("a", "b")]
-        assert spark.read.parquet(f"{path}/categories").filter("menu_id = 'm'").count() == 3
-    assert items().filter("menu_id = 'n'").count() == 2 and not spark.read.parquet(f"{path}/menus").filter("confirmed").count()
+        assert intake.working(spark, path, "categories").filter("menu_id = 'm'").count() == 3
+    assert set(before) < set(written())  # nothing was overwritten
+    assert items().filter("menu_id = 'n'").count() == 2 and not intake.working(spark, path, "menus").filter("confirmed").count()
+    all_rows = lambda: {name: sorted(map(str, intake.working(spark, path, name).collect())) for name in intake.TABLES}
+    now = all_rows()
+    # A batch that failed before the menus were written: its rows don't count.
+    items().withColumn("bucket", F.lit(0)).write.partitionBy("bucket").parquet(f"{path}/items/version=000000000009-failed")
+    assert all_rows() == now
+    assert intake.compact(spark, path, buckets=4) == 3 and all_rows() == now
+    assert {x.parent.parent.name for x in (tmp_path / "menus").rglob("*.parquet")} == {next((tmp_path / "menus" / "menus").glob("version=*")).name}
+    assert intake.compact(spark, str(tmp_path / "none")) == 0 and not intake.working(spark, str(tmp_path / "none"), "items").count()
