@@ -27,13 +27,13 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.R
             yield batch.slice(start, rows)
 
 
-def join_counted(left: DataFrame, right: DataFrame, key: str, total: int, share: int = 1000) -> DataFrame:
-    """``left`` joined with ``right`` on ``key``, where ``right`` has one row a key and in ``n`` how many of the ``total``
+def join_counted(left: DataFrame, right: DataFrame, key: str, total: int, share: int = 1000, by: str = "n") -> DataFrame:
+    """``left`` joined with ``right`` on ``key``, where ``right`` has one row a key and in the column ``by`` how many of the ``total``
     rows of ``left`` have it. Keys with over 1/share of the rows are fewer than ``share``: those alone are broadcast, so no
-    task gets a hot key; the others are joined by shuffle. ``n`` doesn't come out."""
+    task gets a hot key; the others are joined by shuffle. ``by`` doesn't come out."""
     floor = total // share
-    hot = F.broadcast(right.filter(F.col("n") > floor).drop("n"))
-    return left.join(hot, key).unionByName(left.join(hot, key, "left_anti").join(right.filter(F.col("n") <= floor).drop("n"), key))
+    hot = F.broadcast(right.filter(F.col(by) > floor).drop(by))
+    return left.join(hot, key).unionByName(left.join(hot, key, "left_anti").join(right.filter(F.col(by) <= floor).drop(by), key))
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:

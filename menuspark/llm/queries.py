@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, line_dedup, media, pii, quality, sentencepieces, simhash, token_count, toxicity, warc
+from . import chat, decontaminate, line_dedup, media, pii, quality, sentencepieces, simhash, spelling, token_count, toxicity, warc, whitening
 from .common import crc_fold, parts, staged
 
 
@@ -171,3 +171,54 @@ FROM escaped GROUP BY conv_id
 """
 QUERIES["op11_chat"] = op11_chat
 ORACLES["op11_chat"] = OP11_SQL
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_components(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")).withColumnRenamed("id", "vec_id")
+
+
+QUERIES["op12_whitening"] = op12_whitening
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(spelling.count_words(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+# The checksum's table is made by its rule; near words meet by the words that one deletion leaves.
+OP13_SQL = """
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t
+), runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]{6,}')) AS run FROM documents
+), counted AS (
+  SELECT doc_id, run, count(*) AS n FROM runs GROUP BY doc_id, run
+), bytes AS (
+  SELECT run, n, list_concat([4294967295], flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''),
+           lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [(192 + (unicode(x) >> 6))::BIGINT, (128 + (unicode(x) & 63))::BIGINT] END))) AS b
+  FROM counted
+), hashed AS (
+  SELECT run, n, xor(4294967295, list_reduce(b, lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)]))) AS h FROM bytes, crc
+), results AS (
+  SELECT CASE WHEN h % 199 = 0 THEN left(run, (h % length(run))::INTEGER) || substr(run, 2 + (h % length(run))::INTEGER) ELSE run END AS word, n FROM hashed
+), words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM results WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+), cut AS (
+  SELECT word, n, i, left(word, i::INTEGER) || substr(word, i::INTEGER + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)
+), near AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word != b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word
+), best AS (
+  SELECT word, count(*) AS n_near, arg_min(near, (-near_n, near)) AS near, max(near_n) AS near_n FROM near GROUP BY word
+), known AS (
+  SELECT w.word, CASE WHEN near_n >= 5 * n THEN near END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * n THEN near_n END AS form_n FROM words w LEFT JOIN best USING (word)
+), path AS (
+  SELECT word, word AS root FROM known
+  UNION ALL SELECT p.word, k.form FROM path p JOIN known k ON k.word = p.root WHERE k.form IS NOT NULL
+), roots AS (
+  SELECT p.word, p.root FROM path p JOIN known k ON k.word = p.root WHERE k.form IS NULL
+)
+SELECT word, form, root, n, n_near, form_n FROM known JOIN roots USING (word)
+"""
+QUERIES["op13_spelling"] = op13_spelling
+ORACLES["op13_spelling"] = OP13_SQL
