@@ -9,6 +9,7 @@ from pyspark.sql import Column, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
+from .columns import bound
 from .lexicon import CATEGORY_WORDS, CONTINUATIONS, CURRENCY_WORDS, PRICELESS_PATTERNS, PROMO_PATTERNS, UNIT_WORDS, VARIANT_PATTERNS
 from .money import SPACE, no_bidi, trim
 
@@ -115,11 +116,22 @@ def normalize_name(name: Column, *, is_nfkc: bool = True) -> Column:
 
 
 def trigrams(normal: Column) -> Column:
-    """The character trigrams of a normalised name with two spaces at each side; the k-th of equal ones is marked ``#k``, so sets
-    of them intersect as multisets."""
-    padded = F.concat(F.lit("  "), normal, F.lit("  "))
-    grams = F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: padded.substr(i, F.lit(3)))
-    return F.transform(grams, lambda g, i: F.concat(g, F.lit("#"), F.size(F.filter(F.slice(grams, F.lit(1), i + 1), lambda x: x == g)).cast("string")))
+    """The character trigrams of a normalised name with two spaces at each side, in order; the k-th of equal ones is marked ``#k``, so
+    sets of them intersect as multisets. One split, one sort and one scan: equal ones are neighbours, and each run is numbered."""
+    letters = F.split(F.concat(F.lit("  "), normal, F.lit("  ")), "")
+
+    def grams(c: Column) -> Column:
+        return F.array_sort(F.transform(F.sequence(F.lit(0), F.size(c) - 3), lambda i: F.concat(F.get(c, i), F.get(c, i + 1), F.get(c, i + 2))))
+
+    def numbered(g: Column, starts: Column) -> Column:
+        stop = lambda k: F.coalesce(F.get(starts, k + 1), F.size(g))
+        return F.flatten(F.transform(starts, lambda at, k: F.transform(F.sequence(F.lit(1), stop(k) - at), lambda i: F.concat(F.get(g, at), F.lit("#"), i.cast("string")))))
+
+    def scanned(g: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(g) - 1), lambda i: (i == 0) | (F.get(g, i) != F.get(g, i - 1)))
+        return bound(starts, lambda s: numbered(g, s))
+
+    return bound(letters, lambda c: bound(grams(c), scanned))
 
 
 def dice(left: Column, right: Column, left_grams: Column, right_grams: Column) -> Column:

@@ -1,8 +1,8 @@
 """Duplicate dishes of a menu: similar pairs from different images, leaders, merges.
 
-Pairs: small menus are joined with themselves; in large ones only items meet that share a trigram of their prefixes. Dice >= t
-means an overlap of at least t / (2 - t) of either side's trigrams, so two such items share one among the first
-n - ceil(t / (2 - t) n) + 1 of each in any one order: no pair is lost.
+Pairs: small menus are joined with themselves; in large ones only distinct names meet that share a trigram of their prefixes. Dice >= t
+means an overlap of at least t / (2 - t) of either side's trigrams, so two such names share one among the first
+n - ceil(t / (2 - t) n) + 1 of each in any one order: no pair is lost. The order is from the menu's rarest trigram to its commonest.
 
 Leaders: an item belongs to the earliest leader it is similar to, and an item that belongs to one doesn't lead. Menus with few
 pairs are folded in order; others go by rounds, in which every item that has no earlier rival left is settled at once.
@@ -10,12 +10,11 @@ pairs are folded in order; others go by rounds, in which every item that has no
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import money, text as T
 from ..sources.staging import staged
+from .skew import join_spread
 
 SMALL_MENU, FOLD_PAIRS = 300, 5_000
 
@@ -42,31 +41,60 @@ def same_image(a: Column, b: Column) -> Column:
 
 
 def duplicate_pairs(items: DataFrame, *, threshold: float = T.SIMILARITY_THRESHOLD, small_menu: int = SMALL_MENU) -> DataFrame:
-    """(menu_id, pos_a, pos_b, target_id, source_id, score, auto, reason) of all similar pairs, a before b."""
-    own = with_normal_names(items.select("menu_id", "item_id", "item_pos", "name", "variants", "source_image_ids")).filter(money.trim(F.col("name")) != "")
-    own = own.select("menu_id", "item_id", F.col("item_pos").alias("pos"), "normal", "grams", price_set().alias("prices"), F.col("source_image_ids").alias("images"))
-    size = own.groupBy("menu_id").agg(F.count("*").alias("n"))
-    sized = own.join(size, "menu_id")
-    return _scored(_candidates(sized.filter(F.col("n") <= small_menu).drop("n"), None, threshold), threshold).unionByName(_scored(_candidates(sized.filter(F.col("n") > small_menu).drop("n"), threshold, threshold), threshold))
+    """(menu_id, pos_a, pos_b, target_id, source_id, score, auto, reason) of all similar pairs, a before b. Names and their trigrams are
+    made once and staged, as every side of every join reads them."""
+    own = with_normal_names(items.select("menu_id", "item_id", "item_pos", "name", "variants", "source_image_ids").filter(money.trim(F.col("name")) != ""))
+    own = staged(own.select("menu_id", "item_id", F.col("item_pos").alias("pos"), "normal", "grams", price_set().alias("prices"), F.col("source_image_ids").alias("images")), "names")
+    large = staged(own.groupBy("menu_id").agg(F.count("*").alias("n")).filter(F.col("n") > small_menu).select("menu_id"), "large-menus")
+    if large.isEmpty():
+        return _scored(_all_candidates(own, threshold), threshold)
+    small = _all_candidates(own.join(large, "menu_id", "left_anti"), threshold)
+    return _scored(small, threshold).unionByName(_scored(_prefix_candidates(own.join(large, "menu_id", "left_semi"), threshold), threshold))
 
 
 def _sides(own: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tuple(own.select("menu_id", *[F.col(c).alias(f"{c}_{s}") for c in own.columns if c != "menu_id"]) for s in "ab")
 
 
-def _candidates(own: DataFrame, prefix: float | None, threshold: float) -> DataFrame:
-    least = threshold / (2 - threshold)
-    near = F.least(F.size("grams_a"), F.size("grams_b")) >= F.greatest(F.size("grams_a"), F.size("grams_b")) * least - 1e-9
-    if prefix is None:
-        a, b = _sides(own)
-        return a.join(b, "menu_id").filter((F.col("pos_a") < F.col("pos_b")) & near)
-    n = F.size("grams")
-    first = F.slice(F.array_sort(F.transform("grams", lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g")))), F.lit(1), F.greatest(F.lit(1), (n - F.ceil(n * least - 1e-9) + 1).cast("int")))
-    tokens = own.select("menu_id", "pos", n.alias("n"), F.explode(first).alias("t")).select("menu_id", "pos", "n", F.col("t.g").alias("g"))
-    a, b = (tokens.select("menu_id", "g", F.col("pos").alias(f"pos_{s}"), F.col("n").alias(f"n_{s}")) for s in "ab")
-    pairs = a.join(b, ["menu_id", "g"]).filter((F.col("pos_a") < F.col("pos_b")) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * least - 1e-9)).select("menu_id", "pos_a", "pos_b").distinct()
+def _near_sizes(a: Column, b: Column, threshold: float) -> Column:
+    """Whether names of so many trigrams can be similar at all."""
+    return F.least(a, b) >= F.greatest(a, b) * _share(threshold) - 1e-9
+
+
+def _share(threshold: float) -> float:
+    """The share of either side's trigrams that similar names have in common at least."""
+    return threshold / (2 - threshold)
+
+
+def _all_candidates(own: DataFrame, threshold: float) -> DataFrame:
+    a, b = _sides(own)
+    return a.join(b, "menu_id").filter((F.col("pos_a") < F.col("pos_b")) & _near_sizes(F.size("grams_a"), F.size("grams_b"), threshold))
+
+
+def prefixes(names: DataFrame, threshold: float) -> DataFrame:
+    """(menu_id, normal, n, g): each name's n - ceil(share n) + 1 rarest trigrams, by how many names of the menu have them; n counts all. A word that
+    thousands of dishes begin with is so common that its trigrams come last and stay out."""
+    every = staged(names.select("menu_id", "normal", F.size("grams").alias("n"), F.explode("grams").alias("g")), "grams")
+    counts = staged(every.groupBy("menu_id", "g").agg(F.count("*").alias("names")), "gram-counts")
+    ranked = join_spread(every, counts, ["menu_id", "g"]).withColumn("nth", F.row_number().over(Window.partitionBy("menu_id", "normal").orderBy("names", "g")))
+    return ranked.filter(F.col("nth") <= F.greatest(F.lit(1), F.col("n") - F.ceil(F.col("n") * _share(threshold) - 1e-9) + 1)).select("menu_id", "normal", "n", "g")
+
+
+def _prefix_candidates(own: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of a large menu's distinct names that share a prefix trigram, and equal names, as items."""
+    names = staged(own.groupBy("menu_id", "normal").agg(F.first("grams").alias("grams")), "distinct-names")
+    tokens = staged(prefixes(names, threshold), "prefixes")
+    a, b = (tokens.select("menu_id", "g", F.col("normal").alias(f"normal_{s}"), F.col("n").alias(f"n_{s}")) for s in "ab")
+    met = join_spread(a, b, ["menu_id", "g"]).filter((F.col("normal_a") < F.col("normal_b")) & _near_sizes(F.col("n_a"), F.col("n_b"), threshold))
+    met = met.select("menu_id", "normal_a", "normal_b").distinct()
+    sets = names.select("menu_id", "normal", "grams")
+    left, right = (sets.select("menu_id", F.col("normal").alias(f"normal_{s}"), F.col("grams").alias(f"grams_{s}")) for s in "ab")
+    similar = met.join(left, ["menu_id", "normal_a"]).join(right, ["menu_id", "normal_b"])
+    similar = similar.filter(T.dice(F.col("normal_a"), F.col("normal_b"), F.col("grams_a"), F.col("grams_b")) >= threshold).select("menu_id", F.col("normal_a").alias("x"), F.col("normal_b").alias("y"))
+    both = staged(similar.unionByName(similar.select("menu_id", F.col("y").alias("x"), F.col("x").alias("y"))).unionByName(names.select("menu_id", F.col("normal").alias("x"), F.col("normal").alias("y"))), "similar-names")
     left, right = _sides(own)
-    return pairs.join(left, ["menu_id", "pos_a"]).join(right, ["menu_id", "pos_b"])
+    firsts = join_spread(left, both.select("menu_id", F.col("x").alias("normal_a"), F.col("y").alias("normal_b")), ["menu_id", "normal_a"])
+    return join_spread(firsts, right, ["menu_id", "normal_b"]).filter("pos_a < pos_b")
 
 
 def _scored(pairs: DataFrame, threshold: float) -> DataFrame:
@@ -159,8 +187,3 @@ def apply_auto_merges(items: DataFrame, **more) -> tuple[DataFrame, DataFrame]:
     """Items with the automatic pairs merged, and the other pairs as suggestions."""
     found = find_duplicates(items, **more)
     return merge_items(items, found.filter("auto")), found.filter("not auto")
-
-
-def least_overlap(n: int, threshold: float = T.SIMILARITY_THRESHOLD) -> int:
-    """The trigrams that a name of n has in common with any similar one, at least."""
-    return math.ceil(threshold / (2 - threshold) * n - 1e-9)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import money, text as T
 from ..functions.lexicon import NO_CATEGORY, NO_NAME, REASONS, UNCATEGORIZED
+from .skew import join_spread
 
 VARIANT = "struct<id:string,label:string,price_agorot:bigint,needs_review:boolean>"
 PRICE_KINDS = ("fixed", "market", "byWeight", "unknown")
@@ -43,9 +44,10 @@ def variants_of(items: DataFrame) -> DataFrame:
 
 
 def resolve_selections(selections: DataFrame, items: DataFrame) -> DataFrame:
-    """Selections with item and variant; those that name a missing one go. An unusable price is null and counts 0."""
+    """Selections with item and variant; those that name a missing one go. An unusable price is null and counts 0. A popular dish's
+    selections are spread over tasks."""
     own = variants_of(items.select("menu_id", "item_id", "category_id", "price_kind", "variants")).select("menu_id", "item_id", "variant_id", "category_id", "price_kind", F.col("price_agorot").alias("p"))
-    out = selections.join(own, ["menu_id", "item_id", "variant_id"])
+    out = join_spread(selections, own, ["menu_id", "item_id", "variant_id"])
     price = F.when(has_usable_price(F.col("price_kind"), F.col("p")), F.col("p"))
     out = out.withColumn("price_agorot", price).drop("p", "price_kind")
     return out.withColumn("line_total_agorot", F.coalesce("price_agorot", F.lit(0)) * F.col("qty").cast("bigint"))

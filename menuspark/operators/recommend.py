@@ -10,7 +10,7 @@ sessions at once: the same nodes, without shuffling them. Pools in which the nod
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import money
+from ..sources.staging import staged
+from .skew import join_spread
 
 #: Nodes that the sessions searched together may have, by their pools' sizes alone.
 TOGETHER = 1_000_000
@@ -47,8 +49,9 @@ CANDIDATE = ["item_id", "variant_id", "name", "variant_label", "category_id", "c
 
 def pool(sessions: DataFrame, candidates: DataFrame, per_category: DataFrame, rules: RuleSet = RuleSet()) -> DataFrame:
     """The affordable candidates of each session (SESSION columns and menu_id), most expensive first (``idx``), with the units of the
-    category that are ordered already."""
-    out = sessions.filter("remaining_food_budget_agorot > 0").select("menu_id", *SESSION).join(candidates, "menu_id")
+    category that are ordered already. Popular menus' sessions are spread over tasks."""
+    own = sessions.filter("remaining_food_budget_agorot > 0").select("menu_id", *SESSION)
+    out = join_spread(staged(own, "pool-sessions"), staged(candidates, "candidates"), ["menu_id"])
     price = F.col("price_agorot")
     out = out.filter((price > 0) & (price >= rules.min_price_agorot) & (price <= F.col("remaining_food_budget_agorot")))
     out = out.join(per_category.select("session_id", "category_id", "units"), ["session_id", "category_id"], "left").withColumn("units", F.coalesce("units", F.lit(0)).cast("bigint"))
@@ -59,6 +62,32 @@ def pool(sessions: DataFrame, candidates: DataFrame, per_category: DataFrame, ru
     return out.withColumn("idx", F.row_number().over(order) - 1)
 
 
+def problems(sessions: DataFrame, per_category: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sessions with the same menu, money and ordered units are one problem: (one session of each, its smallest, with ``problem``;
+    (problem, session_id) of all)."""
+    own = sessions.filter("remaining_food_budget_agorot > 0").select("menu_id", *SESSION)
+    units = per_category.filter("units != 0").groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("category_id", "units"))).alias("ordered"))
+    rest = [c for c in own.columns if c != "session_id"]
+    key = F.sha2(F.to_json(F.struct(*rest, F.coalesce("ordered", F.array().cast(units.schema["ordered"].dataType)).alias("ordered"))), 256)
+    keyed = staged(own.join(units, "session_id", "left").select(key.alias("problem"), "session_id", *rest), "problem-sessions")
+    first = keyed.groupBy("problem").agg(F.min(F.struct("session_id", *rest)).alias("s")).select("problem", "s.*")
+    return staged(first, "problems"), keyed.select("problem", "session_id")
+
+
+def solve_once(sessions: DataFrame, candidates: DataFrame, per_category: DataFrame, solve: Callable[[DataFrame], DataFrame], rules: RuleSet = RuleSet()) -> DataFrame:
+    """What ``solve`` finds in the pools of ``sessions`` (by session_id), searching each distinct problem once and giving its rows to all its
+    sessions."""
+    first, members = problems(sessions, per_category)
+    found = solve(pool(first.drop("problem"), candidates, per_category, rules))
+    by_problem = staged(found.join(first.select("session_id", "problem"), "session_id").drop("session_id"), "solutions")
+    return join_spread(members, by_problem, ["problem"]).select(*found.columns)
+
+
+def recommend_sessions(sessions: DataFrame, candidates: DataFrame, per_category: DataFrame, rules: RuleSet = RuleSet(), *, joins: bool = False) -> DataFrame:
+    """``recommend`` for sessions (SESSION columns and menu_id), each distinct problem searched once."""
+    return solve_once(sessions, candidates, per_category, lambda pooled: recommend(pooled, rules, joins=joins), rules)
+
+
 def expand_combinations(pooled: DataFrame, rules: RuleSet = RuleSet()) -> DataFrame:
     """(session_id, path, spent, node): all nodes but the root, within the node budget (the root is node 1)."""
     c = F.col

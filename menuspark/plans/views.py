@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..operators.menu import VARIANT
+from ..sources.staging import staged
 
 MENU_ITEMS = 16
 #: The heading of each part type on a menu page.
@@ -70,13 +71,20 @@ def recommending(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     """Each order as a session on the menu of its smallest part, and its selections on that menu. One in fifty customers has a budget for
     many dishes, and a few orders one for whole menus."""
     c = F.col
-    lines = selections(spark, sf_dir)
-    menu = lines.groupBy("session_id").agg(F.min("menu_id").alias("menu_id"))
+    lines = staged(selections(spark, sf_dir), "lines")
+    menu = staged(lines.groupBy("session_id").agg(F.min("menu_id").alias("menu_id")), "session-menus")
     money = F.when(c("o_orderkey") % 5000 == 0, 3_000_000).when(c("o_custkey") % 50 == 0, 700_000).otherwise(200_000 + (c("o_custkey") % 50) * 4_000).cast("bigint")
     own = table(spark, sf_dir, "orders").join(menu, c("o_orderkey") == c("session_id")).select("session_id", "menu_id", F.lit(1).alias("diners"), money.alias("per_person_agorot"), tip_bp(c("o_orderpriority")).alias("tip_bp"))
     return own, lines.join(menu, ["session_id", "menu_id"]).withColumn("qty", F.lit(1))
 
 
+def banquets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order as a session without selections that has money for the whole menu of its smallest part: all sessions of a menu are alike."""
+    money = F.lit(30_000_000).cast("bigint")
+    menu = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("session_id")).agg(F.min(_menu("l_partkey")).alias("menu_id"))
+    return menu.select("session_id", "menu_id", money.alias("remaining_food_budget_agorot"), F.lit(0).cast("bigint").alias("food_subtotal_agorot"), money.alias("total_budget_agorot"), F.lit(0).alias("tip_bp"))
+
+
 def qty_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_qty_events(table(spark, sf_dir, "events"))
 

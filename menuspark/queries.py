@@ -523,13 +523,14 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Recommendations.
 
 
-def _pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _recommending(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sessions with their summaries, candidates, and units by category."""
     own, chosen = V.recommending(spark, sf_dir)
     items = V.items(spark, sf_dir)
-    resolved = menu.resolve_selections(chosen, items)
+    resolved = staged(menu.resolve_selections(chosen, items), "resolved")
     summary = budget.compute_budget(own, resolved).join(own.select("session_id", "menu_id", "tip_bp"), "session_id")
-    dishes = menu.select_candidates(items, V.categories(spark, sf_dir))
-    return R.pool(summary, dishes, menu.selected_per_category(resolved))
+    dishes = staged(menu.select_candidates(items, V.categories(spark, sf_dir)), "dishes")
+    return summary, dishes, menu.selected_per_category(resolved)
 
 
 _POOL = _with("items", "variants", "categories", "selections") + """, mine AS (SELECT session_id, min(menu_id) AS menu_id FROM selections GROUP BY session_id),
@@ -546,7 +547,7 @@ _POOL = _with("items", "variants", "categories", "selections") + """, mine AS (S
       WHERE v.price_kind = 'fixed' AND v.price_agorot >= 100 AND v.price_agorot <= l.budget)"""
 
 
-def _paths(dishes: int) -> str:
+def _paths(dishes: int, *, number: bool = True) -> str:
     """All combinations of at most so many dishes, a join a dish: step = idx * 2 + qty - 1, category and quantity of each, -1 after the last."""
     columns = lambda k: "".join(f", s{i}, c{i}, q{i}" for i in range(1, k + 1))
     rest = lambda k: "".join(f", -1 AS s{i}, NULL AS c{i}, 0 AS q{i}" for i in range(k + 1, dishes + 1))
@@ -558,56 +559,74 @@ def _paths(dishes: int) -> str:
         parts.append(f"level{k} AS (SELECT a.session_id, a.spent + b.spent AS spent, b.idx AS last{own}, b.idx * 2 + b.q - 1 AS s{k}, b.category_id AS c{k}, b.q AS q{k} FROM level{k - 1} a JOIN one b ON a.session_id = b.session_id AND b.idx > a.last WHERE a.spent + b.spent <= b.budget AND b.units + b.q + {used} <= 3)")
     every = " UNION ALL ".join(f"SELECT session_id, spent, {k} AS depth{columns(k)}{rest(k)} FROM level{k}" for k in range(1, dishes + 1))
     order = ", ".join(f"s{i}" for i in range(1, dishes + 1))
-    return f", {', '.join(parts)}, paths AS ({every}), nodes AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY {order}) + 1 AS node FROM paths)"
+    numbered = f", nodes AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY {order}) + 1 AS node FROM paths)" if number else ""
+    return f", {', '.join(parts)}, paths AS {'' if number else 'MATERIALIZED '}({every}){numbered}"
 
 
-def _ranked(dishes: int, budget: int) -> str:
-    """The five best of the first ``budget`` nodes of each session. A category's name is its own, so names count as categories do."""
+def _ranked(dishes: int, budget: int, pool: str) -> str:
+    """The five best of the first ``budget`` nodes of each session. A category's name is its own, so names count as categories do. Paths are
+    numbered only where a session has more, and ranked only from its fifth-best score on."""
     listed, order = ", ".join(f"c{i}" for i in range(1, dishes + 1)), ", ".join(f"s{i}" for i in range(1, dishes + 1))
     qty = " + ".join(f"q{i}" for i in range(1, dishes + 1))
-    return _POOL + _paths(dishes) + f""", scored AS (SELECT n.*, l.food, l.total, l.tip, l.budget, CAST(spent AS DOUBLE) / l.budget + CAST(len(list_distinct([x FOR x IN [{listed}] IF x IS NOT NULL])) AS DOUBLE) * CAST(0.04 AS DOUBLE) - CAST({qty} - depth AS DOUBLE) * CAST(0.05 AS DOUBLE) AS score,
-      len(list_distinct([x FOR x IN [{listed}] IF x IS NOT NULL])) AS n_categories, {qty} AS n_units
-      FROM nodes n JOIN left_over l USING (session_id) WHERE node <= {budget} AND (l.food + spent) * (10000 + l.tip) <= l.total * 10000),
-    ranked AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, depth, {order}) AS rank FROM scored QUALIFY rank <= 5)"""
+    return pool + _paths(dishes, number=False) + f""", deep AS (SELECT session_id FROM paths GROUP BY session_id HAVING count(*) >= {budget}),
+    within AS (SELECT * FROM paths ANTI JOIN deep USING (session_id) UNION ALL SELECT * FROM paths SEMI JOIN deep USING (session_id) QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY {order}) < {budget}),
+    scored AS MATERIALIZED (SELECT n.*, l.food, l.total, l.tip, l.budget, len(list_distinct([x FOR x IN [{listed}] IF x IS NOT NULL])) AS n_categories, {qty} AS n_units,
+      CAST(spent AS DOUBLE) / l.budget + CAST(len(list_distinct([x FOR x IN [{listed}] IF x IS NOT NULL])) AS DOUBLE) * CAST(0.04 AS DOUBLE) - CAST({qty} - depth AS DOUBLE) * CAST(0.05 AS DOUBLE) AS score
+      FROM within n JOIN left_over l USING (session_id) WHERE (l.food + spent) * (10000 + l.tip) <= l.total * 10000),
+    least AS (SELECT session_id, list_min(max(score, 5)) AS least FROM scored GROUP BY session_id),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, depth, {order}) AS rank FROM scored JOIN least USING (session_id) WHERE score >= least QUALIFY rank <= 5)"""
 
 
 _P8 = _POOL + " SELECT session_id, variant_id, idx, units, CAST(budget AS BIGINT) AS budget FROM pool"
 
 
-@query("p8_t1_pool_all", _P8)
 @query("p8_t1_pool", _P8)
 def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pool(spark, sf_dir).select("session_id", "variant_id", "idx", "units", F.col("remaining_food_budget_agorot").alias("budget"))
+    return R.pool(*_recommending(spark, sf_dir)).select("session_id", "variant_id", "idx", "units", F.col("remaining_food_budget_agorot").alias("budget"))
 
 
-_Z4 = _ranked(4, 120_000) + """, steps AS (SELECT session_id, rank, unnest([1, 2, 3, 4]) AS nth, unnest([s1, s2, s3, s4]) AS step FROM ranked),
+_TEXTS = """, steps AS (SELECT session_id, rank, unnest([1, 2, 3, 4]) AS nth, unnest([s1, s2, s3, s4]) AS step FROM ranked),
     texts AS (SELECT s.session_id, s.rank, string_agg(p.name || CASE WHEN p.label IS NOT NULL THEN ' (' || p.label || ')' ELSE '' END || CASE WHEN step % 2 = 1 THEN ' ×2' ELSE '' END, ' + ' ORDER BY nth) AS description
       FROM steps s JOIN pool p ON p.session_id = s.session_id AND p.idx = s.step // 2 WHERE step >= 0 GROUP BY 1, 2),
-    money AS (SELECT *, greatest(0.0, total - (food + spent) * (CAST(1.0 AS DOUBLE) + tip / CAST(10000.0 AS DOUBLE))) AS leftover FROM ranked)
-    SELECT m.session_id, CAST(m.rank AS INTEGER) AS rank, CAST(spent AS BIGINT) AS added_subtotal_agorot, score, description,
+    money AS (SELECT *, greatest(0.0, total - (food + spent) * (CAST(1.0 AS DOUBLE) + tip / CAST(10000.0 AS DOUBLE))) AS leftover FROM ranked)"""
+_SHOWN = """SELECT m.session_id, CAST(m.rank AS INTEGER) AS rank, CAST(spent AS BIGINT) AS added_subtotal_agorot, score, description,
       array_to_string([x FOR x IN ['נשאר ₪' || format('{:,}', CAST(round(leftover) AS BIGINT) // 100) || '.' || lpad(CAST(CAST(round(leftover) AS BIGINT) % 100 AS VARCHAR), 2, '0') || ' מהתקציב הכולל, כולל טיפ',
         CASE WHEN budget - spent <= 500 THEN 'מנצל כמעט את כל התקציב שנותר לאוכל' END, CASE WHEN n_categories > 1 THEN 'משלב ' || n_categories || ' קטגוריות שונות' END, CASE WHEN depth = 1 AND n_units = 1 THEN 'תוספת בודדת ופשוטה להזמנה' END] IF x IS NOT NULL], '|') AS reasons
     FROM money m JOIN texts t ON t.session_id = m.session_id AND t.rank = m.rank"""
 
 
-@query("z4_recommend_all", _Z4)
-@query("z4_recommend", _Z4)
+@query("z4_recommend", _ranked(4, 120_000, _POOL) + _TEXTS + _SHOWN)
 def recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By the full rules, with the texts that are shown."""
-    return R.recommend(_pool(spark, sf_dir)).select("session_id", "rank", "added_subtotal_agorot", "score", "description", F.array_join("reasons", "|").alias("reasons"))
+    return R.recommend_sessions(*_recommending(spark, sf_dir)).select("session_id", "rank", "added_subtotal_agorot", "score", "description", F.array_join("reasons", "|").alias("reasons"))
 
 
-@query("t3_node_budget", _ranked(3, 200) + " SELECT session_id, CAST(rank AS INTEGER) AS rank, CAST(spent AS BIGINT) AS added_subtotal_agorot, score FROM ranked")
+# Sessions with money for whole menus: those of a menu are one problem, and the full node budget binds on the largest menus.
+_BANQUETS = _with("items", "variants", "categories") + """, members AS (SELECT l_orderkey AS session, min(l_partkey // 16) AS menu_id FROM lineitem GROUP BY l_orderkey),
+    left_over AS (SELECT menu_id AS session_id, CAST(30000000 AS BIGINT) AS budget, CAST(0 AS BIGINT) AS food, CAST(30000000 AS BIGINT) AS total, 0 AS tip FROM members GROUP BY menu_id),
+    pool AS (SELECT l.session_id, l.budget, l.food, l.total, l.tip, v.variant_id, v.name, v.label, v.category_id, coalesce(c.name, 'ללא קטגוריה') AS category_name, v.price_agorot AS price, 0 AS units,
+      row_number() OVER (PARTITION BY l.session_id ORDER BY v.price_agorot DESC, v.item_pos, v.variant_pos) - 1 AS idx
+      FROM left_over l JOIN variants v ON v.menu_id = l.session_id LEFT JOIN categories c ON c.menu_id = v.menu_id AND c.category_id = v.category_id WHERE v.price_kind = 'fixed' AND v.price_agorot >= 100)"""
+
+
+@query("z4_banquets", _ranked(4, 120_000, _BANQUETS) + _TEXTS + f""" SELECT b.session AS session_id, r.* EXCLUDE (session_id) FROM ({_SHOWN}) r JOIN members b ON b.menu_id = r.session_id""")
+def banquets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thousands of sessions, one search a menu, and searches that end after 120,000 nodes."""
+    _, dishes, _ = _recommending(spark, sf_dir)
+    none = spark.createDataFrame([], "session_id long, category_id string, units long")
+    return R.recommend_sessions(V.banquets(spark, sf_dir), dishes, none).select("session_id", "rank", "added_subtotal_agorot", "score", "description", F.array_join("reasons", "|").alias("reasons"))
+
+
+@query("t3_node_budget", _ranked(3, 200, _POOL) + " SELECT session_id, CAST(rank AS INTEGER) AS rank, CAST(spent AS BIGINT) AS added_subtotal_agorot, score FROM ranked")
 def node_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A search of three dishes that ends after 200 nodes, which binds for many of them."""
-    return R.recommend(_pool(spark, sf_dir), R.RuleSet(max_distinct_items=3, node_budget=200)).select("session_id", "rank", "added_subtotal_agorot", "score")
+    """A search by joins of three dishes that ends after 200 nodes, which binds for many of them."""
+    return R.recommend_sessions(*_recommending(spark, sf_dir), R.RuleSet(max_distinct_items=3, node_budget=200), joins=True).select("session_id", "rank", "added_subtotal_agorot", "score")
 
 
 _J7 = _POOL + _paths(4) + " SELECT session_id, count(*) AS nodes, CAST(max(spent) AS BIGINT) AS most FROM nodes WHERE node <= 120000 GROUP BY session_id"
 
 
-@query("j7_combinations_all", _J7)
 @query("j7_combinations", _J7)
 def combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All combinations by the full rules."""
-    return R.expand_combinations(_pool(spark, sf_dir)).groupBy("session_id").agg(F.count("*").alias("nodes"), F.max("spent").alias("most"))
+    return R.solve_once(*_recommending(spark, sf_dir), lambda pooled: R.expand_combinations(pooled).groupBy("session_id").agg(F.count("*").alias("nodes"), F.max("spent").alias("most")))

@@ -3,7 +3,9 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from menuspark.functions import text as T
 from menuspark.operators import dedupe
 from tests.fixtures import ITEMS, item
 from tests.test_functions import plain_dice
@@ -70,3 +72,21 @@ def test_leaders_equal_the_sequential_rule(spark, small_menu, fold_pairs):
     pairs = dedupe.duplicate_pairs(frame(spark, *rows), small_menu=small_menu)
     got = sorted((r["target_id"], r["source_id"]) for r in dedupe.leaders(pairs, fold_pairs=fold_pairs).collect())
     assert got == sorted(want) and len(got) > 20
+
+
+def test_prefixes_are_of_the_rarest_trigrams(spark):
+    """Of 30,000 dishes that all begin with the same words none has a trigram of these in its prefix. Names end in one of 16 letters, so the
+    rarest trigrams that any has are in a sixteenth of the names."""
+    names = spark.range(30_000).select(F.lit("m").alias("menu_id"), F.concat(F.lit("grilled chicken "), F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 12)).alias("normal"))
+    found = dedupe.prefixes(names.withColumn("grams", T.trigrams(F.col("normal"))), 0.74)
+    most = found.groupBy("g").count().agg(F.max("count")).first()[0]
+    assert found.select("normal").distinct().count() == 30_000 and most < 1.1 * 30_000 / 16
+    assert found.filter(F.lit("  grilled chicken ").contains(F.substring("g", 1, 3))).isEmpty()
+
+
+def test_long_and_equal_names_in_a_large_menu(spark):
+    long = "green salad " * 420
+    rows = [item("a", 0, long, 100, "1"), item("b", 1, long + "x", 100, "2"), item("c", 2, "soup", 100, "1"), item("d", 3, "soup", 100, "2"), item("e", 4, "Soup!", 200, "3"), item("f", 5, "a", 100, "2")]
+    for small_menu in (300, 0):
+        found = dedupe.duplicate_pairs(frame(spark, *rows), small_menu=small_menu)
+        assert sorted((r["target_id"], r["source_id"]) for r in found.collect()) == [("a", "b"), ("c", "d"), ("c", "e"), ("d", "e")]

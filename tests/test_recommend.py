@@ -93,3 +93,20 @@ def test_rules_and_texts(spark):
     assert got[7][0]["reasons"] == ["נשאר ₪3.00 מהתקציב הכולל, כולל טיפ", "מנצל כמעט את כל התקציב שנותר לאוכל", "תוספת בודדת ופשוטה להזמנה"] and got[7][0]["description"] == "בירה"
     line = F.array(F.struct(F.lit("A").alias("name"), F.lit("L").alias("variant_label"), F.lit(2).alias("qty")), F.struct(F.lit("B").alias("name"), F.lit(None).cast("string").alias("variant_label"), F.lit(1).alias("qty")))
     assert spark.range(1).select(R.describe(line)).first()[0] == "A (L) ×2 + B"
+
+
+def test_equal_sessions_are_one_problem(spark):
+    """Ten thousand sessions on one menu with equal money are searched once; other money, tip or ordered units are problems of their own."""
+    alike = [(k, "m", 11_200, 1_200, 0) for k in range(10_000)]
+    others = [(20_000, "m", 11_300, 1_200, 0), (20_001, "m", 11_200, 0, 0), (20_002, "m", 11_200, 1_200, 0), (20_003, "m", 11_200, 1_200, 0), (20_004, "m", 100, 0, 500)]
+    units = [(20_002, "d", 3), (20_003, "d", 3), (5, "d", 0)]
+    rows = [(i, m, max(0, t * 10_000 // (10_000 + b) - s), s, t, b) for i, m, t, b, s in alike + others]
+    df = spark.createDataFrame(rows, "session_id long, menu_id string, remaining_food_budget_agorot long, food_subtotal_agorot long, total_budget_agorot long, tip_bp long")
+    dishes = spark.createDataFrame([("m", f"i{k}", k, f"v{k}", 0, n, None, c, cn, p) for k, (n, p, c, cn) in enumerate(MENU)], "menu_id string, item_id string, item_pos long, variant_id string, variant_pos int, name string, variant_label string, category_id string, category_name string, price_agorot long")
+    ordered = spark.createDataFrame(units, "session_id long, category_id string, units long")
+    first, members = R.problems(df, ordered)
+    assert sorted(r["session_id"] for r in first.collect()) == [0, 20_000, 20_001, 20_002] and members.count() == 10_004
+    got = results(R.recommend_sessions(df, dishes, ordered))
+    assert len(got) == 10_004 and all(got[k] == got[0] for k in (1, 5, 9_999)) and got[20_003] == got[20_002] != got[0]
+    for i, (t, b, u) in {0: (11_200, 1_200, {}), 20_000: (11_300, 1_200, {}), 20_001: (11_200, 0, {}), 20_003: (11_200, 1_200, {"d": 3})}.items():
+        assert got[i] == sequential(MENU, t * 10_000 // (10_000 + b), 0, t, b, u, R.RuleSet())
