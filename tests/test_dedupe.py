@@ -81,7 +81,7 @@ def test_prefixes_are_of_the_rarest_trigrams(spark):
     found = dedupe.prefixes(names.withColumn("grams", T.trigrams(F.col("normal"))), 0.74)
     most = found.groupBy("g").count().agg(F.max("count")).first()[0]
     assert found.select("normal").distinct().count() == 30_000 and most < 1.1 * 30_000 / 16
-    assert found.filter(F.lit("  grilled chicken ").contains(F.substring("g", 1, 3))).isEmpty()
+    assert found.filter(F.lit("  grilled chicken ").contains(F.substring("g", 1, 3)) & F.col("g").endswith("#1")).isEmpty()
 
 
 def test_long_and_equal_names_in_a_large_menu(spark):
