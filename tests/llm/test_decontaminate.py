@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import random
+import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -155,3 +157,43 @@ def test_windows_of_documents_equal_brute_force(spark, partitions):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(partitions)
     got = {(r["id"], r["item_id"]): (r["edits"], r["windows"]) for r in d.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert got == want and len({i for i, _ in want}) > 15 and len(want) < 40
+
+
+REPEATED = ["a" * 300, "0 " * 150, "a phrase of thirty bytes, say. " * 12, "ab" * 200 + "c" * 120]
+
+
+@pytest.mark.parametrize("most_hits", [500, 3_000])
+def test_repetition_equals_brute_force(monkeypatch, most_hits):
+    monkeypatch.setattr(d, "MOST_HITS", most_hits)
+    monkeypatch.setattr(d, "SEGMENT", 64)
+    monkeypatch.setattr(d, "UNIT", 40)
+    rng = random.Random(most_hits)
+    items = [(i, t) for i, t in enumerate([*(x[:125] for x in REPEATED), "a" * 60, prose(rng, 12)])]
+    index = d.build(items)
+    texts = [d.normal(x) for x in ("a" * 200, "0 " * 100, "b" + REPEATED[2][:160], "x" + "ab" * 60 + "c" * 40, edited(rng, "0 " * 60, 5), items[-1][1] + "a" * 90, "", "0 0 1 " * 30)]
+    got = {(n, j, s): e for n, j, s, e in d.find(index, texts)}
+    want = {}
+    for n, t in enumerate(texts):
+        for j, (_, text) in enumerate(items):
+            item = d.normal(text)
+            for s, m in d.windows(len(item)):
+                e = plain_edits(item[s : s + m], t)
+                if e <= d.budget(m):
+                    want[n, j, s] = e
+    assert got == want and want
+
+
+@pytest.mark.parametrize("kind", range(3))
+def test_a_megabyte_of_repetition(kind):
+    """A long text against a long item of the same kind: bounded time and memory, and every window is found."""
+    unit = REPEATED[kind]
+    index = d.build([(0, unit * 40), (1, "an ordinary item with zeros " + "0 " * 150 + "and a tail")])
+    text = d.normal(unit * (1_000_000 // len(unit)))
+    tracemalloc.start()
+    began = time.perf_counter()
+    got = d.find_units(index, [text, d.normal("an ordinary text")])
+    assert time.perf_counter() - began < 60 and tracemalloc.get_traced_memory()[1] < 500 << 20
+    tracemalloc.stop()
+    whole = d.normal(unit * 40)
+    held = {at + start for (n, u, start), e in got.items() for item, at in index.owners[u] if item == 0 and n == 0}
+    assert held == set(range(len(whole) - d.WINDOW + 1)) and not any(n for n, _, _ in got)
