@@ -7,7 +7,8 @@
 5. pieces: every text is encoded as SentencePiece ids, and the ids are decoded again to a text beside them.
 
 All but the last return the columns of documents. A stage works on all rows its predecessor kept. Rows with a null doc_id
-are never dropped as duplicates or leaks.
+are never dropped as duplicates or leaks. Null texts count as empty ones. Columns beside those of documents may have any name and
+come through the stages as they are, but the last, which has columns of its own.
 """
 
 from __future__ import annotations
@@ -20,17 +21,27 @@ from menuspark.llm import decontaminate, line_dedup, quality, sentencepieces, si
 from menuspark.llm.common import new_folder, staged
 
 
+def _fresh(name: str, docs: DataFrame) -> str:
+    """A column name that ``docs`` doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     net = quality.fit(docs, labels, label_col="quality")
-    return quality.score(docs, net, to="__score").filter(F.col("__score") >= quality.THRESHOLD).select(docs.columns)
+    score = _fresh("score", docs)
+    return quality.score(docs, net, to=score).filter(F.col(score) >= quality.THRESHOLD).select(docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(docs, min_docs=10, min_code_points=1)
+    own = {c: _fresh(c.lower(), docs) for c in docs.columns if c.lower() == "line_stats"}
+    out = line_dedup.dedup_lines(docs.withColumnsRenamed(own), min_docs=10, min_code_points=1)
     kept = F.col("line_stats.kept")
     new = {"text": kept, "n_chars": F.length(kept).cast("long")}
-    return out.select(*[new[c].alias(c) if c in new else out[c] for c in docs.columns])
+    return out.select(*[new[c].alias(c) if c in new else out[own.get(c, c)].alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
