@@ -1,7 +1,10 @@
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from menuspark.llm import decontaminate, line_dedup, quality, sentencepieces, simhash
+from menuspark.llm.common import staged
 from tests.llm.test_decontaminate import plain_windows
 from tests.llm.test_simhash import brute_components, plain_fingerprint
 
@@ -51,3 +54,24 @@ def test_pieces_are_decoded_in_the_stage(spark, sf_dir):
     out = corpus_pipeline.encode_pieces(spark, docs, sf_dir)
     want = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
     assert {r["doc_id"]: r["decoded"] for r in out.collect()} == want and out.count() == docs.count()
+
+
+def test_odd_rows_and_clashing_columns(spark, sf_dir):
+    """Null, empty, repeated and long rows and columns with the stages' own names go through all stages; an empty table gives an empty one."""
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    prose = " ".join(r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").filter("length(text) between 200 and 900").orderBy("doc_id").limit(3).collect())
+    odd = spark.createDataFrame([(-1, None, None, None, None), (-2, "", "en", "a", 0), (None, prose, "en", "a", 1), (-3, prose, "en", "a", 1), (-3, prose, "en", "a", 1), (-4, prose * 40, None, "a", 1)], kind)
+    extra = {"__score": F.lit("own"), "Line_Stats": F.lit(7), "pieces": F.lit(True), "__id": F.lit(1), "score": F.lit("s"), "id": F.lit(None).cast("string")}
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").unionByName(odd).withColumns(extra)
+    empty = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        out, none = staged(stage(spark, docs, sf_dir), "odd"), stage(spark, empty, sf_dir)
+        assert none.columns == out.columns and none.count() == 0
+        if name == "pieces":
+            break
+        assert out.columns == docs.columns
+        assert out.select(*extra).distinct().collect() == docs.select(*extra).distinct().collect()
+        rows = out.filter("doc_id = -3").count()
+        assert rows in (0, 2) and out.filter("doc_id is null").count() <= 1
+        docs, empty = out, out.limit(0)
+    assert {"doc_id", "ids", "decoded"} <= set(out.columns)
