@@ -5,12 +5,17 @@ means an overlap of at least t / (2 - t) of either side's trigrams, so two such
 n - ceil(t / (2 - t) n) + 1 of each in any one order: no pair is lost. The order is from the menu's rarest trigram to its commonest.
 
 Leaders: an item belongs to the earliest leader it is similar to, and an item that belongs to one doesn't lead. Menus with few
-pairs are folded in order; others go by rounds, in which every item that has no earlier rival left is settled at once.
+pairs are folded in order; others go by rounds, in which every item that has no earlier rival left is settled at once, and what rounds
+settle too slowly is folded as a sorted stream.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..functions import money, text as T
 from ..sources.staging import staged
@@ -133,26 +138,49 @@ def _fold(pairs: DataFrame) -> DataFrame:
 
 def _rounds(pairs: DataFrame) -> DataFrame:
     """The same without collecting a menu: in each round the items without an earlier undecided neighbour lead, and their
-    neighbours are consumed. Rounds are staged; few are needed, save for long chains of similar names. Each settles the first item
-    that is left of every menu at least, so they end."""
+    neighbours are consumed. Rounds are staged. They settle most at once but for long chains of similar names, which give one item a
+    round: once a round leaves over half of its pairs, the rest is folded as a stream."""
     left, gone = staged(pairs.select("menu_id", "pos_a", "pos_b"), "pairs"), None
-    while True:
-        ends = left.select("menu_id", F.col("pos_a").alias("pos")).union(left.select("menu_id", F.col("pos_b").alias("pos"))).distinct()
-        lead = ends.join(left.select("menu_id", F.col("pos_b").alias("pos")).distinct(), ["menu_id", "pos"], "left_anti")
+    before = left.count()
+    while before:
+        lead = left.select("menu_id", F.col("pos_a").alias("pos")).distinct().join(left.select("menu_id", F.col("pos_b").alias("pos")).distinct(), ["menu_id", "pos"], "left_anti")
         consumed = staged(left.join(lead.withColumnRenamed("pos", "pos_a"), ["menu_id", "pos_a"], "left_semi").select("menu_id", F.col("pos_b").alias("pos")).distinct(), "consumed")
-        gone = consumed if gone is None else gone.union(consumed)
         rest = left.join(lead.withColumnRenamed("pos", "pos_a"), ["menu_id", "pos_a"], "left_anti")
         for end in ("pos_a", "pos_b"):
             rest = rest.join(consumed.withColumnRenamed("pos", end), ["menu_id", end], "left_anti")
         left = staged(rest, "pairs")
-        if left.isEmpty():
-            break
+        after = left.count()
+        if 2 * after > before:
+            consumed, after = consumed.unionByName(staged(_streamed(left), "consumed")), 0
+        gone = consumed if gone is None else gone.unionByName(consumed)
+        before = after
     # Who was never consumed leads, also an item whose rivals all went before it was looked at.
-    settled = pairs.join(gone.withColumnRenamed("pos", "pos_a"), ["menu_id", "pos_a"], "left_anti")
+    settled = pairs if gone is None else pairs.join(gone.withColumnRenamed("pos", "pos_a"), ["menu_id", "pos_a"], "left_anti")
     first = settled.groupBy("menu_id", "pos_b").agg(F.min("pos_a").alias("pos_a"))
     return settled.join(first, ["menu_id", "pos_a", "pos_b"], "left_semi")
 
 
+def _streamed(pairs: DataFrame) -> DataFrame:
+    """(menu_id, pos) of the items that folding in order consumes. A menu's pairs come sorted by Spark, outside the heap; a task holds the
+    positions of the menu it is at that have been consumed, nothing else."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        menu, used = None, set()
+        for batch in batches:
+            keep = []
+            for k, (m, a, b) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)):
+                if m != menu:
+                    menu, used = m, set()
+                if a not in used and b not in used:
+                    used.add(b)
+                    keep.append(k)
+            taken = batch.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(2)], names=["menu_id", "pos"])
+
+    schema = StructType([pairs.schema["menu_id"], StructField("pos", pairs.schema["pos_b"].dataType)])
+    return pairs.select("menu_id", "pos_a", "pos_b").repartition("menu_id").sortWithinPartitions("menu_id", "pos_a", "pos_b").mapInArrow(run, schema)
+
+
 def find_duplicates(items: DataFrame, **more) -> DataFrame:
     return leaders(duplicate_pairs(items, **more))
 

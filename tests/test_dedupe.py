@@ -90,3 +90,21 @@ def test_long_and_equal_names_in_a_large_menu(spark):
     for small_menu in (300, 0):
         found = dedupe.duplicate_pairs(frame(spark, *rows), small_menu=small_menu)
         assert sorted((r["target_id"], r["source_id"]) for r in found.collect()) == [("a", "b"), ("c", "d"), ("c", "e"), ("d", "e")]
+
+
+def test_a_chain_of_names_takes_few_jobs(spark):
+    """2,000 names of which each is similar to the next alone: the sequential rule, in some 30 jobs (each shuffle is one) and not a round for every name."""
+    chain = [("m", k, k + 1, f"{k}", f"{k + 1}", False) for k in range(2_000)] + [("n", 2 * k, 2 * k + 1, "x", "y", True) for k in range(50)]
+    pairs = spark.createDataFrame(chain, "menu_id string, pos_a long, pos_b long, target_id string, source_id string, auto boolean")
+    spark.sparkContext.setJobGroup("chain", "")
+    try:
+        got = sorted((r["menu_id"], r["pos_a"], r["pos_b"]) for r in dedupe.leaders(pairs, fold_pairs=0).collect())
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    used, want = set(), []
+    for m, a, b, *_ in sorted(chain):
+        if (m, a) not in used and (m, b) not in used:
+            used.add((m, b))
+            want.append((m, a, b))
+    assert got == sorted(want) and jobs < 40, jobs

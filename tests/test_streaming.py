@@ -57,6 +57,32 @@ def test_live_totals_equal_the_batch(spark, sf_dir, tmp_path):
     assert got.keys() == {r["session_id"] for r in want.collect()}
 
 
+def test_settled_sessions_leave_the_state(spark, tmp_path):
+    """State carries a session over batches; its rows go once the watermark has passed its idle time."""
+    day = lambda k: T0 + dt.timedelta(days=k)
+    batches = [
+        [(1, 1, "a", "v", day(0), 1, "add", None), (1, 1, "b", "v", day(0), 2, "set", 4), (2, 1, "a", "v", day(0), 3, "set", 2)],
+        [(1, 1, "a", "v", day(1), 4, "add", None), (1, 1, "b", "v", day(1), 5, "delete", None)],
+        [(3, 1, "a", "v", day(20), 6, "add", None)],
+        [(3, 1, "a", "v", day(21), 7, "add", None)],
+        [(1, 1, "a", "v", day(22), 8, "add", None)],
+    ]
+    schema = "session_id long, menu_id long, item_id string, variant_id string, ts timestamp, event_id long, op string, qty int"
+    path, seen, states = tmp_path / "in", {}, []
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(path))
+        stream = spark.readStream.schema(schema).parquet(str(path))
+        items = spark.createDataFrame([], "menu_id long, item_id string, category_id string, price_kind string, variants array<struct<id:string,label:string,price_agorot:bigint,needs_review:boolean>>")
+        sessions = spark.createDataFrame([(i, 1, 10_000, 0) for i in (1, 2, 3)], "session_id long, diners int, per_person_agorot long, tip_bp int")
+        lines: dict = {}
+        query = totals.start_live_totals(stream, sessions, items, lambda df, n: lines.update({r["session_id"]: r for r in df.collect()}), str(tmp_path / "c"), watermark="1 day", idle="7 days")
+        query.awaitTermination()
+        seen[k] = set(lines)
+        states.append(query.recentProgress[-1].stateOperators[0].numRowsTotal)
+    assert seen == {0: {1, 2}, 1: {1}, 2: {3}, 3: {3}, 4: {1}}
+    assert states[0] >= states[1] > states[3] and states[3] < states[0]
+
+
 def record(menu_id, page_id, seq, rows):
     lines = [{"text": t, "confidence": c, "bbox": b, "words": [{"text": x, "confidence": y, "bbox": z} for x, y, z in w]} for _, _, _, t, c, b, w in page(rows)]
     return (menu_id, page_id, seq, 1000.0, 90.0, [{"paragraphs": [{"lines": lines}]}])
