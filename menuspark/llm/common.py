@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 from collections.abc import Iterable, Iterator
 
@@ -21,10 +24,19 @@ def as_bytes(column: pa.Array) -> list[bytes]:
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    """Batches of at most ``rows`` rows, so that what a step holds beside its input stays small."""
+    """Batches of at most ``rows`` rows, so that what a step holds beside its input stays small. A task that has read its last gives
+    the memory it has freed back to the system, as its worker may stay for other stages."""
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+    release_memory()
+
+
+def release_memory() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc alone has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def join_counted(left: DataFrame, right: DataFrame, key: str, total: int, share: int = 1000, by: str = "n") -> DataFrame:
