@@ -271,6 +271,16 @@ def quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.quantities(V.qty_events(spark, sf_dir)).select("session_id", "item_id", "qty")
 
 
+@query("w8_running_quantities", """WITH log AS (SELECT CAST(event_id % 20 AS VARCHAR) AS item_id, ts, event_id, event_type AS op, CAST(floor(value) AS BIGINT) % 10 AS qty FROM events WHERE event_type <> 'view'),
+    seg AS (SELECT *, sum(CASE WHEN op IN ('purchase', 'signup') THEN 1 ELSE 0 END) OVER (PARTITION BY item_id ORDER BY ts, event_id) AS g FROM log),
+    run AS (SELECT *, sum(CASE op WHEN 'click' THEN 1 WHEN 'error' THEN -1 WHEN 'purchase' THEN greatest(qty, 0) ELSE 0 END) OVER (PARTITION BY item_id, g ORDER BY ts, event_id) AS p FROM seg)
+    SELECT event_id, item_id, CAST(p - least(0, min(p) OVER (PARTITION BY item_id, g ORDER BY ts, event_id)) AS BIGINT) AS quantity FROM run""")
+def all_sessions_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sessions' events as one log a dish, with the quantity after each: every log is longer than a block."""
+    log = V.qty_events(spark, sf_dir).withColumn("session_id", F.lit(0))
+    return Q.running_quantities(log, block_rows=250).select("event_id", "item_id", "quantity")
+
+
 @query("l2_live_totals", f"""WITH {_LOG}, {_SQL["items"]}, {_SQL["variants"]}, live AS (SELECT DISTINCT session_id FROM log), food AS (SELECT f.session_id, sum(f.qty * v.price_agorot) AS food FROM final f JOIN variants v USING (menu_id, item_id, variant_id)
     WHERE f.qty > 0 AND v.price_kind = 'fixed' AND v.price_agorot > 0 GROUP BY f.session_id)
     SELECT session_id, CAST(coalesce(food, 0) AS BIGINT) AS food_subtotal_agorot, CASE WHEN coalesce(food, 0) * 11200 > (1 + session_id % 8) * 1500000 * 10000 THEN 'over' WHEN (coalesce(food, 0) + CAST(coalesce(food, 0) AS DOUBLE) * 1200 / 10000.0) / ((1 + session_id % 8) * 1500000) >= CAST(0.9 AS DOUBLE) THEN 'close' ELSE 'comfortable' END AS status

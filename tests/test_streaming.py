@@ -32,6 +32,32 @@ def test_quantities_equal_the_loop(spark):
     assert got == {k: q for k, q in now.items() if q}
 
 
+def test_long_logs_are_folded_in_blocks(spark):
+    """Every quantity after every event, whatever the blocks, resets or none, a null in the key included."""
+    rng = random.Random(8)
+    for ops in (["add", "remove", "remove"], ["add", "add", "remove", "remove", "set", "delete"], ["add", "remove"]):
+        events = [(rng.choice([1, 1, 1, 2, None]), "m", "a", "v", T0 + dt.timedelta(seconds=i // 3), i, rng.choice(ops) if rng.random() < 0.9 else "add", rng.randrange(5)) for i in range(900)]
+        now, want = {}, {}
+        for s, _, _, _, _, i, op, q in events:
+            before = now.get(s, 0)
+            want[i] = now[s] = {"add": before + 1, "remove": max(0, before - 1), "set": q}.get(op, 0)
+        df = spark.createDataFrame(events, SCHEMA).repartition(3)
+        for rows in (40, 10_000):
+            got = {r["event_id"]: r["quantity"] for r in quantities.running_quantities(df, block_rows=rows).collect()}
+            assert got == want
+            assert {r["session_id"]: r["qty"] for r in quantities.quantities(df, block_rows=rows).collect()} == {k: v for k, v in now.items() if v}
+    assert quantities.running_quantities(df.limit(0)).count() == 0
+
+
+def test_one_hot_line_is_many_tasks(spark):
+    log = spark.range(200_000).select(F.lit(1).alias("session_id"), *[F.lit(1).alias(k) for k in quantities.KEY[1:]], F.col("id").alias("ts"), F.col("id").alias("event_id"), F.when(F.col("id") % 3 == 0, "remove").otherwise("add").alias("op"), F.lit(None).cast("int").alias("qty"))
+    usual, blocks = quantities._split(log, 10_000)
+    assert usual.count() == 0
+    sizes = [r["count"] for r in blocks.groupBy("_block").count().collect()]
+    assert len(sizes) >= 15 and max(sizes) < 30_000
+    assert quantities.quantities(log, block_rows=10_000).first()["qty"] == quantities.quantities(log).first()["qty"] == 66_667
+
+
 def test_live_totals_equal_the_batch(spark, sf_dir, tmp_path):
     events = views.table(spark, sf_dir, "events")
     # Three batches, in time order.
