@@ -180,8 +180,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     own = staged(fingerprints(docs, id_col=id_col, text_col=text_col, shingle_words=shingle_words), "fingerprints")
     fps = staged(own.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "distinct-fingerprints")
     roots = connected_components(linked_fingerprints(fps, max_distance=max_distance, cell_rows=cell_rows))
-    member = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    label = staged(member.join(least, "root").select("fp", "n", "component_id"), "labels")
+    member = staged(fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "members")
+    least = member.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    label = staged(join_counted(member, least, "root", member.count(), hot_share, by="members").select("fp", "n", "component_id"), "labels")
     out = join_counted(own, label, "fp", fps.agg(F.sum("n")).first()[0] or 0, hot_share)
     return out.select("id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
