@@ -4,6 +4,8 @@ Pairs: small menus are joined with themselves; in large ones only distinct names
 means an overlap of at least t / (2 - t) of either side's trigrams, so two such names share one among the first
 n - ceil(t / (2 - t) n) + 1 of each in any one order: no pair is lost. The order is from the menu's rarest trigram to its commonest.
 
+Where items come in batches only pairs with a fresh end are looked for: fresh items meet all, the others meet the fresh ones alone.
+
 Leaders: an item belongs to the earliest leader it is similar to, and an item that belongs to one doesn't lead. Menus with few
 pairs are folded in order; others go by rounds, in which every item that has no earlier rival left is settled at once, and what rounds
 settle too slowly is folded as a sorted stream.
@@ -12,6 +14,7 @@ settle too slowly is folded as a sorted stream.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -45,11 +48,22 @@ def same_image(a: Column, b: Column) -> Column:
     return (F.size(a) > 0) & (F.size(b) > 0) & (F.size(F.array_except(a, b)) == 0)
 
 
-def duplicate_pairs(items: DataFrame, *, threshold: float = T.SIMILARITY_THRESHOLD, small_menu: int = SMALL_MENU) -> DataFrame:
+def names_of(items: DataFrame) -> DataFrame:
+    """(menu_id, item_id, normal, grams) of the items with a name: what finding pairs needs of it, to be kept for later batches."""
+    own = items.select("menu_id", "item_id", "name").filter(money.trim(F.col("name")) != "")
+    return with_normal_names(own).select("menu_id", "item_id", "normal", "grams")
+
+
+def duplicate_pairs(items: DataFrame, *, threshold: float = T.SIMILARITY_THRESHOLD, small_menu: int = SMALL_MENU, names: DataFrame | None = None) -> DataFrame:
     """(menu_id, pos_a, pos_b, target_id, source_id, score, auto, reason) of all similar pairs, a before b. Names and their trigrams are
-    made once and staged, as every side of every join reads them."""
-    own = with_normal_names(items.select("menu_id", "item_id", "item_pos", "name", "variants", "source_image_ids").filter(money.trim(F.col("name")) != ""))
-    own = staged(own.select("menu_id", "item_id", F.col("item_pos").alias("pos"), "normal", "grams", price_set().alias("prices"), F.col("source_image_ids").alias("images")), "names")
+    made once and staged, as every side of every join reads them. ``names``: those made before (``names_of``) with a column ``fresh``; then
+    the pairs with a fresh end, and no others, are found."""
+    if names is None:
+        own = with_normal_names(items.select("menu_id", "item_id", "item_pos", "name", "variants", "source_image_ids").filter(money.trim(F.col("name")) != ""))
+    else:
+        own = items.select("menu_id", "item_id", "item_pos", "variants", "source_image_ids").join(names.select("menu_id", "item_id", "normal", "grams", "fresh"), ["menu_id", "item_id"])
+    more = [] if names is None else ["fresh"]
+    own = staged(own.select("menu_id", "item_id", F.col("item_pos").alias("pos"), "normal", "grams", price_set().alias("prices"), F.col("source_image_ids").alias("images"), *more), "names")
     large = staged(own.groupBy("menu_id").agg(F.count("*").alias("n")).filter(F.col("n") > small_menu).select("menu_id"), "large-menus")
     if large.isEmpty():
         return _scored(_all_candidates(own, threshold), threshold)
@@ -57,8 +71,20 @@ def duplicate_pairs(items: DataFrame, *, threshold: float = T.SIMILARITY_THRESHO
     return _scored(small, threshold).unionByName(_scored(_prefix_candidates(own.join(large, "menu_id", "left_semi"), threshold), threshold))
 
 
-def _sides(own: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return tuple(own.select("menu_id", *[F.col(c).alias(f"{c}_{s}") for c in own.columns if c != "menu_id"]) for s in "ab")
+def _side(own: DataFrame, s: str) -> DataFrame:
+    return own.select("menu_id", *[F.col(c).alias(f"{c}_{s}") for c in own.columns if c != "menu_id"])
+
+
+def _sides(own: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+    """What meets what as a and b: everything, or all pairs with a fresh end, each once."""
+    if "fresh" not in own.columns:
+        return [(_side(own, "a"), _side(own, "b"))]
+    fresh = own.filter("fresh")
+    return [(_side(fresh, "a"), _side(own, "b")), (_side(own.filter("not fresh"), "a"), _side(fresh, "b"))]
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _near_sizes(a: Column, b: Column, threshold: float) -> Column:
@@ -72,34 +98,35 @@ def _share(threshold: float) -> float:
 
 
 def _all_candidates(own: DataFrame, threshold: float) -> DataFrame:
-    a, b = _sides(own)
-    return a.join(b, "menu_id").filter((F.col("pos_a") < F.col("pos_b")) & _near_sizes(F.size("grams_a"), F.size("grams_b"), threshold))
+    near = (F.col("pos_a") < F.col("pos_b")) & _near_sizes(F.size("grams_a"), F.size("grams_b"), threshold)
+    return _union([a.join(b, "menu_id").filter(near) for a, b in _sides(own)])
 
 
 def prefixes(names: DataFrame, threshold: float) -> DataFrame:
     """(menu_id, normal, n, g): each name's n - ceil(share n) + 1 rarest trigrams, by how many names of the menu have them; n counts all. A word that
     thousands of dishes begin with is so common that its trigrams come last and stay out."""
-    every = staged(names.select("menu_id", "normal", F.size("grams").alias("n"), F.explode("grams").alias("g")), "grams")
+    more = [c for c in names.columns if c == "fresh"]
+    every = staged(names.select("menu_id", "normal", F.size("grams").alias("n"), *more, F.explode("grams").alias("g")), "grams")
     counts = staged(every.groupBy("menu_id", "g").agg(F.count("*").alias("names")), "gram-counts")
     ranked = join_spread(every, counts, ["menu_id", "g"]).withColumn("nth", F.row_number().over(Window.partitionBy("menu_id", "normal").orderBy("names", "g")))
-    return ranked.filter(F.col("nth") <= F.greatest(F.lit(1), F.col("n") - F.ceil(F.col("n") * _share(threshold) - 1e-9) + 1)).select("menu_id", "normal", "n", "g")
+    return ranked.filter(F.col("nth") <= F.greatest(F.lit(1), F.col("n") - F.ceil(F.col("n") * _share(threshold) - 1e-9) + 1)).select("menu_id", "normal", "n", "g", *more)
 
 
 def _prefix_candidates(own: DataFrame, threshold: float) -> DataFrame:
     """Pairs of a large menu's distinct names that share a prefix trigram, and equal names, as items."""
-    names = staged(own.groupBy("menu_id", "normal").agg(F.first("grams").alias("grams")), "distinct-names")
+    more = [F.max("fresh").alias("fresh")] if "fresh" in own.columns else []
+    names = staged(own.groupBy("menu_id", "normal").agg(F.first("grams").alias("grams"), *more), "distinct-names")
     tokens = staged(prefixes(names, threshold), "prefixes")
-    a, b = (tokens.select("menu_id", "g", F.col("normal").alias(f"normal_{s}"), F.col("n").alias(f"n_{s}")) for s in "ab")
-    met = join_spread(a, b, ["menu_id", "g"]).filter((F.col("normal_a") < F.col("normal_b")) & _near_sizes(F.col("n_a"), F.col("n_b"), threshold))
-    met = met.select("menu_id", "normal_a", "normal_b").distinct()
+    met = _union([join_spread(a.withColumnRenamed("g_a", "g"), b.withColumnRenamed("g_b", "g"), ["menu_id", "g"]) for a, b in _sides(tokens)])
+    met = met.filter((F.col("normal_a") < F.col("normal_b")) & _near_sizes(F.col("n_a"), F.col("n_b"), threshold)).select("menu_id", "normal_a", "normal_b").distinct()
     sets = names.select("menu_id", "normal", "grams")
     left, right = (sets.select("menu_id", F.col("normal").alias(f"normal_{s}"), F.col("grams").alias(f"grams_{s}")) for s in "ab")
     similar = met.join(left, ["menu_id", "normal_a"]).join(right, ["menu_id", "normal_b"])
     similar = similar.filter(T.dice(F.col("normal_a"), F.col("normal_b"), F.col("grams_a"), F.col("grams_b")) >= threshold).select("menu_id", F.col("normal_a").alias("x"), F.col("normal_b").alias("y"))
-    both = staged(similar.unionByName(similar.select("menu_id", F.col("y").alias("x"), F.col("x").alias("y"))).unionByName(names.select("menu_id", F.col("normal").alias("x"), F.col("normal").alias("y"))), "similar-names")
-    left, right = _sides(own)
-    firsts = join_spread(left, both.select("menu_id", F.col("x").alias("normal_a"), F.col("y").alias("normal_b")), ["menu_id", "normal_a"])
-    return join_spread(firsts, right, ["menu_id", "normal_b"]).filter("pos_a < pos_b")
+    equal = names.filter("fresh") if more else names
+    both = staged(similar.unionByName(similar.select("menu_id", F.col("y").alias("x"), F.col("x").alias("y"))).unionByName(equal.select("menu_id", F.col("normal").alias("x"), F.col("normal").alias("y"))), "similar-names")
+    partners = both.select("menu_id", F.col("x").alias("normal_a"), F.col("y").alias("normal_b"))
+    return _union([join_spread(join_spread(a, partners, ["menu_id", "normal_a"]), b, ["menu_id", "normal_b"]).filter("pos_a < pos_b") for a, b in _sides(own)])
 
 
 def _scored(pairs: DataFrame, threshold: float) -> DataFrame:

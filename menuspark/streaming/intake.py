@@ -5,6 +5,10 @@ rows of the menus it touches and writes those menus alone, as a new version; not
 the table ``menus`` has it, which is written last, so a batch that fails on the way leaves every menu as it was. ``working`` reads the
 tables as they stand and ``compact`` drops what newer versions have replaced. There may be one writer at a time.
 
+Of a working menu its names' trigrams and its similar pairs are kept as well. A batch's dishes meet the menu's, which don't meet each other
+anew: their pairs stand as they were, but for dishes that the last batch merged, whose prices and images may have changed. A store without
+these tables gets them with the next batch.
+
 Pages of one menu that come in one batch are merged together. Ids are hashes of menu, page and line, so a batch that is
 repeated after a failure makes the same items and replaces them.
 """
@@ -25,8 +29,9 @@ from ..sources.staging import staged
 ITEMS = "menu_id string, item_id string, item_pos bigint, name string, description string, category_id string, variants array<struct<id:string,label:string,price_agorot:bigint,needs_review:boolean>>, price_kind string, confidence double, needs_review boolean, review_reasons array<string>, source_image_ids array<string>, origin string"
 CATEGORIES = "menu_id string, category_id string, name string, order bigint"
 PAIRS = "menu_id string, pos_a bigint, pos_b bigint, target_id string, source_id string, score double, auto boolean, reason string"
-#: ``menus`` comes last: its row makes the others of the same version count.
-TABLES = {"items": ITEMS, "categories": CATEGORIES, "suggestions": PAIRS, "menus": "menu_id string, confirmed boolean"}
+NAMES = "menu_id string, item_id string, normal string, grams array<string>, fresh boolean"
+#: ``menus`` comes last: its row makes the others of the same version count. ``names`` and ``pairs`` are what finding duplicates keeps.
+TABLES = {"items": ITEMS, "categories": CATEGORIES, "suggestions": PAIRS, "names": NAMES, "pairs": PAIRS, "menus": "menu_id string, confirmed boolean"}
 BUCKETS = 64
 NO_HINTS = "menu_id string, page_id string, hint_no int, values array<bigint>, bbox struct<x0:double,y0:double,x1:double,y1:double>"
 
@@ -64,6 +69,33 @@ def _append(path: str, tables: dict[str, DataFrame], versions: list[str], bucket
     return version
 
 
+def _without(df: DataFrame, ids: DataFrame, *columns: str) -> DataFrame:
+    """``df`` less the rows one of whose ``columns`` is among the items ``ids`` (menu_id, item_id)."""
+    for c in columns:
+        df = df.join(ids.withColumnRenamed("item_id", c), ["menu_id", c], "left_anti")
+    return df
+
+
+def merged_in(items: DataFrame, kept: DataFrame, names: DataFrame, pairs: DataFrame) -> dict[str, DataFrame]:
+    """The tables items, suggestions, names and pairs after duplicates among ``items`` are merged. ``kept``: (menu_id, item_id) of those
+    that were there before; ``names`` and ``pairs``: what was stored of them."""
+    names = names.join(kept, ["menu_id", "item_id"], "left_semi")
+    fresh = dedupe.names_of(items.join(names, ["menu_id", "item_id"], "left_anti")).withColumn("fresh", F.lit(True))
+    names = staged(names.unionByName(fresh), "stored-names")
+    stale = names.filter("not fresh").select("menu_id", "item_id")
+    for end in ("target_id", "source_id"):
+        pairs = pairs.join(stale.withColumnRenamed("item_id", end), ["menu_id", end], "left_semi")
+    pairs = staged(pairs.unionByName(dedupe.duplicate_pairs(items, names=names)), "similar")
+    found = staged(dedupe.leaders(pairs), "found")
+    auto = found.filter("auto")
+    targets, sources = (auto.select("menu_id", F.col(end).alias("item_id")).distinct() for end in ("target_id", "source_id"))
+    left = _without(names, sources, "item_id").drop("fresh").join(targets.withColumn("fresh", F.lit(True)), ["menu_id", "item_id"], "left").withColumn("fresh", F.coalesce("fresh", F.lit(False)))
+    return {
+        "items": dedupe.merge_items(items, auto), "suggestions": found.filter("not auto"), "names": left,
+        "pairs": _without(pairs, targets.unionByName(sources), "target_id", "source_id"),
+    }
+
+
 def take_in(pages: DataFrame, path: str, *, buckets: int = BUCKETS) -> None:
     """One batch of page records into the working menus under ``path``: items, categories, menus (not confirmed any more) and
     suggestions. Pages without a menu_id are left out; a batch without pages writes nothing."""
@@ -76,7 +108,7 @@ def take_in(pages: DataFrame, path: str, *, buckets: int = BUCKETS) -> None:
     parsed = parse_pages(flatten_blocks(own), spark.createDataFrame([], NO_HINTS), own)
     latest = staged(_latest(_read(spark, path, "menus").filter(F.col("bucket").isin(hit)).join(touched, "menu_id", "left_semi")), "latest")
     versions = [r[0] for r in latest.select("version").distinct().collect()]  # at most the batches since the last compaction
-    old = {name: _read(spark, path, name).filter(F.col("bucket").isin(hit) & F.col("version").isin(versions)).join(latest, ["menu_id", "version"], "left_semi").drop("version", "bucket") for name in ("items", "categories")}
+    old = {name: _read(spark, path, name).filter(F.col("bucket").isin(hit) & F.col("version").isin(versions)).join(latest, ["menu_id", "version"], "left_semi").drop("version", "bucket") for name in ("items", "categories", "names", "pairs")}
     names = parsed.categories.select("menu_id", "name", F.col("order").alias("seq"))
     categories = staged(menu.ensure_categories(old["categories"], names), "categories")
     new = parsed.items.join(parsed.categories.select("menu_id", "category_id", F.col("name").alias("category_name")), ["menu_id", "category_id"], "left")
@@ -84,8 +116,9 @@ def take_in(pages: DataFrame, path: str, *, buckets: int = BUCKETS) -> None:
     kept = old["items"].join(new.select("menu_id", "item_id"), ["menu_id", "item_id"], "left_anti")
     last = kept.groupBy("menu_id").agg(F.max("item_pos").alias("last"))
     new = new.join(last, "menu_id", "left").withColumn("item_pos", F.coalesce("last", F.lit(-1)) + F.row_number().over(Window.partitionBy("menu_id").orderBy("item_pos")))
-    items, suggestions = dedupe.apply_auto_merges(staged(kept.unionByName(new.select(*kept.columns)), "menu-items"))
-    _append(path, {"items": items, "categories": categories, "suggestions": suggestions, "menus": touched.withColumn("confirmed", F.lit(False))}, versions, buckets)
+    own_ids = staged(kept.select("menu_id", "item_id"), "kept")
+    merged = merged_in(staged(kept.unionByName(new.select(*kept.columns)), "menu-items"), own_ids, old["names"], old["pairs"])
+    _append(path, {**merged, "categories": categories, "menus": touched.withColumn("confirmed", F.lit(False))}, versions, buckets)
 
 
 def compact(spark: SparkSession, path: str, *, buckets: int = BUCKETS) -> int:

@@ -108,3 +108,15 @@ def test_a_chain_of_names_takes_few_jobs(spark):
             used.add((m, b))
             want.append((m, a, b))
     assert got == sorted(want) and jobs < 40, jobs
+
+
+@pytest.mark.parametrize("small_menu", [300, 0])
+def test_fresh_items_meet_all_and_others_only_them(spark, small_menu):
+    rng = random.Random(5)
+    rows = [item(f"{i:02d}", i, "".join(c if rng.random() > 0.08 else rng.choice("abx") for c in rng.choice(["chicken soup", "green salad", "lemon cake"])), 100, rng.choice(["1", "2", "3"]), menu=f"m{i % 2}") for i in range(50)]
+    items = frame(spark, *rows)
+    pairs = lambda df: {(r["target_id"], r["source_id"], r["auto"], r["reason"]): df for r in df.collect()}.keys()
+    fresh = F.col("item_id").isin("07", "08", "30", "49")
+    got = dedupe.duplicate_pairs(items, small_menu=small_menu, names=dedupe.names_of(items).withColumn("fresh", fresh))
+    full = {p for p in pairs(dedupe.duplicate_pairs(items, small_menu=small_menu)) if {p[0], p[1]} & {"07", "08", "30", "49"}}
+    assert full and pairs(got) == full and got.count() == len(full)

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+import shutil
 
 from pyspark.sql import functions as F
 
@@ -141,3 +142,21 @@ def test_intake(spark, tmp_path):
     assert intake.compact(spark, path, buckets=4) == 3 and all_rows() == now
     assert {x.parent.parent.name for x in (tmp_path / "menus").rglob("*.parquet")} == {next((tmp_path / "menus" / "menus").glob("version=*")).name}
     assert intake.compact(spark, str(tmp_path / "none")) == 0 and not intake.working(spark, str(tmp_path / "none"), "items").count()
+
+
+def test_batches_into_one_menu_equal_the_full_search(spark, tmp_path):
+    """A menu that three batches touch, with dishes that are read twice, merged, and met again: the same tables as a store that has kept
+    neither names nor pairs, which looks for all pairs anew in each batch."""
+    other = [*HEBREW[:2], *HEBREW[4:]]
+    batches = [[("m", "a", 0, HEBREW), ("n", "x", 0, HEBREW[:6])], [("m", "b", 1, other)], [("m", "b", 1, HEBREW), ("m", "c", 2, other), ("n", "y", 1, other)]]
+    kept, anew = str(tmp_path / "kept"), str(tmp_path / "anew")
+    for k, rows in enumerate(batches):
+        df = spark.createDataFrame([record(*r) for r in rows], P.PAGES)
+        intake.take_in(df, kept, buckets=2)
+        for name in ("names", "pairs"):
+            shutil.rmtree(f"{anew}/{name}", ignore_errors=True)
+        intake.take_in(df, anew, buckets=2)
+        for name in ("items", "categories", "suggestions") if k else ():
+            a, b = (sorted(map(str, intake.working(spark, p, name).collect())) for p in (kept, anew))
+            assert a == b
+    assert intake.working(spark, kept, "names").filter("fresh").count() < intake.working(spark, kept, "names").count()
