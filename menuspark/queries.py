@@ -462,12 +462,13 @@ def menu_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Duplicates.
 
-_PAIRS = """named AS (SELECT p_partkey // 16 AS menu_id, CAST(p_partkey AS VARCHAR) AS id, p_partkey % 16 AS pos, p_partkey % 3 AS image, p_name AS name, CASE WHEN p_size % 20 > 1 THEN 4000 + 1000 * (p_size % 2) END AS price FROM part),
-    grams AS (SELECT menu_id, pos, g, count(*) AS n FROM (SELECT menu_id, pos, substr('  ' || name || '  ', CAST(i AS BIGINT), 3) AS g FROM (SELECT *, unnest(range(1, length(name) + 3)) AS i FROM named)) GROUP BY menu_id, pos, g),
+_PAIRS_OF_NAMED = """grams AS (SELECT menu_id, pos, g, count(*) AS n FROM (SELECT menu_id, pos, substr('  ' || name || '  ', CAST(i AS BIGINT), 3) AS g FROM (SELECT *, unnest(range(1, length(name) + 3)) AS i FROM named)) GROUP BY menu_id, pos, g),
     shared AS (SELECT a.menu_id, a.pos AS pos_a, b.pos AS pos_b, sum(least(a.n, b.n)) AS k FROM grams a JOIN grams b ON a.menu_id = b.menu_id AND a.g = b.g AND a.pos < b.pos GROUP BY 1, 2, 3),
     pairs AS (SELECT s.menu_id, pos_a, pos_b, a.id AS target_id, b.id AS source_id, CASE WHEN a.name = b.name THEN 1.0 ELSE CAST(2 * k AS DOUBLE) / (length(a.name) + length(b.name) + 4) END AS score,
       a.name = b.name AND (a.price IS NULL OR b.price IS NULL OR a.price = b.price) AS auto, a.price IS NULL OR b.price IS NULL OR a.price = b.price AS compatible
       FROM shared s JOIN named a ON s.menu_id = a.menu_id AND s.pos_a = a.pos JOIN named b ON s.menu_id = b.menu_id AND s.pos_b = b.pos WHERE a.image <> b.image AND (a.name = b.name OR CAST(2 * k AS DOUBLE) / (length(a.name) + length(b.name) + 4) >= CAST(0.74 AS DOUBLE)))"""
+_PAIRS = """named AS (SELECT p_partkey // 16 AS menu_id, CAST(p_partkey AS VARCHAR) AS id, p_partkey % 16 AS pos, p_partkey % 3 AS image, p_name AS name, CASE WHEN p_size % 20 > 1 THEN 4000 + 1000 * (p_size % 2) END AS price FROM part),
+    """ + _PAIRS_OF_NAMED
 _LEADERS = """steps AS (SELECT *, row_number() OVER (PARTITION BY menu_id ORDER BY pos_a, pos_b) AS n FROM pairs),
     fold AS (SELECT DISTINCT menu_id, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS used, false AS kept FROM pairs
       UNION ALL SELECT f.menu_id, s.n, CASE WHEN list_contains(f.used, s.pos_a) OR list_contains(f.used, s.pos_b) THEN f.used ELSE list_append(f.used, s.pos_b) END, NOT (list_contains(f.used, s.pos_a) OR list_contains(f.used, s.pos_b))
@@ -503,6 +504,27 @@ def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.dismiss_pairs(found, found.filter("cast(source_id as bigint) % 5 = 0").select("menu_id", "target_id", "source_id")).select("menu_id", "target_id", "source_id")
 
 
+@query("l1_two_batches", "WITH RECURSIVE " + _SQL["texts"] + f""", pages AS (SELECT *, 1 - p_partkey % 2 AS seq, price_kind = 'fixed' AND NOT two AND NOT weighed AND p_partkey % 3 <> 0 AND p_size % 9 = 0 AS promo FROM parsed),
+    named AS (SELECT menu_id, CAST(p_partkey AS VARCHAR) AS id, row_number() OVER (PARTITION BY menu_id ORDER BY seq, p_partkey) - 1 AS pos, seq AS image, CASE WHEN price_kind <> 'fixed' THEN NULL WHEN two THEN price || ',' || price2 ELSE CAST(price AS VARCHAR) END AS price,
+      CASE WHEN promo THEN 'combo ' ELSE '' END || CASE WHEN two THEN p_name || ' small large' WHEN weighed THEN p_name || ' ' || p_size || ' g' ELSE p_name END AS name FROM pages),
+    {_PAIRS_OF_NAMED}, {_LEADERS}, gone AS (SELECT menu_id, pos_b FROM leads WHERE auto), target AS (SELECT DISTINCT menu_id, pos_a FROM leads WHERE auto)
+    SELECT 'item' AS kind, n.menu_id, n.pos, CAST(-1 AS BIGINT) AS source, n.name, CASE WHEN b.pos_a IS NOT NULL THEN 'page_' || n.menu_id || '_0,page_' || n.menu_id || '_1' ELSE 'page_' || n.menu_id || '_' || n.image END AS rest
+      FROM named n LEFT JOIN target b ON b.menu_id = n.menu_id AND b.pos_a = n.pos LEFT JOIN gone g ON g.menu_id = n.menu_id AND g.pos_b = n.pos WHERE g.pos_b IS NULL
+    UNION ALL SELECT 'suggestion', menu_id, pos_a, pos_b, '', 'שם דומה (' || CAST(round(score * 100) AS BIGINT) || '%)' || CASE WHEN compatible THEN '' ELSE ' אך מחירים שונים — ייתכן שאלו גדלים שונים' END FROM leads WHERE NOT auto""")
+def two_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Menus of two pages that come in two batches: every menu is touched twice, and the second page's dishes meet the first's."""
+    line = F.struct("line_no", F.struct("text", "confidence", "bbox", "words").alias("l"))
+    own = V.lines(spark, sf_dir, two_pages=True).groupBy("menu_id", "page_id").agg(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["l"]).alias("lines"))
+    blocks = F.array(F.struct(F.array(F.struct("lines")).alias("paragraphs"))).alias("blocks")
+    records = own.join(V.two_pages(spark, sf_dir), ["menu_id", "page_id"]).select("menu_id", "page_id", "page_seq", "page_width", F.lit(90.0).alias("confidence"), blocks)
+    records, out = staged(records, "records"), new_folder(spark, "menus")
+    for seq in (0, 1):
+        intake.take_in(records.filter(F.col("page_seq") == seq), out, buckets=2)
+    c, none = F.col, F.lit(-1).cast("bigint")
+    items = intake.working(spark, out, "items").select(F.lit("item").alias("kind"), "menu_id", c("item_pos").alias("pos"), none.alias("source"), "name", F.array_join("source_image_ids", ",").alias("rest"))
+    return items.unionByName(intake.working(spark, out, "suggestions").select(F.lit("suggestion").alias("kind"), "menu_id", c("pos_a").alias("pos"), c("pos_b").alias("source"), F.lit("").alias("name"), c("reason").alias("rest")))
+
+
 # Sessions.
 
 
