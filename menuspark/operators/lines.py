@@ -11,7 +11,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import money, text as T
 from ..functions.columns import computed
 from ..functions.lexicon import OPTION
+from ..sources.staging import staged
+from .skew import join_spread
 
+# The results depend on them.
 MIN_PRICE, MAX_PRICE, EDGE_BAND, CONFIDENCE = 300, 300_000, 0.35, 0.72
 BAND_FRACTION, BAND_SCALE, BAND_PADDING, MIN_OVERLAP = 0.18, 2, 40, 0.5
 HITS = "array<struct<value:bigint,index:int,x0:double,x1:double,explicit:boolean>>"
@@ -113,17 +116,35 @@ def vertical_overlap(a: Column, b: Column) -> Column:
     return F.when((common > 0) & (smaller > 0), common / F.nullif(smaller, F.lit(0.0))).otherwise(0.0)
 
 
-def hint_for_line(lines: DataFrame, hints: DataFrame, *, min_overlap: float = MIN_OVERLAP) -> DataFrame:
+def hint_for_line(lines: DataFrame, hints: DataFrame, *, min_overlap: float = MIN_OVERLAP, bins: bool = True) -> DataFrame:
     """``lines`` with ``hint`` = struct(values, x0, x1, y0, y1): all hints of the page on the line's row, their distinct values in
-    hint order; null without one. A join on the page with the overlap as its condition, and a grouping that the page's
-    partitioning serves as well."""
-    a, b = lines.select(*LINE, F.col("bbox").alias("a")), hints.select(*PAGE, "hint_no", "values", F.col("bbox").alias("b"))
-    pairs = a.join(b, PAGE).filter(vertical_overlap(F.col("a"), F.col("b")) >= min_overlap)
+    hint order; null without one. A box without a height, or no box, is on no row. ``min_overlap`` is above 0.
+
+    With ``bins`` both sides meet by rows of the page, so that work grows with lines, hints and links, and a page is spread over
+    tasks. Without, by page: a page's partitioning serves the join and the grouping, but each line looks at all of its page's hints."""
+    solid = lambda df, s: df.filter((_height(s) > 0) & (_height(s) < float("inf")))
+    a, b = solid(lines.select(*LINE, F.col("bbox").alias("a")), "a"), solid(hints.select(*PAGE, "hint_no", "values", F.col("bbox").alias("b")), "b")
+    pairs = (_by_rows(a, b) if bins else a.join(b, PAGE)).filter(vertical_overlap(F.col("a"), F.col("b")) >= min_overlap)
     values = F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("hint_no", "values"))), lambda x: x["values"])))
     found = pairs.groupBy(*LINE).agg(F.struct(values.alias("values"), F.min("b.x0").cast("double").alias("x0"), F.max("b.x1").cast("double").alias("x1"), F.min("b.y0").cast("double").alias("y0"), F.max("b.y1").cast("double").alias("y1")).alias("hint"))
     return lines.join(found, LINE, "left")
 
 
+def _height(box: str) -> Column:
+    return (F.col(f"{box}.y1") - F.col(f"{box}.y0")).cast("double")
+
+
+def _by_rows(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pairs of lines and hints whose boxes ``a`` and ``b`` share a row of the page, each pair once, in the row where the lower of the two
+    begins. Rows are as high as the page's mean box, so boxes lie in three rows on average at most, however uneven they are. The
+    heights are staged: both sides must cut a page alike."""
+    rows = staged(a.select(*PAGE, _height("a").alias("h")).unionByName(b.select(*PAGE, _height("b").alias("h"))).groupBy(*PAGE).agg(F.avg("h").alias("high")), "row-heights")
+    row = lambda y: F.floor(y.cast("double") / F.col("high"))
+    dealt = lambda df, s: join_spread(df, rows, PAGE).withColumn("row", F.explode(F.sequence(row(F.col(f"{s}.y0")), row(F.col(f"{s}.y1")))))
+    met = dealt(a, "a").join(dealt(b, "b").drop("high"), [*PAGE, "row"])
+    return met.filter(F.col("row") == F.greatest(row(F.col("a.y0")), row(F.col("b.y0"))))
+
+
 def prefer_reading(page: Column, column: Column) -> Column:
     """The longer number, as recognition loses digits; the column's on a tie."""
     return F.when(F.length(page.cast("string")) > F.length(column.cast("string")), page).otherwise(column)

@@ -1,8 +1,8 @@
 """From recognised lines to categories, items and statistics.
 
 The page's order is carried by windows over (menu, page) by line number: the heading above a line, whether a dish was begun since
-that heading, and the dish a line goes on with. The lines are partitioned by page once; the windows, the hint join and the
-groupings use that partitioning.
+that heading, and the dish a line goes on with. Usual pages are partitioned by page once; the windows, the hint join and the
+groupings use that partitioning. Long pages are cut into blocks of lines that a scan stitches together.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ class ParseOptions:
     min_price: int = L.MIN_PRICE
     max_price: int = L.MAX_PRICE
     confidence: float = L.CONFIDENCE
+    #: Pages with more lines or hints than this are cut into blocks of about so many lines.
+    long_page: int = 10_000
 
 
 @dataclass
@@ -54,24 +56,72 @@ def _box(name: str) -> Column:
 
 
 def classify_lines(lines: DataFrame, hints: DataFrame, options: ParseOptions = ParseOptions()) -> DataFrame:
-    """Usable lines with what each one is: ``is_header``, ``emits`` a dish, ``continues`` one, and ``heading``, ``item_no``."""
-    split = split_price_rows(lines, options)
-    usable = L.reconcile_with_hints(L.hint_for_line(split.filter("not price_only"), hint_pool(split, hints)))
-    page, order = Window.partitionBy(*PAGE), Window.partitionBy(*PAGE).orderBy("line_no")
-    c, height = F.col, L.line_height(F.col("bbox"))
-    out = usable.withColumn("median_height", F.percentile(height, F.lit(0.5)).over(page))
-    out = out.withColumn("is_header", (F.size("hits") == 0) & L.is_likely_header(c("clean"), height, c("median_height")))
-    out = out.withColumn("heading", F.last(F.when(c("is_header"), T.heading_name(c("clean"))), ignorenulls=True).over(order))
-    out = out.withColumn("segment", F.sum(F.when(c("is_header"), 1).otherwise(0)).over(order))
+    """Usable lines with what each one is: ``is_header``, ``emits`` a dish, ``continues`` one, and ``heading``, ``item_no``.
+
+    Prices are detected once and staged. Pages of usual length are windows; pages of more than ``options.long_page`` lines or hints
+    go by blocks of about so many lines, with the same results."""
+    split = staged(split_price_rows(lines, options), "price-rows")
+    pool = hint_pool(split, hints)
+    size = split.select(*PAGE, F.lit(1).alias("l"), F.lit(0).alias("h")).unionByName(pool.select(*PAGE, F.lit(0).alias("l"), F.lit(1).alias("h"))).groupBy(*PAGE).agg(F.sum("l").alias("l"), F.sum("h").alias("h"))
+    long = staged(size.filter(F.greatest("l", "h") > options.long_page).select(*PAGE), "long-pages")
+    if long.isEmpty():
+        return _by_page(split, pool)
+    whole = _by_page(split.join(long, PAGE, "left_anti"), pool.join(long, PAGE, "left_anti"))
+    return whole.unionByName(_by_blocks(split.join(long, PAGE, "left_semi"), pool.join(long, PAGE, "left_semi"), options.long_page))
+
+
+def _kinds(usable: DataFrame) -> DataFrame:
+    """Lines with ``median_height``, with what each is by itself: ``is_header``, ``named``, ``fits`` a name, ``wordy``, ``market``."""
+    c = F.col
+    out = usable.withColumn("is_header", (F.size("hits") == 0) & L.is_likely_header(c("clean"), L.line_height(c("bbox")), c("median_height")))
     out = computed(out, market=T.market_pattern(c("clean")), wordy=T.is_continuation(c("clean")))
-    named = (F.size("hits") > 0) | c("market").isNotNull()
-    fits = F.length("clean").between(2, 40)
-    before = Window.partitionBy(*PAGE, "segment").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    begun = F.coalesce(F.max(F.when(~c("is_header") & (named | fits), 1).otherwise(0)).over(before), F.lit(0)) == 1
-    out = out.withColumn("begun", begun)
-    out = out.withColumn("continues", ~c("is_header") & ~named & c("begun") & c("wordy"))
-    out = out.withColumn("emits", ~c("is_header") & (named | (fits & ~(c("begun") & c("wordy")))))
-    return out.withColumn("item_no", F.sum(F.when(c("emits"), 1).otherwise(0)).over(order))
+    return out.withColumn("named", (F.size("hits") > 0) | c("market").isNotNull()).withColumn("fits", F.length("clean").between(2, 40))
+
+
+def _carried(kinds: DataFrame, by: list[str]) -> DataFrame:
+    """With the ``heading`` so far, the ``segment`` it begins and whether a dish was ``begun`` in that before the line, within ``by``."""
+    c, order = F.col, Window.partitionBy(*by).orderBy("line_no")
+    out = kinds.withColumn("heading", F.last(F.when(c("is_header"), T.heading_name(c("clean"))), ignorenulls=True).over(order))
+    out = out.withColumn("segment", F.sum(F.when(c("is_header"), 1).otherwise(0)).over(order))
+    before = Window.partitionBy(*by, "segment").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    return out.withColumn("begun", F.coalesce(F.max(_starts()).over(before), F.lit(False)))
+
+
+def _starts() -> Column:
+    return ~F.col("is_header") & (F.col("named") | F.col("fits"))
+
+
+def _settled(carried: DataFrame, by: list[str]) -> DataFrame:
+    """With ``continues``, ``emits`` and ``item_no``, the number of dishes so far within ``by``."""
+    c = F.col
+    out = carried.withColumn("continues", ~c("is_header") & ~c("named") & c("begun") & c("wordy"))
+    out = out.withColumn("emits", ~c("is_header") & (c("named") | (c("fits") & ~(c("begun") & c("wordy")))))
+    return out.withColumn("item_no", F.sum(F.when(c("emits"), 1).otherwise(0)).over(Window.partitionBy(*by).orderBy("line_no")))
+
+
+def _by_page(split: DataFrame, pool: DataFrame) -> DataFrame:
+    usable = L.reconcile_with_hints(L.hint_for_line(split.filter("not price_only").repartition(*PAGE), pool, bins=False))
+    usable = usable.withColumn("median_height", F.percentile(L.line_height(F.col("bbox")), F.lit(0.5)).over(Window.partitionBy(*PAGE)))
+    return _settled(_carried(_kinds(usable), PAGE), PAGE)
+
+
+def _by_blocks(split: DataFrame, pool: DataFrame, block_lines: int) -> DataFrame:
+    """The same for long pages. Lines are ranged by page and number; each block is carried through apart, and a scan over one row a
+    block gives each what came before it: the heading, whether a dish was begun since, and then how many dishes there were."""
+    c, block = F.col, [*PAGE, "_block"]
+    own = split.filter("not price_only")
+    blocks = staged(own.repartitionByRange(-(-own.count() // block_lines) or 1, *LINE).withColumn("_block", F.spark_partition_id()), "page-blocks")
+    usable = L.reconcile_with_hints(L.hint_for_line(blocks, pool)).join(L.median_height(blocks), PAGE)
+    local = staged(_carried(_kinds(usable), block), "block-lines")
+    before = Window.partitionBy(*PAGE).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.max(F.struct("line_no", "segment", (c("begun") | _starts()).alias("begun"), "heading")).alias("z")
+    ends = local.groupBy(*block).agg(last).select(*block, c("z.heading").alias("heading"), F.when(c("z.begun") | (c("z.segment") > 0), c("z.begun")).alias("begun"))
+    starts = ends.select(*block, F.last("heading", ignorenulls=True).over(before).alias("_heading"), F.last("begun", ignorenulls=True).over(before).alias("_begun"))
+    whole = local.join(starts, block).withColumn("heading", F.coalesce("heading", "_heading")).withColumn("begun", c("begun") | ((c("segment") == 0) & F.coalesce("_begun", F.lit(False))))
+    out = staged(_settled(whole, block).drop("_heading", "_begun"), "block-items")
+    dishes = out.groupBy(*block).agg(F.count_if("emits").alias("n"))
+    dishes = dishes.select(*block, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_n"))
+    return out.join(dishes, block).withColumn("item_no", c("item_no") + c("_n")).drop("_block", "_n")
 
 
 def page_items(classified: DataFrame, options: ParseOptions = ParseOptions()) -> DataFrame:
@@ -124,7 +174,7 @@ def parse_stats(classified: DataFrame, items: DataFrame, pages: DataFrame) -> Da
 def parse_pages(lines: DataFrame, hints: DataFrame, pages: DataFrame, options: ParseOptions = ParseOptions()) -> Parsed:
     """All pages of all menus. Items are numbered (item_pos) by page_seq and line in their menu. The classified lines are staged, as
     items, categories and statistics all come from them."""
-    classified = staged(classify_lines(lines.repartition(*PAGE), hints, options), "lines")
+    classified = staged(classify_lines(lines, hints, options), "lines")
     items = page_items(classified, options)
     categories = page_categories(classified, pages)
     numbered = items.join(pages.select(*PAGE, "page_seq"), PAGE)

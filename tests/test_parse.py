@@ -108,14 +108,15 @@ def test_median(spark):
     assert L.median_height(lines_of(spark, rows)).first()["median_height"] == 22
 
 
-def test_windows_equal_the_sequential_rule(spark):
-    """Headings, dishes and continuations on random pages, against a loop with two variables."""
+@pytest.mark.parametrize("long_page", [10_000, 5])
+def test_windows_equal_the_sequential_rule(spark, long_page):
+    """Headings, dishes and continuations on random pages, against a loop with two variables; pages of over five lines by blocks."""
     rng = random.Random(11)
     kinds = {"head": ["Drinks"], "price": ["Dish", "one", "45"], "market": ["Fish", "market", "price"], "wordy": ["w", "x", "y", "zz"], "with": ["with", "oil"], "short": ["Soup"], "tiny": ["q"], "long": ["l" * 45]}
     rows, want = [], {}
     for p in range(25):
         menu, own, last, head = [], [], None, None
-        for no in range(rng.randrange(1, 14)):
+        for no in range(rng.randrange(1, 14) if p else 90):
             k = rng.choice(list(kinds))
             menu.append((kinds[k], {"ltr": True}))
             if k == "head":
@@ -131,6 +132,52 @@ def test_windows_equal_the_sequential_rule(spark):
         rows += page(menu, page_id=f"p{p}")
         want |= {(f"p{p}", no): (h, " ".join(d) or None) for no, h, d in own}
     pages = spark.createDataFrame([("m", f"p{p}", p, 1000.0) for p in range(25)], PAGES)
-    out = parse.parse_pages(lines_of(spark, rows), spark.createDataFrame([], HINTS), pages)
+    out = parse.parse_pages(lines_of(spark, rows), spark.createDataFrame([], HINTS), pages, parse.ParseOptions(long_page=long_page))
     named = out.items.join(out.categories.select("category_id", F.col("name").alias("head")), "category_id", "left")
     assert {(r["page_id"], r["line_no"]): (r["head"], r["description"]) for r in named.collect()} == want
+
+
+def test_blocks_equal_pages(spark):
+    """All that is known of a line, with tall headings, price rows and hints: pages by blocks of seven lines and as windows."""
+    rng = random.Random(5)
+    kinds = [(["Drinks"], {}), (["Big", "one"], {"height": 40}), (["Dish", "45"], {}), (["Dish"], {}), (["45"], {}), (["with", "oil"], {}), (["Fish", "market", "price"], {}), (["Beer", "22", "32"], {})]
+    rows = [r for p, n in enumerate((120, 3, 40, 8)) for r in page([(t, {"ltr": True} | o) for t, o in rng.choices(kinds, k=n)], page_id=f"p{p}")]
+    hints = [("m", f"p{p}", n, [rng.randrange(10, 300) * 100], (10.0, float(y), 60.0, float(y + 24))) for p in range(4) for n, y in enumerate(rng.sample(range(0, 4000, 7), 60))]
+    get = lambda long_page: {(r["page_id"], r["line_no"]): r.asDict(recursive=True) for r in parse.classify_lines(
+        lines_of(spark, rows), spark.createDataFrame(hints, HINTS), parse.ParseOptions(long_page=long_page)).drop("segment").collect()}
+    whole, blocks = get(10_000), get(7)
+    assert whole == blocks and any(r["inferred"] for r in whole.values()) and any(r["continues"] for r in whole.values())
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-4])
+def test_hints_by_rows(spark, scale):
+    """Boxes of every height, one as high as the page, flat and turned ones, against all pairs; also where pages are measured in shares."""
+    rng = random.Random(3)
+
+    def boxes(n):
+        out = []
+        for k in range(n):
+            y = rng.uniform(-200, 2000)
+            high = rng.choice([0.0, -5.0, 12.0, 24.0, 24.0, 30.0, rng.uniform(1, 400), 2500.0 if k == 7 else 20.0])
+            out.append((0.0, y * scale, 10.0, (y + high) * scale))
+        return out
+
+    lines = [("m", p, n, "x", 90.0, b, []) for p in "ab" for n, b in enumerate(boxes(80))]
+    hints = [("m", p, n, [rng.randrange(5)], b) for p in "ab" for n, b in enumerate(boxes(60))] + [("m", "c", 0, [1], (0.0, 0.0, 1.0, 1.0)), ("m", "a", 99, [1], None)]
+    df, pool = lines_of(spark, lines), spark.createDataFrame(hints, HINTS)
+    want = {}
+    for _, p, n, _, _, a, _ in lines:
+        near = [(no, v) for _, q, no, v, b in hints if b and p == q and min(a[3] - a[1], b[3] - b[1]) > 0 and (min(a[3], b[3]) - max(a[1], b[1])) / min(a[3] - a[1], b[3] - b[1]) >= 0.5]
+        want[p, n] = list(dict.fromkeys(v[0] for _, v in sorted(near))) or None
+    for bins in (True, False):
+        got = {(r["page_id"], r["line_no"]): r["hint"] and r["hint"]["values"] for r in L.hint_for_line(df, pool, bins=bins).collect()}
+        assert got == want
+    assert any(want.values())
+
+
+def test_many_hints_on_a_page(spark):
+    """30,000 lines and hints of one page: 900 million pairs, of which 30,000 are looked at."""
+    box = lambda y: F.struct(F.lit(0.0).alias("x0"), y.cast("double").alias("y0"), F.lit(9.0).alias("x1"), (y + 20).cast("double").alias("y1"))
+    rows = spark.range(30_000).select(F.lit("m").alias("menu_id"), F.lit("p").alias("page_id"), F.col("id").alias("line_no"), box(F.col("id") * 30).alias("bbox"))
+    hints = spark.range(30_000).select(F.lit("m").alias("menu_id"), F.lit("p").alias("page_id"), F.col("id").alias("hint_no"), F.array("id").alias("values"), box(F.col("id") * 30 + 4).alias("bbox"))
+    assert L.hint_for_line(rows, hints).filter(F.col("hint.values")[0] == F.col("line_no")).count() == 30_000
