@@ -219,23 +219,47 @@ def dismiss_pairs(pairs: DataFrame, dismissed: DataFrame) -> DataFrame:
 
 def merge_items(items: DataFrame, pairs: DataFrame) -> DataFrame:
     """Sources merged into targets (menu_id, target_id, source_id), in the sources' order: variants by label and price, the
-    longer description, the higher confidence, review only if all need it, reasons and images united."""
-    lead = pairs.select("menu_id", F.col("source_id").alias("item_id"), "target_id")
-    own = items.join(lead, ["menu_id", "item_id"], "left").withColumn("leader", F.coalesce("target_id", "item_id"))
-    fields = [c for c in items.columns if c not in ("menu_id",)]
-    group = F.array_sort(F.collect_list(F.struct(F.col("target_id").isNotNull().alias("is_source"), "item_pos", F.struct(*fields).alias("i"))), lambda a, b: F.when(F.struct(a["is_source"], a["item_pos"]) < F.struct(b["is_source"], b["item_pos"]), -1).when(F.struct(a["is_source"], a["item_pos"]) > F.struct(b["is_source"], b["item_pos"]), 1).otherwise(0))
-    g = own.groupBy("menu_id", "leader").agg(group.alias("g")).select("menu_id", F.transform("g", lambda x: x["i"]).alias("g"))
-    t = lambda name: F.element_at("g", 1)[name]
-    union = lambda name: F.array_distinct(F.flatten(F.transform("g", lambda i: i[name])))
-    add = lambda acc, v: F.when(F.exists(acc, lambda o: (F.coalesce(o["label"], F.lit("")) == F.coalesce(v["label"], F.lit(""))) & o["price_agorot"].eqNullSafe(v["price_agorot"])), acc).otherwise(F.array_append(acc, v))
-    variants = F.aggregate(F.flatten(F.transform(F.slice("g", F.lit(2), F.greatest(F.size("g") - 1, F.lit(0))), lambda i: i["variants"])), t("variants"), add)
-    long = lambda d: F.length(F.coalesce(d, F.lit("")))
-    description = F.aggregate(F.transform("g", lambda i: i["description"]), t("description"), lambda acc, d: F.when(long(d) > long(acc), d).otherwise(acc))
-    new = {
-        "variants": variants, "description": description, "confidence": F.array_max(F.transform("g", lambda i: i["confidence"])),
-        "needs_review": F.forall("g", lambda i: i["needs_review"]), "review_reasons": union("review_reasons"), "source_image_ids": union("source_image_ids"),
-    }
-    return g.select("menu_id", *[new.get(c, t(c)).alias(c) for c in fields]).select(*items.columns)
+    longer description, the higher confidence, review only if all need it, reasons and images united. Null lists count as empty.
+
+    Only items of the pairs are grouped. No group is collected: single values are partial aggregates, and lists are exploded,
+    reduced to first places in tasks before the shuffle, and put together from what is distinct."""
+    lead = staged(pairs.select("menu_id", F.col("source_id").alias("item_id"), "target_id"), "merges")
+    ends = lead.select("menu_id", "item_id").unionByName(lead.select("menu_id", F.col("target_id").alias("item_id"))).distinct()
+    lists = ("review_reasons", "source_image_ids")
+    alone = items.join(ends, ["menu_id", "item_id"], "left_anti").withColumns({c: F.array_distinct(c) for c in lists})
+    group, fields, place = ["menu_id", "leader"], [c for c in items.columns if c != "menu_id"], F.struct("is_source", "item_pos")
+    own = items.join(ends, ["menu_id", "item_id"], "left_semi").join(lead, ["menu_id", "item_id"], "left")
+    own = staged(own.select("menu_id", F.coalesce("target_id", "item_id").alias("leader"), F.col("target_id").isNotNull().alias("is_source"), "item_pos", F.struct(*fields).alias("i")), "merging")
+    review = F.bool_and("i.needs_review")
+    out = own.groupBy(*group).agg(
+        F.min_by("i", place).alias("t"), F.min_by("i.description", F.struct(-F.length(F.coalesce("i.description", F.lit(""))), "is_source", "item_pos")).alias("description"),
+        F.max("i.confidence").alias("confidence"), F.when(F.max(F.col("i.needs_review").isNull()) & F.coalesce(review, F.lit(True)), F.lit(None)).otherwise(review).alias("needs_review"),
+    )
+    for name in ("variants", *lists):
+        values = own.select(*group, "is_source", "item_pos", F.posexplode(f"i.{name}").alias("nth", "v"))
+        out = out.join((_distinct_variants if name == "variants" else _distinct_values)(values, group).withColumnRenamed("all", name), group, "left")
+    new = {c: F.coalesce(F.col(c), F.array().cast(items.schema[c].dataType)) for c in ("variants", *lists)} | {c: F.col(c) for c in ("description", "confidence", "needs_review")}
+    merged = out.select("menu_id", *[new.get(c, F.col(f"t.{c}")).alias(c) for c in fields])
+    return alone.select(*items.columns).unionByName(merged.select(*items.columns))
+
+
+def _in_place(at: str) -> Column:
+    """The values of collected (is_source, item_pos, nth, v), in order."""
+    return F.transform(F.array_sort(at), lambda x: x["v"])
+
+
+def _distinct_values(values: DataFrame, group: list[str]) -> DataFrame:
+    first = values.groupBy(*group, "v").agg(F.min(F.struct("is_source", "item_pos", "nth")).alias("at")).select(*group, "at.*", "v")
+    return first.groupBy(*group).agg(F.collect_list(F.struct("is_source", "item_pos", "nth", "v")).alias("at")).select(*group, _in_place("at").alias("all"))
+
+
+def _distinct_variants(values: DataFrame, group: list[str]) -> DataFrame:
+    """All of the target's variants; of a label and price it doesn't have, the sources' first."""
+    place = F.struct("is_source", "item_pos", "nth", "v")
+    key = [F.coalesce("v.label", F.lit("")).alias("label"), F.col("v.price_agorot").alias("price")]
+    each = values.groupBy(*group, *key).agg(F.min(place).alias("first"), F.collect_list(F.when(~F.col("is_source"), place)).alias("own"))
+    kept = each.select(*group, F.when(F.size("own") > 0, F.col("own")).otherwise(F.array("first")).alias("at"))
+    return kept.groupBy(*group).agg(F.flatten(F.collect_list("at")).alias("at")).select(*group, _in_place("at").alias("all"))
 
 
 def apply_auto_merges(items: DataFrame, **more) -> tuple[DataFrame, DataFrame]:

@@ -26,8 +26,9 @@ class ParseOptions:
     min_price: int = L.MIN_PRICE
     max_price: int = L.MAX_PRICE
     confidence: float = L.CONFIDENCE
-    #: Pages with more lines or hints than this are cut into blocks of about so many lines.
+    #: Pages with more lines or hints than the one are cut into blocks of about as many lines as the other.
     long_page: int = 10_000
+    block_lines: int = 10_000
 
 
 @dataclass
@@ -59,7 +60,7 @@ def classify_lines(lines: DataFrame, hints: DataFrame, options: ParseOptions = P
     """Usable lines with what each one is: ``is_header``, ``emits`` a dish, ``continues`` one, and ``heading``, ``item_no``.
 
     Prices are detected once and staged. Pages of usual length are windows; pages of more than ``options.long_page`` lines or hints
-    go by blocks of about so many lines, with the same results."""
+    go by blocks of about ``options.block_lines`` lines, with the same results."""
     split = staged(split_price_rows(lines, options), "price-rows")
     pool = hint_pool(split, hints)
     size = split.select(*PAGE, F.lit(1).alias("l"), F.lit(0).alias("h")).unionByName(pool.select(*PAGE, F.lit(0).alias("l"), F.lit(1).alias("h"))).groupBy(*PAGE).agg(F.sum("l").alias("l"), F.sum("h").alias("h"))
@@ -67,7 +68,7 @@ def classify_lines(lines: DataFrame, hints: DataFrame, options: ParseOptions = P
     if long.isEmpty():
         return _by_page(split, pool)
     whole = _by_page(split.join(long, PAGE, "left_anti"), pool.join(long, PAGE, "left_anti"))
-    return whole.unionByName(_by_blocks(split.join(long, PAGE, "left_semi"), pool.join(long, PAGE, "left_semi"), options.long_page))
+    return whole.unionByName(_by_blocks(split.join(long, PAGE, "left_semi"), pool.join(long, PAGE, "left_semi"), options.block_lines))
 
 
 def _kinds(usable: DataFrame) -> DataFrame:

@@ -314,6 +314,13 @@ def parse_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("menu_id", "name", "category", "description", "price_kind", prices.alias("prices"), "needs_review", F.array_join("review_reasons", "|").alias("reasons"))
 
 
+@query("w4_page_blocks", _with("texts") + "SELECT menu_id, CASE WHEN two THEN p_name || ' small large' WHEN weighed THEN p_name || ' ' || p_size || ' g' ELSE p_name END AS name, category, CASE WHEN p_size % 3 = 0 THEN 'with ' || p_brand || ' sauce' END AS description, row_number() OVER (PARTITION BY menu_id ORDER BY p_partkey) - 1 AS item_pos FROM parsed")
+def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of over 12 lines in blocks of about 250, which cut many of them: headings, dishes and continuations go on from block to block."""
+    out = parse.parse_pages(V.lines(spark, sf_dir), V.hints(spark, sf_dir), V.pages(spark, sf_dir), parse.ParseOptions(long_page=12, block_lines=250))
+    return out.items.join(out.categories.select("menu_id", "category_id", F.col("name").alias("category")), ["menu_id", "category_id"]).select("menu_id", "name", "category", "description", "item_pos")
+
+
 @query("a10_parse_stats", _with("texts") + "SELECT menu_id, CAST(sum(1 + CAST(fresh AS INTEGER) + CASE WHEN p_size % 3 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS lines, count(*) AS items_found, count(*) FILTER (WHERE price_kind <> 'fixed' OR p_size < 32) AS flagged FROM parsed GROUP BY menu_id")
 def parse_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse.parse_pages(V.lines(spark, sf_dir), V.hints(spark, sf_dir), V.pages(spark, sf_dir)).stats.drop("page_id")
@@ -498,6 +505,28 @@ def auto_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("menu_id", "item_id", "name", "category_id", "description", prices.alias("prices"), F.array_join("source_image_ids", ",").alias("images"), "needs_review", "confidence")
 
 
+@query("a16_merge_items", """WITH own AS (SELECT p_partkey // 16 AS menu_id, p_partkey - p_partkey % 4 AS leader, p_partkey % 4 AS nth, p_partkey, p_name, p_size, p_size % 7 = 0 AS review, CAST(p_size AS DOUBLE) / 50 AS confidence,
+      CASE WHEN p_size % 3 = 0 THEN 'with ' || p_brand || substr(p_name, 1, p_size % 5) END AS description, p_type, substr(p_brand, 7) AS brand, CASE WHEN p_size % 20 > 1 THEN 4000 + 1000 * (p_size % 2) END AS price FROM part),
+    led AS (SELECT o.*, t.p_partkey IS NOT NULL AS has FROM own o LEFT JOIN part t ON t.p_partkey = o.leader), grouped AS (SELECT * REPLACE (CASE WHEN has THEN leader ELSE p_partkey END AS leader) FROM led),
+    words AS (SELECT menu_id, leader, w, min(nth * 2 + k) AS first FROM (SELECT menu_id, leader, nth, unnest([p_type, brand]) AS w, unnest([0, 1]) AS k FROM grouped) GROUP BY 1, 2, 3),
+    reasons AS (SELECT menu_id, leader, string_agg(w, '|' ORDER BY first) AS reasons FROM words GROUP BY 1, 2),
+    prices AS (SELECT menu_id, leader, string_agg(coalesce(CAST(price AS VARCHAR), '-'), ',' ORDER BY first) AS prices FROM (SELECT menu_id, leader, price, min(nth) AS first FROM grouped GROUP BY 1, 2, 3) GROUP BY 1, 2)
+    SELECT g.menu_id, CAST(g.leader AS VARCHAR) AS item_id, arg_min(p_name, nth) AS name, arg_max(description, length(description) * 1000 - nth) AS description, max(confidence) AS confidence, bool_and(review) AS needs_review, any_value(reasons) AS reasons, any_value(prices) AS prices
+    FROM grouped g JOIN reasons USING (menu_id, leader) JOIN prices USING (menu_id, leader) GROUP BY g.menu_id, g.leader""")
+def merge_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every four dishes in a row are one, with reasons, confidences and descriptions that differ."""
+    part = V.table(spark, sf_dir, "part")
+    more = part.select(
+        F.col("p_partkey").cast("string").alias("item_id"), (F.col("p_size") / 50).cast("double").alias("confidence"), F.array("p_type", F.substring("p_brand", 7, 9)).alias("review_reasons"),
+        F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("with "), "p_brand", F.substring("p_name", F.lit(1), F.col("p_size") % 5))).alias("description"))
+    items = V.items(spark, sf_dir, simple_prices=True).drop("confidence", "review_reasons", "description").join(more, "item_id")
+    ends = items.select("menu_id", F.col("item_id").alias("source_id"), (F.col("item_id").cast("bigint") - F.col("item_id").cast("bigint") % 4).cast("string").alias("target_id"))
+    pairs = ends.filter("source_id <> target_id").join(items.select("menu_id", F.col("item_id").alias("target_id")), ["menu_id", "target_id"])
+    merged = dedupe.merge_items(items, pairs)
+    prices = F.array_join(F.transform("variants", lambda v: F.coalesce(v["price_agorot"].cast("string"), F.lit("-"))), ",")
+    return merged.select("menu_id", "item_id", "name", "description", "confidence", "needs_review", F.array_join("review_reasons", "|").alias("reasons"), prices.alias("prices"))
+
+
 @query("p16_suggestions", f"WITH RECURSIVE {_PAIRS}, {_LEADERS} SELECT menu_id, target_id, source_id FROM leads WHERE NOT auto AND CAST(source_id AS BIGINT) % 5 <> 0")
 def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedupe.find_duplicates(V.items(spark, sf_dir, simple_prices=True))

@@ -45,6 +45,64 @@ def test_merge_keeps_sizes_in_order(spark):
     assert got[0]["description"] == "longest" and got[0]["source_image_ids"] == ["1", "2"]
 
 
+def merged_one_by_one(items, pairs):
+    """A source after the other taken into its target, as dicts by (menu_id, item_id)."""
+    out = {(i["menu_id"], i["item_id"]): i | {c: list(dict.fromkeys(i[c] or [])) for c in ("review_reasons", "source_image_ids")} for i in items}
+    key = lambda v: (v["label"] or "", v["price_agorot"])
+    position = {(i["menu_id"], i["item_id"]): i["item_pos"] for i in items}
+    for menu, target, source in sorted(pairs, key=lambda p: position[p[0], p[2]]):
+        a, b = out[menu, target], out.pop((menu, source))
+        variants = list(a["variants"])
+        for v in b["variants"]:
+            if key(v) not in map(key, variants):
+                variants.append(v)
+        longer = len(b["description"] or "") > len(a["description"] or "")
+        out[menu, target] = a | {
+            "variants": variants, "description": (b if longer else a)["description"], "confidence": max(a["confidence"], b["confidence"]), "needs_review": a["needs_review"] and b["needs_review"],
+            "review_reasons": list(dict.fromkeys(a["review_reasons"] + b["review_reasons"])), "source_image_ids": list(dict.fromkeys(a["source_image_ids"] + b["source_image_ids"])),
+        }
+    return out
+
+
+def test_merges_equal_merging_one_by_one(spark):
+    rng = random.Random(21)
+    rows, pairs = [], []
+    for m in range(4):
+        for k in range(40):
+            r = list(item(f"{k:02d}", (k * 17) % 40, f"n{k}", [rng.choice([None, 100, 200, 300]) for _ in range(rng.randrange(4))], rng.choice("123"), rng.choice([None, "", "ab", "cd", "longer", "longed"]), menu=f"m{m}"))
+            r[6] = [(i, rng.choice([None, "", "L"]), p, n) for i, _, p, n in r[6]]
+            r[8], r[9], r[10], r[11] = rng.random(), rng.random() < 0.7, rng.choices("xyz", k=rng.randrange(3)), rng.choices("1234", k=rng.randrange(4))
+            rows.append(tuple(r))
+        pairs += [(f"m{m}", f"{rng.randrange(8):02d}", f"{k:02d}") for k in range(8, 40) if rng.random() < 0.8]
+    df = frame(spark, *rows)
+    want = merged_one_by_one([r.asDict(recursive=True) for r in df.collect()], pairs)
+    got = dedupe.merge_items(df, spark.createDataFrame(pairs, "menu_id string, target_id string, source_id string")).collect()
+    assert {(r["menu_id"], r["item_id"]): r.asDict(recursive=True) for r in got} == want and len(got) == len(want)
+
+
+def test_merge_of_nothing_and_of_null_lists(spark):
+    none = spark.createDataFrame([], "menu_id string, target_id string, source_id string")
+    one, two = list(item("a", 0, "x", 100, "1")), list(item("b", 1, "x", 100, "2"))
+    two[6] = two[10] = two[11] = None
+    df = frame(spark, tuple(one), tuple(two))
+    assert dedupe.merge_items(df, none).count() == 2 and dedupe.merge_items(df.limit(0), none).count() == 0
+    got = dedupe.merge_items(df, spark.createDataFrame([("m", "a", "b")], none.schema)).collect()
+    assert len(got) == 1 and got[0]["source_image_ids"] == ["1"] and got[0]["review_reasons"] == [] and len(got[0]["variants"]) == 1
+
+
+def test_a_leader_with_many_sources(spark):
+    """60,000 sources of one dish: no row of any shuffle holds the group."""
+    n, c = 60_000, F.col("id")
+    variant = F.struct(c.cast("string").alias("id"), F.lit(None).cast("string").alias("label"), (c % 50).alias("price_agorot"), F.lit(False).alias("needs_review"))
+    df = spark.range(n).select(
+        F.lit("m").alias("menu_id"), c.cast("string").alias("item_id"), c.alias("item_pos"), F.lit("x").alias("name"), F.lit("d").alias("description"), F.lit("c").alias("category_id"), F.array(variant).alias("variants"),
+        F.lit("fixed").alias("price_kind"), (c / n).alias("confidence"), F.lit(True).alias("needs_review"), F.array((c % 7).cast("string")).alias("review_reasons"), F.array((c % 9).cast("string")).alias("source_image_ids"), F.lit("ocr").alias("origin"),
+    )
+    r = dedupe.merge_items(df, df.filter("item_id <> '0'").select("menu_id", F.lit("0").alias("target_id"), F.col("item_id").alias("source_id"))).collect()
+    assert len(r) == 1 and [v["price_agorot"] for v in r[0]["variants"]] == list(range(50)) and r[0]["source_image_ids"] == [str(k) for k in range(9)]
+    assert r[0]["confidence"] == (n - 1) / n and r[0]["item_id"] == "0" and r[0]["needs_review"]
+
+
 def sequential(rows, threshold=0.74):
     used, out = set(), []
     for i, a in enumerate(rows):

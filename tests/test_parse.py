@@ -132,7 +132,7 @@ def test_windows_equal_the_sequential_rule(spark, long_page):
         rows += page(menu, page_id=f"p{p}")
         want |= {(f"p{p}", no): (h, " ".join(d) or None) for no, h, d in own}
     pages = spark.createDataFrame([("m", f"p{p}", p, 1000.0) for p in range(25)], PAGES)
-    out = parse.parse_pages(lines_of(spark, rows), spark.createDataFrame([], HINTS), pages, parse.ParseOptions(long_page=long_page))
+    out = parse.parse_pages(lines_of(spark, rows), spark.createDataFrame([], HINTS), pages, parse.ParseOptions(long_page=long_page, block_lines=long_page))
     named = out.items.join(out.categories.select("category_id", F.col("name").alias("head")), "category_id", "left")
     assert {(r["page_id"], r["line_no"]): (r["head"], r["description"]) for r in named.collect()} == want
 
@@ -144,7 +144,7 @@ def test_blocks_equal_pages(spark):
     rows = [r for p, n in enumerate((120, 3, 40, 8)) for r in page([(t, {"ltr": True} | o) for t, o in rng.choices(kinds, k=n)], page_id=f"p{p}")]
     hints = [("m", f"p{p}", n, [rng.randrange(10, 300) * 100], (10.0, float(y), 60.0, float(y + 24))) for p in range(4) for n, y in enumerate(rng.sample(range(0, 4000, 7), 60))]
     get = lambda long_page: {(r["page_id"], r["line_no"]): r.asDict(recursive=True) for r in parse.classify_lines(
-        lines_of(spark, rows), spark.createDataFrame(hints, HINTS), parse.ParseOptions(long_page=long_page)).drop("segment").collect()}
+        lines_of(spark, rows), spark.createDataFrame(hints, HINTS), parse.ParseOptions(long_page=long_page, block_lines=long_page)).drop("segment").collect()}
     whole, blocks = get(10_000), get(7)
     assert whole == blocks and any(r["inferred"] for r in whole.values()) and any(r["continues"] for r in whole.values())
 
