@@ -110,3 +110,51 @@ def test_equal_sessions_are_one_problem(spark):
     assert len(got) == 10_004 and all(got[k] == got[0] for k in (1, 5, 9_999)) and got[20_003] == got[20_002] != got[0]
     for i, (t, b, u) in {0: (11_200, 1_200, {}), 20_000: (11_300, 1_200, {}), 20_001: (11_200, 0, {}), 20_003: (11_200, 1_200, {"d": 3})}.items():
         assert got[i] == sequential(MENU, t * 10_000 // (10_000 + b), 0, t, b, u, R.RuleSet())
+
+
+@pytest.mark.parametrize("node_budget, together", [(120_000, 1_000_000), (60, 1_000_000), (60, 1), (120_000, 5_000)])
+def test_families_equal_the_sequential_search(spark, monkeypatch, node_budget, together):
+    """Sessions of a menu that differ in money take theirs from one search, in small batches, with and without a binding node budget and
+    where a family is too large to be searched together."""
+    monkeypatch.setattr(R, "TOGETHER", together)
+    monkeypatch.setattr(R, "LOOKED_AT", 500)
+    monkeypatch.setattr(R, "PIECE", 10)
+    rng, rules = random.Random(7), R.RuleSet(node_budget=node_budget)
+    menus = {f"r{k}": [(f"d{i}", 500 + 100 * rng.randrange(60), f"c{i % 4}", f"n{i % 3}") for i in range(2 + 3 * k)] for k in range(4)}
+    sessions, units, want, count = [], [], {}, {}
+    for k in range(120):
+        total, tip, subtotal = rng.choice([900, 4_000, 12_000, 12_500, 20_000, 45_000]), rng.choice([0, 1_250]), rng.choice([0, 300])
+        sessions.append((k, f"r{k % 4}", max(0, total * 10_000 // (10_000 + tip) - subtotal), subtotal, total, tip))
+        units += [(k, "c1", k % 3), (k, "other", 1)]
+    # A budget that the whole total doesn't cover: nodes beyond that total count, but aren't suggested.
+    sessions.append((500, "r3", 20_000, 8_000, 24_000, 1_000))
+    every = R.RuleSet(node_budget=node_budget, max_suggestions=10**9)
+    for k, m, budget, subtotal, total, tip in sessions:
+        own = {c: u for s, c, u in units if s == k}
+        want[k] = sequential(menus[m], budget, subtotal, total, tip, own, rules)
+        paths = sequential(menus[m], budget, 0, budget, 0, own, every)
+        count[k] = (len(paths), max((spent for _, spent, _ in paths), default=0))
+    df = spark.createDataFrame(sessions, "session_id long, menu_id string, remaining_food_budget_agorot long, food_subtotal_agorot long, total_budget_agorot long, tip_bp long")
+    dishes = [(m, f"i{k}", k, f"v{k}", 0, n, None, c, cn, p) for m, own in menus.items() for k, (n, p, c, cn) in enumerate(own)]
+    cand = spark.createDataFrame(dishes, "menu_id string, item_id string, item_pos long, variant_id string, variant_pos int, name string, variant_label string, category_id string, category_name string, price_agorot long")
+    rows = R._with_dishes(df, cand, spark.createDataFrame(units, "session_id long, category_id string, units long"), rules).toArrow()
+    search = lambda answer: [r for b in R._search_families(rules, answer)(iter(rows.combine_chunks().to_batches(max_chunksize=9))) for r in b.to_pylist()]
+    got: dict[int, list] = {}
+    for r in sorted(search(R._suggested), key=lambda r: (r["session_id"], r["rank"])):
+        got.setdefault(r["session_id"], []).append(([(x["name"], x["qty"]) for x in r["lines"]], r["spent"], pytest.approx(r["score"], abs=1e-12)))
+    assert got == {k: w for k, w in want.items() if w}
+    assert {r["session_id"]: (r["nodes"], r["most"]) for r in search(R._counted)} == {k: c for k, c in count.items() if c[0]}
+
+
+def test_pools_are_neither_sorted_nor_shuffled(spark):
+    """A session's places come from its menu's, so nothing follows the join of sessions and dishes."""
+    sessions = [(k, "m", t, 0, 0) for k, t in enumerate([1_000, 1_800, 2_199, 2_200, 6_000, 60_000])]
+    menu = [*MENU, ("תה", 1800, "d", "שתייה"), ("x", 50, "s", "s")]
+    out = pooled(spark, sessions, {"m": menu}, [(4, "d", 2)])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Repartition" not in plan
+    prices = sorted((p for _, p, _, _ in menu if p >= 100), reverse=True)
+    for k, _, t, _, _ in sessions:
+        own = out.filter(F.col("session_id") == k).orderBy("idx").collect()
+        assert [(r["idx"], r["price_agorot"]) for r in own] == list(enumerate(p for p in prices if p <= t))
+        assert all(r["units"] == (2 if (k, r["category_id"]) == (4, "d") else 0) for r in own)
