@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..sources.staging import staged
+from .skew import in_blocks
 
 KEY = ["session_id", "menu_id", "item_id", "variant_id"]
 ORDER = ["ts", "event_id"]
@@ -43,8 +44,8 @@ def _split(events: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame | N
         return events, None
     long_lines = long_lines.select(*_marked_key())
     usual = events.join(long_lines, _same_line(events, long_lines), "left_anti")
-    own = events.join(long_lines, _same_line(events, long_lines), "left_semi").repartitionByRange(-(-rows // block_rows), *KEY, *ORDER)
-    return usual, staged(own.withColumn("_block", F.spark_partition_id()), "blocks")
+    own = events.join(long_lines, _same_line(events, long_lines), "left_semi")
+    return usual, staged(in_blocks(own, rows, block_rows, *KEY, *ORDER), "blocks")
 
 
 def _fold(events: DataFrame, by: list[str]) -> DataFrame:

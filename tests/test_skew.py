@@ -26,3 +26,15 @@ def test_a_hot_key_is_spread_over_tasks(spark, monkeypatch):
         assert sizes.agg(F.max("count")).first()[0] < 0.45 * 20_000
     plain = left.hint("shuffle_hash").join(right.hint("merge"), "k").groupBy(F.spark_partition_id()).count()
     assert plain.agg(F.max("count")).first()[0] > 0.5 * 20_000
+
+
+def test_small_blocks_share_partitions(spark):
+    """Blocks rise with the order, hold successive rows and are no partitions of their own."""
+    rows = 40_000
+    own = spark.range(rows).select((F.col("id") * 7919 % rows).alias("id"), (F.col("id") % 3).alias("line"))
+    out = skew.in_blocks(own, rows, 50, "id")
+    assert out.rdd.getNumPartitions() <= 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = sorted(map(tuple, out.groupBy("_block").agg(F.min("id"), F.max("id"), F.count("*")).collect()))
+    assert sum(n for *_, n in found) == rows and all(hi - lo + 1 == n <= 50 for _, lo, hi, n in found) and len(found) <= rows // 50 + 16
+    assert [lo for _, lo, _, _ in found] == sorted(lo for _, lo, _, _ in found)
+    assert skew.in_blocks(own, rows, 10**6, "id").select("_block").distinct().count() == 1
