@@ -16,6 +16,7 @@ from ..functions.columns import computed
 from ..functions.lexicon import NO_NAME, REASONS, UNCATEGORIZED
 from ..operators import lines as L
 from ..operators.menu import attach_categories, category_id, make_variant
+from ..operators.skew import in_blocks
 from ..sources.staging import staged
 
 PAGE, LINE = L.PAGE, L.LINE
@@ -111,7 +112,7 @@ def _by_blocks(split: DataFrame, pool: DataFrame, block_lines: int) -> DataFrame
     block gives each what came before it: the heading, whether a dish was begun since, and then how many dishes there were."""
     c, block = F.col, [*PAGE, "_block"]
     own = split.filter("not price_only")
-    blocks = staged(own.repartitionByRange(-(-own.count() // block_lines) or 1, *LINE).withColumn("_block", F.spark_partition_id()), "page-blocks")
+    blocks = staged(in_blocks(own, own.count(), block_lines, *LINE), "page-blocks")
     usable = L.reconcile_with_hints(L.hint_for_line(blocks, pool)).join(L.median_height(blocks), PAGE)
     local = staged(_carried(_kinds(usable), block), "block-lines")
     before = Window.partitionBy(*PAGE).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
