@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from menuspark.operators import lines as L
-from menuspark.plans import parse
+from menuspark.plans import parse, views
 from tests.fixtures import HEBREW, HINTS, LINES, PAGES, line, page
 
 
@@ -181,3 +181,10 @@ def test_many_hints_on_a_page(spark):
     rows = spark.range(30_000).select(F.lit("m").alias("menu_id"), F.lit("p").alias("page_id"), F.col("id").alias("line_no"), box(F.col("id") * 30).alias("bbox"))
     hints = spark.range(30_000).select(F.lit("m").alias("menu_id"), F.lit("p").alias("page_id"), F.col("id").alias("hint_no"), F.array("id").alias("values"), box(F.col("id") * 30 + 4).alias("bbox"))
     assert L.hint_for_line(rows, hints).filter(F.col("hint.values")[0] == F.col("line_no")).count() == 30_000
+
+
+def test_lines_of_one_file_are_many_tasks(spark, tmp_path):
+    """Reading a line is much work for few bytes: lines of one file are spread before it."""
+    spark.range(2_000).selectExpr("id as p_partkey", "cast(id % 50 as int) as p_size").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    sizes = [r[0] for r in views.right_lines(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert len(sizes) >= 4 and sum(sizes) == 2_000 and max(sizes) < 1_000
