@@ -116,6 +116,7 @@ def to_payload(sessions: DataFrame, updated_at: Column | None = None) -> DataFra
 
 
 def save_sessions(sessions: DataFrame, path: str, *, buckets: int = 64, mode: str = "append", updated_at: Column | None = None) -> None:
-    """Payloads as Parquet, partitioned by a hash of the session, one file a bucket."""
+    """Payloads as Parquet, partitioned by a hash of the session. Spark deals rows by bucket and cuts large buckets by its advisory
+    partition size, so a task's rows don't grow with the sessions; small buckets are one file each."""
     out = to_payload(sessions, updated_at).withColumn("bucket", F.pmod(F.xxhash64("session_id"), F.lit(buckets)))
-    out.repartition(buckets, "bucket").write.mode(mode).partitionBy("bucket").parquet(path)
+    out.hint("rebalance", "bucket").write.mode(mode).partitionBy("bucket").parquet(path)

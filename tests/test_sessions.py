@@ -55,3 +55,16 @@ def test_menus_are_written(spark, tmp_path):
     parsed = Parsed(*(spark.createDataFrame([("m", i) for i in range(3)], "menu_id string, v int") for _ in range(3)))
     menus.write_menu(parsed, str(tmp_path / "menu"), buckets=2)
     assert menus.read_menu(spark, str(tmp_path / "menu")).items.count() == 3
+
+
+def test_a_bucket_is_written_by_many_tasks(spark, tmp_path):
+    """A task's rows don't grow with the bucket: large buckets are cut, and stay in their folder."""
+    good, _ = S.load_sessions(spark.createDataFrame([(i, json.dumps(GOOD)) for i in range(4_000)], "session_id long, json string").repartition(8))
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(size, "16k")
+    try:
+        S.save_sessions(good, str(tmp_path / "s"), buckets=2)
+    finally:
+        spark.conf.unset(size)
+    files = [len(list((tmp_path / "s" / f"bucket={b}").glob("*.parquet"))) for b in (0, 1)]
+    assert min(files) > 1 and sorted(r["session_id"] for r in spark.read.parquet(str(tmp_path / "s")).select("session_id").collect()) == list(range(4_000))
