@@ -128,6 +128,10 @@ def trigrams(normal: Column) -> Column:
         return F.flatten(F.transform(starts, lambda at, k: F.transform(F.sequence(F.lit(1), stop(k) - at), lambda i: F.concat(F.get(g, at), F.lit("#"), i.cast("string")))))
 
     def scanned(g: Column) -> Column:
+        # Most names repeat none.
+        return F.when(F.size(F.array_distinct(g)) == F.size(g), F.transform(g, lambda x: F.concat(x, F.lit("#1")))).otherwise(runs(g))
+
+    def runs(g: Column) -> Column:
         starts = F.filter(F.sequence(F.lit(0), F.size(g) - 1), lambda i: (i == 0) | (F.get(g, i) != F.get(g, i - 1)))
         return bound(starts, lambda s: numbered(g, s))
 

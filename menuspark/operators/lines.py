@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import money, text as T
-from ..functions.columns import computed
+from ..functions.columns import bound, computed
 from ..functions.lexicon import OPTION
 from ..sources.staging import staged
 from .skew import join_spread
@@ -28,25 +28,28 @@ def detect_prices(lines: DataFrame, *, min_price: int = MIN_PRICE, max_price: in
     A number counts if it is marked as currency, or lies in the outer 35 % of the row at its more crowded edge, or is alone and
     the row's first or last word. Numbers beside units and percentages don't.
     """
-    word = lambda w, i: F.struct(
-        i.alias("index"), w["bbox"]["x0"].cast("double").alias("x0"), w["bbox"]["x1"].cast("double").alias("x1"), T.clean_word(w["text"]).alias("raw"),
-        money.parse_money(T.clean_word(w["text"])).alias("value"), T.is_unit_word(w["text"]).alias("unit"), T.is_currency_word(w["text"]).alias("currency"))
-    out = computed(lines, _w=F.transform("words", word))
-    n = F.size("_w")
-    flag = lambda i, name: F.coalesce(F.try_element_at("_w", i)[name], F.lit(False))
+    raw = lambda i: F.get("_t", i)
+    box = lambda w, x: w["bbox"][x].cast("double")
+    word = lambda w, i: F.struct(i.alias("index"), box(w, "x0").alias("x0"), box(w, "x1").alias("x1"), raw(i).alias("raw"))
+    is_number = lambda t: F.replace(t, F.lit("₪"), F.lit("")).rlike(r"^\d{1,5}(?:[.,]\d{1,2})?\z") | t.rlike(r"^₪[\s ]*\d")
+    # Few words are numbers, and only their neighbours are looked up in the lists.
+    out = computed(lines, _t=F.transform("words", lambda w: T.clean_word(w["text"])))
+    out = computed(out, _w=F.filter(F.transform("words", word), lambda w: is_number(w["raw"])))
+    out = computed(out, _w=F.transform("_w", lambda w: w.withField("value", money.parse_money(w["raw"]))))
+    n = F.size("_t")
+
+    def counts(w: Column) -> Column:
+        before, after = raw(w["index"] - 1), raw(w["index"] + 1)
+        percent = F.coalesce(after.startswith("%"), F.lit(False)) | w["raw"].endswith("%")
+        inside = (w["index"] != 0) & (w["index"] != n - 1)
+        return w["value"].between(min_price, max_price) & ~percent & ~T.is_unit_word(after) & ~(inside & T.is_unit_word(before))
 
     def candidate(w: Column) -> Column:
-        before, after = w["index"], w["index"] + 2  # 1-based places of the neighbours
-        previous = lambda name: F.when(w["index"] > 0, flag(F.greatest(before, F.lit(1)), name)).otherwise(False)
-        number = F.replace(w["raw"], F.lit("₪"), F.lit("")).rlike(r"^\d{1,5}(?:[.,]\d{1,2})?\z") | w["raw"].rlike(r"^₪[\s ]*\d")
-        percent = F.coalesce(F.try_element_at("_w", after)["raw"].startswith("%"), F.lit(False)) | w["raw"].endswith("%")
-        inside = (w["index"] != 0) & (w["index"] != n - 1)
-        ok = number & w["value"].between(min_price, max_price) & ~flag(after, "unit") & ~percent & ~(previous("unit") & inside)
-        explicit = w["raw"].contains("₪") | previous("currency") | flag(after, "currency")
-        return F.struct(F.coalesce(ok, F.lit(False)).alias("ok"), w["value"].alias("value"), w["index"].alias("index"), w["x0"].alias("x0"), w["x1"].alias("x1"), explicit.alias("explicit"))
+        explicit = w["raw"].contains("₪") | T.is_currency_word(raw(w["index"] - 1)) | T.is_currency_word(raw(w["index"] + 1))
+        return F.struct(w["value"].alias("value"), w["index"].alias("index"), w["x0"].alias("x0"), w["x1"].alias("x1"), explicit.alias("explicit"))
 
-    out = computed(out, _c=F.filter(F.transform("_w", candidate), lambda c: c["ok"]))
-    low, high = F.array_min(F.transform("_w", lambda w: w["x0"])), F.array_max(F.transform("_w", lambda w: w["x1"]))
+    out = computed(out, _c=F.transform(F.filter("_w", counts), candidate))
+    low, high = F.array_min(F.transform("words", lambda w: box(w, "x0"))), F.array_max(F.transform("words", lambda w: box(w, "x1")))
     band = F.greatest(F.lit(1.0), high - low) * EDGE_BAND
     out = computed(out, _e=F.filter("_c", lambda c: c["explicit"]), _l=F.filter("_c", lambda c: c["x1"] <= low + band), _r=F.filter("_c", lambda c: c["x0"] >= high - band))
     alone = (F.size("_c") == 1) & F.exists("_c", lambda c: (c["index"] == 0) | (c["index"] == n - 1))
@@ -56,18 +59,23 @@ def detect_prices(lines: DataFrame, *, min_price: int = MIN_PRICE, max_price: in
         .when(F.size("_l") >= F.size("_r"), F.col("_l"))
         .otherwise(F.col("_r"))
     )
+    out = computed(out, _h=chosen)
     direction = T.line_direction(F.array_join(F.transform("words", lambda w: w["text"]), ""))
-    sign = F.when(direction == "rtl", -1.0).otherwise(1.0)
-    ordered = F.array_sort(F.transform(chosen, lambda c: F.struct((sign * c["x0"]).alias("k"), c["index"].alias("index"), c.alias("c"))))
+    sign = F.when((F.size("_h") > 1) & (direction == "rtl"), -1.0).otherwise(1.0)  # one price has no order
+    ordered = F.array_sort(F.transform("_h", lambda c: F.struct((sign * c["x0"]).alias("k"), c["index"].alias("index"), c.alias("c"))))
     hits = F.transform(ordered, lambda o: F.struct(o["c"]["value"].alias("value"), o["c"]["index"].cast("int").alias("index"), o["c"]["x0"].alias("x0"), o["c"]["x1"].alias("x1"), o["c"]["explicit"].alias("explicit")))
-    return computed(out, hits=F.coalesce(hits, F.array().cast(HITS))).drop("_w", "_c", "_e", "_l", "_r")
+    return computed(out, hits=F.coalesce(hits, F.array().cast(HITS))).drop("_t", "_w", "_c", "_e", "_l", "_r", "_h")
 
 
 def strip_prices(words: Column, hits: Column) -> Column:
     """A line's text without its price words and the currency words beside them."""
     own = F.transform(F.filter(hits, lambda h: h["index"] >= 0), lambda h: h["index"])
-    beside = lambda i: F.array_contains(own, i - 1) | F.array_contains(own, i + 1)
-    kept = F.filter(words, lambda w, i: ~(F.array_contains(own, i) | (beside(i) & T.is_currency_word(w["text"]))))
+
+    def left(at: Column) -> Column:
+        beside = lambda i: F.array_contains(at, i - 1) | F.array_contains(at, i + 1)
+        return F.filter(words, lambda w, i: ~(F.array_contains(at, i) | (beside(i) & T.is_currency_word(w["text"]))))
+
+    kept = F.when(F.size(own) == 0, words).otherwise(bound(own, left))
     return T.clean_line_text(F.array_join(F.transform(kept, lambda w: T.clean_word(w["text"])), " "))
 
 
@@ -187,7 +195,7 @@ def line_height(box: Column) -> Column:
 
 
 def is_likely_header(text: Column, height: Column, median: Column) -> Column:
-    tall = (T.word_count(text) <= 4) & (median > 0) & (height >= median * 1.25)
+    tall = (median > 0) & (height >= median * 1.25) & (T.word_count(text) <= 4)
     return (F.length(text) > 0) & (F.length(text) <= 34) & (T.is_category_word(text) | F.coalesce(tall, F.lit(False)))
 
 

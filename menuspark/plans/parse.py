@@ -76,7 +76,9 @@ def _kinds(usable: DataFrame) -> DataFrame:
     """Lines with ``median_height``, with what each is by itself: ``is_header``, ``named``, ``fits`` a name, ``wordy``, ``market``."""
     c = F.col
     out = usable.withColumn("is_header", (F.size("hits") == 0) & L.is_likely_header(c("clean"), L.line_height(c("bbox")), c("median_height")))
-    out = computed(out, market=T.market_pattern(c("clean")), wordy=T.is_continuation(c("clean")))
+    # Neither counts for headings and lines with prices.
+    bare = (F.size("hits") == 0) & ~c("is_header")
+    out = computed(out, market=F.when(bare, T.market_pattern(c("clean"))), wordy=F.when(bare, T.is_continuation(c("clean"))).otherwise(False))
     return out.withColumn("named", (F.size("hits") > 0) | c("market").isNotNull()).withColumn("fits", F.length("clean").between(2, 40))
 
 
@@ -85,8 +87,10 @@ def _carried(kinds: DataFrame, by: list[str]) -> DataFrame:
     c, order = F.col, Window.partitionBy(*by).orderBy("line_no")
     out = kinds.withColumn("heading", F.last(F.when(c("is_header"), T.heading_name(c("clean"))), ignorenulls=True).over(order))
     out = out.withColumn("segment", F.sum(F.when(c("is_header"), 1).otherwise(0)).over(order))
-    before = Window.partitionBy(*by, "segment").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    return out.withColumn("begun", F.coalesce(F.max(_starts()).over(before), F.lit(False)))
+    # The last heading and the last dish before the line, in the same order, so that one sort serves all.
+    out = out.withColumn("_head", F.last(F.when(c("is_header"), c("line_no")), ignorenulls=True).over(order))
+    out = out.withColumn("_dish", F.last(F.when(_starts(), c("line_no")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    return out.withColumn("begun", c("_dish").isNotNull() & (c("_head").isNull() | (c("_dish") > c("_head")))).drop("_head", "_dish")
 
 
 def _starts() -> Column:
@@ -135,7 +139,7 @@ def page_items(classified: DataFrame, options: ParseOptions = ParseOptions()) ->
     )
     out = more.select(*PAGE, "row.*", "description")
     priced = F.size("hits") > 0
-    labels = T.detect_variant_labels(c("clean"))
+    labels = F.when(F.size("hits") > 1, T.detect_variant_labels(c("clean"))).otherwise(F.array().cast("array<string>"))  # one price has no label
     key = F.concat_ws("\x1f", c("menu_id").cast("string"), c("page_id").cast("string"), c("line_no").cast("string"))
     name = L.strip_prices(c("words"), c("hits"))
     unsure = F.greatest(F.lit(0.0), F.least(F.lit(1.0), c("confidence").cast("double") / 100))

@@ -18,9 +18,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.lexicon import UNCATEGORIZED
 from ..operators import dedupe, menu
 from ..plans.parse import parse_pages
 from ..sources.pages import flatten_blocks
@@ -43,7 +44,12 @@ def _read(spark: SparkSession, path: str, name: str) -> DataFrame:
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
+        return _none(spark, schema)
+
+
+def _none(spark: SparkSession, schema: str) -> DataFrame:
+    """No rows, which the optimizer knows: what they are joined to isn't read for them."""
+    return spark.createDataFrame([], schema).limit(0)
 
 
 def _latest(menus: DataFrame) -> DataFrame:
@@ -61,11 +67,12 @@ def _bucket(buckets: int):
 
 
 def _append(path: str, tables: dict[str, DataFrame], versions: list[str], buckets: int) -> str:
-    """Write the tables as a version that sorts after ``versions``; an attempt that fails leaves one that nothing points to."""
+    """Write the tables as a version that sorts after ``versions``; an attempt that fails leaves one that nothing points to. Spark cuts
+    large buckets by its advisory partition size, so a task's rows don't grow with the batch."""
     number = max((int(v.partition("-")[0]) for v in versions), default=0) + 1
     version = f"{number:012d}-{uuid.uuid4().hex}"
     for name in TABLES:
-        tables[name].withColumn("bucket", _bucket(buckets)).repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/{name}/version={version}")
+        tables[name].withColumn("bucket", _bucket(buckets)).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{path}/{name}/version={version}")
     return version
 
 
@@ -105,19 +112,24 @@ def take_in(pages: DataFrame, path: str, *, buckets: int = BUCKETS) -> None:
     hit = [r[0] for r in touched.select(_bucket(buckets).alias("b")).distinct().collect()]  # at most the number of buckets
     if not hit:
         return
-    parsed = parse_pages(flatten_blocks(own), spark.createDataFrame([], NO_HINTS), own)
+    parsed = parse_pages(flatten_blocks(own), _none(spark, NO_HINTS), own)
     latest = staged(_latest(_read(spark, path, "menus").filter(F.col("bucket").isin(hit)).join(touched, "menu_id", "left_semi")), "latest")
     versions = [r[0] for r in latest.select("version").distinct().collect()]  # at most the batches since the last compaction
     old = {name: _read(spark, path, name).filter(F.col("bucket").isin(hit) & F.col("version").isin(versions)).join(latest, ["menu_id", "version"], "left_semi").drop("version", "bucket") for name in ("items", "categories", "names", "pairs")}
     names = parsed.categories.select("menu_id", "name", F.col("order").alias("seq"))
     categories = staged(menu.ensure_categories(old["categories"], names), "categories")
-    new = parsed.items.join(parsed.categories.select("menu_id", "category_id", F.col("name").alias("category_name")), ["menu_id", "category_id"], "left")
-    new = menu.attach_categories(new, categories)
-    kept = old["items"].join(new.select("menu_id", "item_id"), ["menu_id", "item_id"], "left_anti")
+    columns = old["items"].columns
+    # The dishes are put together once: which old ones stay, after which place the new ones come, and the union all read them.
+    new = staged(parsed.items.select(*columns), "new-items")
+    kept = staged(old["items"].join(new.select("menu_id", "item_id"), ["menu_id", "item_id"], "left_anti"), "kept")
     last = kept.groupBy("menu_id").agg(F.max("item_pos").alias("last"))
-    new = new.join(last, "menu_id", "left").withColumn("item_pos", F.coalesce("last", F.lit(-1)) + F.row_number().over(Window.partitionBy("menu_id").orderBy("item_pos")))
-    own_ids = staged(kept.select("menu_id", "item_id"), "kept")
-    merged = merged_in(staged(kept.unionByName(new.select(*kept.columns)), "menu-items"), own_ids, old["names"], old["pairs"])
+    # A page's headings become the menu's categories of the same name; dishes meet them by the ids that they have.
+    headings = parsed.categories.select("menu_id", F.col("category_id").alias("heading_id"), F.col("name").alias("category_name"))
+    known = menu.attach_categories(headings, categories).select("menu_id", "heading_id", F.col("category_id").alias("known_id"))
+    new = new.withColumnRenamed("category_id", "heading_id").join(known, ["menu_id", "heading_id"], "left").withColumn("category_id", F.coalesce("known_id", F.lit(UNCATEGORIZED)))
+    # Places of a batch are 0, 1, 2 and so on in each menu.
+    new = staged(new.join(last, "menu_id", "left").withColumn("item_pos", F.coalesce("last", F.lit(-1)) + 1 + F.col("item_pos")).select(*columns), "numbered")
+    merged = merged_in(kept.unionByName(new), kept.select("menu_id", "item_id"), old["names"], old["pairs"])
     _append(path, {**merged, "categories": categories, "menus": touched.withColumn("confirmed", F.lit(False))}, versions, buckets)
 
 

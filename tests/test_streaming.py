@@ -160,3 +160,32 @@ def test_batches_into_one_menu_equal_the_full_search(spark, tmp_path):
             a, b = (sorted(map(str, intake.working(spark, p, name).collect())) for p in (kept, anew))
             assert a == b
     assert intake.working(spark, kept, "names").filter("fresh").count() < intake.working(spark, kept, "names").count()
+
+
+def test_a_batch_puts_its_dishes_together_once(spark, tmp_path, monkeypatch):
+    """What a batch's dishes are put together from is aggregated once, also where the menu has dishes that may be replaced."""
+    first, again = (spark.createDataFrame([record("m", p, k, HEBREW)], P.PAGES) for k, p in enumerate("ab"))
+    path, plans, staged = str(tmp_path / "menus"), [], intake.staged
+
+    def watched(df, name):
+        plans.append((name, df._jdf.queryExecution().optimizedPlan().toString()))
+        return staged(df, name)
+
+    intake.take_in(first, path, buckets=2)
+    monkeypatch.setattr(intake, "staged", watched)
+    intake.take_in(again, path, buckets=2)
+    assert [name for name, plan in plans if "collect_list" in plan] == ["new-items", "found"]  # the latter folds pairs
+    assert sorted(r["item_pos"] for r in intake.working(spark, path, "items").collect()) == list(range(10))
+
+
+def test_a_large_bucket_is_several_files(spark, tmp_path):
+    """One bucket's rows aren't one task's."""
+    tables = {name: spark.createDataFrame([], schema) for name, schema in intake.TABLES.items()}
+    tables["menus"] = spark.range(0, 400_000, 1, 8).select(F.sha2(F.col("id").cast("string"), 256).alias("menu_id"), F.lit(False).alias("confirmed"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1MB")
+    try:
+        intake._append(str(tmp_path), tables, [], 1)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert len(list((tmp_path / "menus").rglob("*.parquet"))) > 3
+    assert intake.working(spark, str(tmp_path), "menus").count() == 400_000
